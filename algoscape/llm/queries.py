@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP3_SQL, op3_decontamination
+from .near_duplicates import op5_near_duplicates
+from .quality_rules import op7_quality_rules
+from .substring_dedup import op8_substring_dedup
 from .token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
