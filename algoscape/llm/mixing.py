@@ -167,7 +167,7 @@ numbered AS (SELECT doc_id, source, k, row_number() OVER (PARTITION BY k ORDER B
 blocks AS (SELECT doc_id, source, k, n, a // {BLOCK_ROWS} AS j, a % {BLOCK_ROWS} AS r FROM numbered JOIN parts USING (k)),
 slotted AS (SELECT doc_id, source, b.k, n, j, r, (j // n) * {total} + slot AS slot FROM blocks b JOIN plan p ON p.k = b.k AND p.o = j % n),
 places AS (SELECT slot, row_number() OVER (ORDER BY slot) AS position FROM (SELECT DISTINCT slot FROM slotted))
-SELECT doc_id, source, j + 1 AS block, (j * {total}) // n AS release, -((-(j + 1) * {total}) // n) AS deadline, slot, position, CAST(r AS INT) AS row
+SELECT doc_id, source, j + 1 AS block, (j * {total}) // n AS release, ((j + 1) * {total} + n - 1) // n AS deadline, slot, position, CAST(r AS INT) AS row
 FROM slotted JOIN places USING (slot)
 """
 
