@@ -1,12 +1,17 @@
 """Token counts: pieces are counted once per distinct pre-token and summed over per-document frequencies.
 
-A pre-token here is a maximal run without ASCII white space. The tokenizer's normaliser and splitter never join
-text across such white space, so the tokens of a text are the sum of the tokens of its pre-tokens, special strings
-included. Three steps: distinct pre-tokens of all documents (each task forwards a pre-token once), pieces of each
-distinct pre-token by the library, and the sum by document. No token id leaves the library call.
+A pre-token here is a run without ASCII white space, also cut where an ASCII letter or digit meets ASCII punctuation
+other than ``' < | >``. The tokenizer's normaliser and splitter never join text across such places (contractions
+start with ', special strings are made of the spared characters), so the tokens of a text are the sum of the tokens of
+its pre-tokens, special strings included. Pre-tokens without < are lower-cased (A-Z), as the tokenizer does itself;
+``cased=True`` leaves that out for tokenizers that keep case.
 
-The pre-token table is broadcast only while it is within ``MAX_BROADCAST`` entries (only pre-tokens with other than one
-piece are sent; 12 bytes each). Beyond that per-document frequencies are joined with the table by a shuffle.
+Three steps: distinct pre-tokens of all documents with their frequencies (each task forwards a pre-token once), pieces
+of each distinct pre-token by the library, and the sum by document. No token id leaves the library call.
+
+The piece table is broadcast while it has at most ``MAX_BROADCAST`` entries (12 bytes each; pre-tokens of one piece are
+left out). Beyond that the most frequent entries are broadcast, and only the per-document frequencies of the rest are
+joined with the table by a shuffle: rare pre-tokens, by definition few rows each.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted one by one; an empty table
 gives an empty result; only the named columns are read.
@@ -27,21 +32,77 @@ from . import kernel as K
 from .scratch import Scratch, bounded_batches
 
 #: Entries of the broadcast piece table (12 bytes each).
-MAX_BROADCAST = 4_000_000
+MAX_BROADCAST = 5_000_000
 #: Pre-tokens a task remembers as forwarded; beyond it may forward one again, which the shuffle removes.
-_SEEN = 2_000_000
+_SEEN = 1_000_000
+#: Pre-tokens in one call of the library.
+_CALL = 4096
+
+#: Byte classes: 0 white space, 1 ASCII letter or digit, 2 ASCII punctuation that is cut off, 3 all else.
+_CLASS = np.full(256, 3, dtype=np.uint8)
+_CLASS[list(b" \t\n\x0b\x0c\r")] = 0
+_CLASS[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
+_CLASS[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = 2
+#: Whether a pre-token starts, or the one before has ended, at a byte; by 4 * class of the byte before + own class.
+_STARTS = np.array([p != c and c != 0 and (p == 0 or p + c == 3) for p in range(4) for c in range(4)])
+_ENDS = np.array([p != c and p != 0 and (c == 0 or p + c == 3) for p in range(4) for c in range(4)])
+
+
+def pretokens(column: pa.Array, cased: bool) -> K.Words:
+    """Pre-tokens of a string array; equal hashes stand for equal piece counts."""
+    buf, doc_byte = K.text_bytes(column)
+    n = len(buf)
+    pair = np.zeros(n + 1, dtype=np.uint8)
+    pair[:-1] = _CLASS[buf]
+    if n:
+        last = pair[:-1].copy()
+        pair[1:] += last * np.uint8(4)
+        edges = doc_byte[(doc_byte > 0) & (doc_byte < n)]
+        starts, ends = _STARTS[pair], _ENDS[pair]
+        starts[edges], ends[edges] = last[edges] != 0, last[edges - 1] != 0
+        start, end = np.flatnonzero(starts), np.flatnonzero(ends)
+    else:
+        start = end = np.zeros(0, dtype=np.int64)
+    h = K.span_hashes(buf, start, end, fold=not cased)
+    if not cased and n and (angles := np.flatnonzero(buf == ord("<"))).size:
+        odd = np.unique(np.searchsorted(end, angles, side="right"))
+        h[odd] ^= K.span_hashes(buf, start[odd], end[odd], family=1)
+    return K.Words(buf, doc_byte, start, end, h, np.searchsorted(start, doc_byte))
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts the hashes, and the places in it where a new hash begins."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.ones(len(s), dtype=bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return order, np.flatnonzero(new)
+
+
+def _distinct(text: str, cased: bool):
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, bytes | None] = {}
+        count: dict[int, int] = {}
 
+        def out() -> pa.RecordBatch:
+            h = np.fromiter(count.keys(), dtype=np.uint64, count=len(count))
+            return pa.RecordBatch.from_arrays([pa.array(K.signed(h)), pa.array(list(seen.values()), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["h", "piece", "f"])
 
-def _distinct(text: str):
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, dtype=np.uint64)
         for s in K.slices(batches, text):
-            w = K.words(s.column(0), K.SPACED)
-            h, at = np.unique(w.hash, return_index=True)
-            new = ~np.isin(h, seen, assume_unique=True, kind="sort")
-            h, at = h[new], at[new]
-            seen = np.union1d(seen, h) if len(seen) < _SEEN else h
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h)), pa.array([w.text(i) for i in at.tolist()], pa.binary())], names=["h", "piece"])
+            w = pretokens(s.column(0), cased)
+            order, head = distinct(w.hash)
+            raw = w.buf.tobytes()
+            at = order[head]
+            for h, a, b, f in zip(w.hash[at].tolist(), w.start[at].tolist(), w.end[at].tolist(), np.diff(np.append(head, len(order))).tolist(), strict=True):
+                if h in count:
+                    count[h] += f
+                else:
+                    piece = raw[a:b]
+                    seen[h], count[h] = piece if cased or b"<" in piece else piece.lower(), f
+            if len(seen) > _SEEN:
+                yield out()
+                seen, count = {}, {}
+        yield out()
 
     return one
 
@@ -55,70 +116,89 @@ def _count_pieces(path: str):
         tok.no_truncation()
         tok.no_padding()
         for b in batches:
-            texts = [x.decode() for x in b.column(1).to_pylist()]
-            n: list[int] = []
-            for i in range(0, len(texts), 4096):
-                n += [len(e.ids) for e in tok.encode_batch(texts[i : i + 4096], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["h", "n"])
+            pieces = b.column(1).to_pylist()
+            n = np.zeros(len(pieces), dtype=np.int32)
+            for i in range(0, len(pieces), _CALL):
+                # one call for many pre-tokens: the space between them belongs to none
+                texts = [x.decode() for x in pieces[i : i + _CALL]]
+                start = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+                where = [o[0] for o in tok.encode(" ".join(texts), add_special_tokens=False).offsets]
+                n[i : i + len(texts)] = np.bincount(np.searchsorted(start, where, side="right") - 1, minlength=len(texts)) if where else 0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(2)], names=["h", "n", "f"])
 
     return one
 
 
-def piece_table(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Distinct pre-tokens (64-bit hash; two that share one fail the job) and their piece counts."""
-    found = documents.select(text).mapInArrow(_distinct(text), "h long, piece binary")
-    one = found.groupBy("h").agg(F.min("piece").alias("piece"), F.max("piece").alias("other"))
-    same = F.when(F.col("piece") == F.col("other"), F.col("piece")).otherwise(F.raise_error(F.lit("two pre-tokens share a hash")).cast("binary"))
-    return one.select("h", same.alias("piece")).mapInArrow(_count_pieces(path), "h long, n int")
+def piece_table(documents: DataFrame, path: str, text: str = "text", cased: bool = False) -> DataFrame:
+    """h, n, f: hash, pieces and frequency of each distinct pre-token of the documents."""
+    found = documents.select(text).mapInArrow(_distinct(text, cased), "h long, piece binary, f long")
+    return found.groupBy("h", "piece").agg(F.sum("f").alias("f")).mapInArrow(_count_pieces(path), "h long, n int, f long")
 
 
-def token_counts(documents: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def _least_frequency(table: DataFrame, most: int) -> int:
+    """The least frequency at which entries of it and above number at most ``most``."""
+    cap = 1 << 16
+    steps = table.groupBy(F.least("f", F.lit(cap)).alias("f")).count().orderBy(F.desc("f")).collect()
+    total, least = 0, cap + 1
+    for f, n in steps:
+        total += n
+        if total > most:
+            break
+        least = f
+    return least
+
+
+def token_counts(documents: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", cased: bool = False, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every document under the tokenizer file at ``path``."""
     spark = documents.sparkSession
     ship_package(spark)
     bounded_batches(spark)
     scratch = Scratch(spark, "tokens")
-    table = scratch.save(piece_table(documents, path, text).where("n <> 1"), "pieces")
-    size = table.count()
-    if size <= max_broadcast:
-        got = table.toArrow()
-        keys = got.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        sent = spark.sparkContext.broadcast((keys[order], got.column("n").to_numpy()[order]))
-        scratch.drop("pieces")
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, pieces = sent.value
-            for s in K.slices(batches, text):
-                w = K.words(s.column(1), K.SPACED)
-                n = np.ones(len(w.hash), dtype=np.int64)
-                if len(keys) and len(n):
-                    h, where = np.unique(w.hash, return_inverse=True)
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    n = np.where(keys[at] == h, pieces[at], 1)[where]
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(np.diff(w.doc_byte)), pa.array(w.doc_sum(n), pa.int64())], names=[doc_id, "n_bytes", "n_tokens"])
-
-        kind = documents.select(doc_id).schema[0].dataType.simpleString()
-        return documents.select(doc_id, text).mapInArrow(add, f"`{doc_id}` {kind}, n_bytes long, n_tokens long")
-
-    # Equal (id, text) rows share one frequency table; the join back gives each its own row again.
-    keyed = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.xxhash64(text).alias("__k"))
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in K.slices(batches, "__text"):
-            w = K.words(s.column(0), K.SPACED)
-            doc = w.doc_of()
-            order = np.lexsort((w.hash, doc))
-            h, d = w.hash[order], doc[order]
-            head = np.ones(len(h), dtype=bool)
-            head[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            at = np.flatnonzero(head)
-            yield pa.RecordBatch.from_arrays([s.column(1).take(pa.array(d[at])), pa.array(K.signed(h[at])), pa.array(np.diff(np.append(at, len(h))), pa.int64())], names=["__k", "h", "f"])
-
-    texts = keyed.groupBy("__k").agg(F.first("__text").alias("__text")).select("__text", "__k")
-    freq = texts.mapInArrow(frequencies, "__k long, h long, f long")
-    total = freq.join(table, "h", "left").groupBy("__k").agg(F.sum(F.col("f") * F.coalesce("n", F.lit(1))).alias("__n"))
-    return keyed.join(total, "__k", "left").select(F.col("__id").alias(doc_id), F.octet_length(F.coalesce("__text", F.lit(""))).cast("long").alias("n_bytes"), F.coalesce("__n", F.lit(0)).alias("n_tokens"))
+    full = scratch.save(piece_table(documents, path, text, cased), "pieces")
+    table = full.where("n <> 1")
+    whole = table.count() <= max_broadcast
+    if not whole:
+        table = full.where(F.col("f") >= _least_frequency(full, max_broadcast))
+    got = table.select("h", "n").toArrow()
+    keys = got.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    if (sorted_[1:] == sorted_[:-1]).any():
+        raise ValueError("two pre-tokens share a hash")
+    sent = spark.sparkContext.broadcast((sorted_, got.column("n").to_numpy()[order]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, pieces = sent.value
+        for s in K.slices(batches, text):
+            w = pretokens(s.column(1), cased)
+            order, head = distinct(w.hash)
+            # distinct hashes in rising order walk through the table once
+            h = w.hash[order[head]]
+            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            found = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
+            times = np.diff(np.append(head, len(order)))
+            n = np.empty(len(order), dtype=np.int64)
+            n[order] = np.repeat(np.where(found, pieces[at] if len(keys) else 0, 1 if whole else 0), times)
+            cols = [s.column(0), pa.array(np.diff(w.doc_byte)), pa.array(w.doc_sum(n), pa.int64())]
+            if not whole:
+                known = np.empty(len(order), dtype=bool)
+                known[order] = np.repeat(found, times)
+                rest = np.flatnonzero(~known)
+                bounds = np.searchsorted(rest, w.first).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(K.signed(w.hash[rest]))))
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_bytes", "n_tokens", "rest"][: len(cols)])
+
+    kind = documents.select(doc_id).schema[0].dataType.simpleString()
+    schema = f"id {kind}, n_bytes long, n_tokens long"
+    if whole:
+        return documents.select(doc_id, text).mapInArrow(add, schema).withColumnRenamed("id", doc_id)
+    # equal lists of rare pre-tokens share one sum, whichever rows they come from
+    rows = scratch.save(documents.select(doc_id, text).mapInArrow(add, f"{schema}, rest array<long>"), "rows")
+    rows = rows.withColumn("k1", F.xxhash64("rest")).withColumn("k2", F.hash("rest"))
+    each = rows.where(F.size("rest") > 0).groupBy("k1", "k2").agg(F.first("rest").alias("rest")).select("k1", "k2", F.explode("rest").alias("h"))
+    sums = each.groupBy("k1", "k2", "h").count().join(full, "h").groupBy("k1", "k2").agg(F.sum(F.col("count") * F.col("n")).alias("more"))
+    total = F.col("n_tokens") + F.coalesce("more", F.lit(0))
+    return rows.join(sums, ["k1", "k2"], "left").select(F.col("id").alias(doc_id), "n_bytes", total.alias("n_tokens"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,12 +73,12 @@ def test_token_counts_equal_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
-    texts = [None, "", " \n", "Hello,  WORLD's don't", "x<|endoftext|>y <|startoftext|>", "é́ a b c 　", "İstanbul ΣΑΣ 12345 ½", "z" * 5000, "tok " * 4000, "á̀ ́b", "😀👍🏽 ok"]
+    texts = [None, "", " \n", "Hello,  WORLD's don't", "x<|endoftext|>y <|startoftext|>", "é́ a b c 　", "İstanbul ΣΑΣ 12345 ½", "z" * 5000, "tok " * 4000, "á̀ ́b", "😀👍🏽 ok", "a.b,c!d don'T !'s x's=\u0338 …!x —a (b) <|ENDOFTEXT|> <|endoftext|>.a A.<|endoftext|> x_y-z [q] 1.5 a\u00a0B, é,è.", "\u00a0 , \u0301"]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1), (None, "null id", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long")
     tok = Tokenizer.from_file(path)
     want = sorted((i if i is not None else -1, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
-    for bound in (10**6, 0):
+    for bound in (10**6, 3, 0):
         got = sorted((r[0] if r[0] is not None else -1, r[1], r[2]) for r in token_counts(df, path, max_broadcast=bound).collect())
         assert got == want
     assert token_counts(df.limit(0), path).count() == 0
