@@ -39,7 +39,7 @@ def log_likelihoods(df: DataFrame, columns: dict[str, Column], lambdas: dict[str
     """Profile log-likelihood of the power transform for every column and each of its lambdas, in one aggregate."""
     one = []
     for c, x in columns.items():
-        one += [F.count(x).alias(f"n_{c}"), F.sum(F.log(x)).alias(f"s_{c}")]
+        one += [F.count(x).alias(f"n_{c}"), F.sum(F.log(x)).alias(f"s_{c}"), (F.min(x) < F.max(x)).alias(f"w_{c}")]
         one += [F.var_pop(box_cox(x, v)).alias(f"v{i}_{c}") for i, v in enumerate(lambdas[c])]
     got = df.agg(*one).first()
     out = {}
@@ -47,7 +47,7 @@ def log_likelihoods(df: DataFrame, columns: dict[str, Column], lambdas: dict[str
         out[c] = []
         for i, v in enumerate(lambdas[c]):
             n, s, var = got[f"n_{c}"], got[f"s_{c}"], got[f"v{i}_{c}"]
-            out[c].append(None if not n or not var or var != var else -n / 2 * math.log(var) + (v - 1) * s)
+            out[c].append(None if not n or not got[f"w_{c}"] or not var or var != var else -n / 2 * math.log(var) + (v - 1) * s)
     return out
 
 
