@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Region, area, tight_boundary
 from ..functions.shipping import ship_package
 from ..functions.tables import Tables
+from ..sources.metadata import with_row_id
 
 #: Distinct good points a footprint's clusters are built from; beyond that a hashed sample stands for them.
 #: Areas, counts, density and purity are always taken over all rows.
@@ -59,17 +60,10 @@ def components(points: DataFrame, radius: float, k: int, row: str = "instances")
         if not changed:
             break
     firsts = labels.join(core, "u").where("core").groupBy("label").agg(F.min("u").alias("first"))
-    order = firsts.withColumn("class", F.row_number().over(_by_first()).cast("int"))
+    order = with_row_id(firsts, "first", "class").select("label", F.col("class").cast("int").alias("class"))
     return labels.join(order, "label", "left").select(F.col("u").alias(row), F.coalesce("class", F.lit(-1)).alias("class"))
 
 
-def _by_first():
-    from pyspark.sql import Window
-
-    # one row a component
-    return Window.orderBy("first")
-
-
 def cluster(points: np.ndarray, radius: float, k: int) -> np.ndarray:
     """The same classes for points in memory."""
     n = len(points)

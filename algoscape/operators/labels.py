@@ -52,7 +52,8 @@ def tie_break(algos: list[str], maximise: bool, seed: int, row: str = "instances
     """Place of one of the tied best algorithms, drawn by a hash of the row's label and a seed."""
     best = best_value(algos, maximise)
     places = F.filter(F.sequence(F.lit(1), F.lit(len(algos))), lambda i: F.element_at(F.array(*algos), i) == best)
-    return F.when(best.isNotNull(), F.element_at(places, (1 + F.pmod(F.xxhash64(F.lit(seed), F.col(row)), F.size(places))).cast("int")))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(row))), 1, 8), 16, 10).cast("long")
+    return F.when(best.isNotNull(), F.element_at(places, (1 + draw % F.size(places)).cast("int")))
 
 
 def count_good(flags: list[str]) -> Column:

@@ -30,7 +30,8 @@ class Gramian:
         rows = df.where(" and ".join(f"`{c}` is not null" for c in features))
         p = len(features)
         sums = [F.sum(F.col(a) * F.col(b)).alias(f"x_{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j]
-        missing = {a for a in algos if not df.where(F.col(a).isNull()).isEmpty()} if algos else set()
+        some = rows.agg(F.lit(0).alias("__none"), *(F.bool_or(F.col(a).isNull()).alias(a) for a in algos)).first()
+        missing = {a for a in algos if some[a]}
         for k, y in enumerate(algos):
             sums += [F.count(y).alias(f"n_{k}"), F.sum(F.col(y) * F.col(y)).alias(f"q_{k}")]
             sums += [F.sum(F.col(y) * F.col(a)).alias(f"c_{i}_{k}") for i, a in enumerate(features)]

@@ -199,7 +199,10 @@ def _(s, d):
     return df.select("instances", F.greatest(labels.ties(PA, False), F.lit(0)).alias("n_best"), labels.best_index(PA, False).alias("best_algo"))
 
 
-@query("tie_break")
+_TIED = f"list_filter(range(1, {len(PA) + 1}), lambda i: list_extract([{', '.join(PA)}], i) = {_best(PA, False)})"
+
+
+@query("tie_break", on("part_meta", f", t AS (SELECT instances, {_ROUNDED} FROM m), p AS (SELECT instances, {_TIED} AS places, CAST('0x' || substr(md5('3:' || instances), 1, 8) AS BIGINT) AS draw FROM t) SELECT instances, CAST(CASE WHEN len(places) > 0 THEN places[1 + draw % len(places)] END AS INT) AS best_algo FROM p"))
 def _(s, d):
     df = view(s, d, "part_meta").withColumns({a: F.round(a, -4) for a in PA})
     return df.select("instances", labels.tie_break(PA, False, seed=3).alias("best_algo"))
@@ -449,6 +452,25 @@ _RADIUS = 1.2
 _GAMMA = (len(UA) / len(UF)) ** 0.5 * _RADIUS
 _ALL_GOOD = " AND ".join(f"a.{g} AND b.{g}" for g in UG)
 _EDGES = f", z AS ({_UZ}), e AS (SELECT a.row_id AS i, b.row_id AS j, {_d2('a', 'b', UF)} AS dx, {_d2('a', 'b', UA)} AS dy, {_ALL_GOOD} AS agree FROM z a JOIN z b ON a.row_id < b.row_id)"
+
+
+def _greedy(radius: float, cond: str) -> str:
+    """Rows in order; each is kept unless a kept row before it removes it."""
+    return f""", near AS (SELECT *, coalesce({cond}, false) AS rem FROM e WHERE dx <= {radius}),
+rm AS (SELECT j, list(i) AS l FROM near WHERE rem GROUP BY j),
+g AS (WITH RECURSIVE w(step, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT w.step + 1, CASE WHEN rm.l IS NOT NULL AND list_has_any(w.kept, rm.l) THEN w.kept ELSE list_append(w.kept, w.step + 1) END
+  FROM w LEFT JOIN rm ON rm.j = w.step + 1 WHERE w.step < (SELECT count(*) FROM z)) SELECT kept FROM w ORDER BY step DESC LIMIT 1),
+k AS (SELECT unnest(kept) AS i FROM g),
+ke AS (SELECT near.* FROM near JOIN k USING (i)),
+bys AS (SELECT j, min(i) AS b FROM ke WHERE rem GROUP BY j),
+met AS (SELECT ke.j, ke.i, ke.rem FROM ke LEFT JOIN bys USING (j) WHERE b IS NULL OR i <= b),
+fin AS (SELECT j, arg_max(CASE WHEN rem THEN 0 ELSE 1 END, i) AS v FROM met GROUP BY j)
+SELECT z.row_id, CAST(k.i IS NULL AS INT) AS removed, CAST(fin.j IS NULL AS INT) AS dissimilar, CAST(coalesce(fin.v, 0) AS INT) AS violates
+FROM z LEFT JOIN k ON k.i = z.row_id LEFT JOIN fin ON fin.j = z.row_id"""
+
+
 for _kind, _cond in (("Ftr", "true"), ("Ftr&AP", f"dy <= {_GAMMA!r}"), ("Ftr&Good", "agree"), ("Ftr&AP&Good", f"dy <= {_GAMMA!r} AND agree")):
     _key = _kind.lower().replace("&", "_")
 
@@ -456,17 +478,21 @@ for _kind, _cond in (("Ftr", "true"), ("Ftr&AP", f"dy <= {_GAMMA!r}"), ("Ftr&Goo
     def _(s, d, _kind=_kind):
         return rnd(ints(subset.filter_edges(_user_scores(s, d), UF, UA, UG, _RADIUS, _kind)))
 
-    @query(f"filter_greedy_{_key}")
+    @query(f"filter_greedy_{_key}", on("user_meta", _EDGES + _greedy(_RADIUS, _cond)))
     def _(s, d, _kind=_kind):
         return ints(subset.greedy_filter(_user_scores(s, d), UF, UA, UG, _RADIUS, _kind))
 
 
-@query("purify")
+def _purified(radius: float) -> str:
+    return f"(SELECT *, CAST({radius} AS DOUBLE) AS radius FROM (" + on("user_meta", _EDGES + _greedy(radius, f"dy <= {(len(UA) / len(UF)) ** 0.5 * radius!r}")) + "))"
+
+
+@query("purify", f"SELECT * FROM {_purified(0.8)} UNION ALL SELECT * FROM {_purified(1.2)}")
 def _(s, d):
     return ints(subset.purify(_user_scores(s, d), UF, UA, UG, [0.8, 1.2], "Ftr&AP"))
 
 
-@query("holdout")
+@query("holdout", on("part_meta", "SELECT instances FROM (SELECT instances, row_number() OVER (ORDER BY md5('1:' || instances), instances) AS k, count(*) OVER () AS n FROM m) WHERE k <= round(n * 0.25)"))
 def _(s, d):
     return subset.holdout(view(s, d, "part_meta"), 0.25).select("instances")
 
