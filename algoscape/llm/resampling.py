@@ -2,8 +2,8 @@
 
 Target text is that of documents labelled good, raw text that of all documents. Both are bags of hashed words and word
 pairs (``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z) over ``BUCKETS`` buckets. The log importance weight of a document is the
-sum over its n-grams of log target share less log raw share, divided by the root of their number and multiplied by
-``SHARPNESS``, so that long texts do not decide by length alone. A fixed Gumbel number from the hash of id and text is added,
+mean over its n-grams of log target share less log raw share, times ``SHARPNESS`` (the n-grams a text counts as), so
+that long texts do not decide by length alone. A fixed Gumbel number from the hash of id and text is added,
 and the ``KEEP`` share of the documents with the largest keys is kept: sampling without replacement in proportion to
 the weights.
 
