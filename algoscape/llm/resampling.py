@@ -4,7 +4,7 @@ Target text is that of documents labelled good, raw text that of all documents.
 pairs (``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z) over ``BUCKETS`` buckets. The log importance weight of a document is the
 mean over its n-grams of log target share less log raw share, times ``SHARPNESS`` (the n-grams a text counts as), so
 that long texts do not decide by length alone. A fixed Gumbel number from the hash of id and text is added,
-and the ``KEEP`` share of the documents with the largest keys is kept: sampling without replacement in proportion to
+and a share of the documents, those with the largest keys, is kept: sampling without replacement in proportion to
 the weights.
 
 Counts and weights cover every word of every document. A task counts into one array and forwards it once; the sums are
@@ -30,9 +30,10 @@ from . import kernel as K
 from .scratch import Scratch, bounded_batches
 
 BUCKETS = 1 << 14
-#: Share of the documents that the sample keeps.
-KEEP = 0.85
-SHARPNESS = 30.0
+#: N-grams that a text counts as, whatever its length.
+SHARPNESS = 100.0
+#: The sample keeps the share of good rows among the labelled ones, and this much more.
+MARGIN = 0.01
 
 
 def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -113,7 +114,13 @@ def kth_largest(rows: DataFrame, value: str, k: int) -> int:
     return prefix
 
 
-def resample(documents: DataFrame, good: DataFrame, *, keep: float = KEEP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def good_share(quality: DataFrame) -> float:
+    """Share to keep: that of good rows among labelled ones (column q, 1 for good) and MARGIN; all without labels."""
+    share = quality.agg(F.avg((F.col("q") == 1).cast("double"))).first()[0]
+    return 1.0 if share is None else min(1.0, share + MARGIN)
+
+
+def resample(documents: DataFrame, good: DataFrame, *, keep: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, log_weight, key and kept of every document."""
     scratch = Scratch(documents.sparkSession, "resample")
     ratios = log_ratios(documents, good, doc_id=doc_id, text=text)
@@ -126,6 +133,5 @@ def resample(documents: DataFrame, good: DataFrame, *, keep: float = KEEP, doc_i
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, log_weight, key and kept; the target is the text labelled of good quality."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    return resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), good)
+    quality = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    return resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), quality.where("q = 1"), keep=good_share(quality))

@@ -119,8 +119,14 @@ def test_resampling_prefers_target_text(spark):
 
     at, _, _ = resampling.ngrams(pa.array([rows[3][1]]))
     assert again[3] == pytest.approx(resampling.SHARPNESS * ratios[at].mean(), abs=1e-6)
-    assert resampling.resample(df.limit(0), good).count() == 0
-    assert {r.log_weight for r in resampling.resample(df, good.limit(0)).collect()} == {0.0}
+    assert resampling.resample(df.limit(0), good, keep=0.8).count() == 0
+    assert {r.log_weight for r in resampling.resample(df, good.limit(0), keep=0.8).collect()} == {0.0}
+
+
+def test_share_to_keep(spark):
+    q = spark.createDataFrame([(1,), (1,), (0,), (1,)], "q int")
+    assert resampling.good_share(q) == pytest.approx(0.75 + resampling.MARGIN)
+    assert resampling.good_share(q.limit(0)) == 1.0
 
 
 def test_log_ratios_count_every_word(spark):
