@@ -427,3 +427,46 @@ def test_run_model_and_exports(spark, plane, tmp_path):
     out = score_stream(spark, f"{t.base}/in", M.typed(df).schema, model)
     write_scores(out.select("instances", "z_1", "selection1"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 160
+
+
+def test_purification_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.0, 1.0, True), (2, 0.05, 1.0, True), (3, 0.05, 9.0, False)], "row_id long, f double, y double, g boolean")
+    verdict = subset.greedy_filter(df, ["f"], ["y"], ["g"], 0.1, "Ftr&AP")
+    export.purification(df, verdict, str(tmp_path), "x")
+    sizes = {n: spark.read.option("header", True).csv(str(tmp_path / f"{n}_x.csv")).count() for n in ("Pur", "Prec", "ViSA")}
+    assert sizes == {"Pur": 2, "Prec": 1, "ViSA": 1}
+    both = subset.purify(df, ["f"], ["y"], ["g"], [0.01, 0.1], "Ftr")
+    assert {(r.radius, r.n) for r in both.where("removed").groupBy("radius").agg(F.count("*").alias("n")).collect()} == {(0.1, 2), (0.01, 1)}
+
+
+def test_older_costs(spark, plane):
+    df = plane.dropna().withColumn("good_x", F.col("feature_a") > 0)
+    losses = selection.forest_losses(df, ["feature_a", "feature_b", "feature_c"], ["good_x"], [(0, 1), (1, 2)], trees=10, folds=2)
+    assert losses[0, 1] < losses[1, 2]
+
+
+def test_weights_and_failures(spark):
+    df = spark.createDataFrame([("1", 1.0, 3.0), ("2", 2.0, None), ("3", 2.0, 2.0)], "instances string, algo_x double, algo_y double")
+    got = labels.cost_weights(df, ["algo_x", "algo_y"]).orderBy("instances").collect()
+    assert [(r.w_x, r.w_y) for r in got] == [(1.0, 1.0), (1.0, 1.0), (1.0, 1.0)]
+    inf = spark.createDataFrame([(float("inf"), 1.0, None)], "a double, b double, c double")
+    assert tuple(M.recode_failures(inf, ["a", "b", "c"]).first()) == (0.0, 1.0, None)
+    assert M.align_algorithms(df, ["algo_z", "algo_x"]).columns == ["instances", "algo_z", "algo_x", "algo_y"]
+
+
+def test_weighted_run_with_kernel_machines(spark, plane):
+    from algoscape.plans import build
+
+    df = plane.withColumn("algo_x", 5 + F.col("feature_a")).withColumn("algo_y", 5 - F.col("feature_a"))
+    o = Options(performance=Performance(False, False, 0.05), selection=Selection(algos=["algo_x", "algo_y"], holdout=0.8), search=FeatureSearch(clusters=3, rho=0.1), prediction=Prediction(knn=False, folds=2, weights=True, parameters=[[1.0, 0.5], [1.0, 0.5]]))
+    run = build.train(df, o, with_footprints=False)
+    assert run.rows.count() == 128
+    assert {r.algorithm for r in run.prediction.collect()} == {"x", "y", "Oracle", "Selector"}
+
+
+def test_density_subset_run(spark, plane):
+    from algoscape.plans import build
+
+    o = Options(performance=Performance(False, True, 4.0), selection=Selection(min_distance=0.9, distance_type="Ftr"), search=FeatureSearch(enabled=False))
+    run = build.train(plane, o, with_footprints=False, with_prediction=False)
+    assert 20 < run.rows.count() < 160
