@@ -12,6 +12,7 @@ from .mixing import OP10_SQL, op10_source_mixing
 from .near_duplicates import op5_near_duplicates
 from .quality_rules import op7_quality_rules
 from .resampling import op4_importance_resampling
+from .sql import OP5_SQL, OP8_SQL
 from .substring_dedup import op8_substring_dedup
 from .token_counts import op9_token_counts
 from .toxicity import op6_toxicity
@@ -34,5 +35,7 @@ ORACLE: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op3_decontamination": OP3_SQL,
+    "op5_near_duplicates": OP5_SQL,
+    "op8_substring_dedup": OP8_SQL,
     "op10_source_mixing": OP10_SQL,
 }
