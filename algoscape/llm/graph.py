@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+EDGES_PER_FILE = 200_000
+
 
 def _neighbour_minimum(edges: DataFrame) -> DataFrame:
     """u, m: the smallest of u and its neighbours; partial aggregation absorbs hot nodes."""
@@ -34,18 +36,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     the longest path.
     """
     at = scratch.save(edges.where("u <> v").select("u", "v").distinct(), f"{name}-0")
-    step = 0
+    # equal sets of distinct edges have equal counts and hash sums
+    mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    had, step = at.agg(*mark).first(), 0
     while True:
         step += 1
-        big = scratch.save(large_star(at), f"{name}-{step}-large")
-        new = scratch.save(small_star(big), f"{name}-{step}")
+        # steps never add edges by more than a node each; few edges are written to few files
+        files = 1 + 2 * had[0] // EDGES_PER_FILE
+        big = scratch.save(large_star(at), f"{name}-{step}-large", files=files)
+        new = scratch.save(small_star(big), f"{name}-{step}", files=files)
         scratch.drop(f"{name}-{step}-large")
-        # equal sets of distinct edges have equal counts and hash sums
-        mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-        same = at.agg(*mark).first() == new.agg(*mark).first()
+        has = new.agg(*mark).first()
         scratch.drop(f"{name}-{step - 1}")
         at = new
-        if same:
+        if has == had:
             break
+        had = has
     roots = at.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

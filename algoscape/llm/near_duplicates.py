@@ -5,18 +5,21 @@ the whole sequence is one shingle. Two documents are linked when 100 * |A and B|
 
 1. One scan gives each document a 128-bit digest of its set and ``BANDS * ROWS`` universal hash minima (16 bits each).
 2. Equal sets form a class, represented by its smallest id; only representatives go on, so copies cost nothing more.
-3. Band keys make buckets. No bucket is expanded into all its pairs: in rounds, a few leaders of each bucket, drawn by
-   a random rank, are compared with its other members; members already in the leader's component are skipped, and a
-   bucket is closed when its members not yet compared lie in one component. The number of leaders doubles by round,
-   so that every pair of a bucket that could join two components is compared in the end, without any cap.
-4. Pairs pass a length bound and a signature bound (five standard deviations below the threshold), then the
-   full shingle sets confirm them.
-5. Links go through large-star/small-star after each round.
+3. Band keys make buckets. A bucket is not expanded into pairs: its members are compared with one leader, the member of
+   least random rank, which is the same in most buckets that a group of near copies shares.
+4. Only pairs whose one-bit minima agree well enough leave the bucket; they pass a length bound and a signature bound
+   (each five standard deviations below the threshold), then the full shingle sets confirm them. Links go through
+   large-star/small-star steps.
+5. A bucket is settled when its other members lie in one component. The members of those that are not (many texts
+   that share a passage, say) are joined exactly, without any cap: by shared shingles among the rarest that two sets of
+   the threshold must share, with the bound on their overlap that the places of the shared shingle give, and only
+   across components. That bound leaves few pairs besides true ones, however many members a bucket has.
 
 At similarity 0.8 a pair misses all bands with probability (1 - 0.8**ROWS)**BANDS, 1.3e-7 with 40 bands of 5.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; a null id is linked with nothing,
-gets a null component and is kept; rows that repeat an id are each returned with the id's component; an empty table
+gets a null component and is kept; rows that repeat an id are each returned with the id's component, which with different
+texts under one id is that of one of them; an empty table
 gives an empty result; only the named columns are read.
 """
 
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_package
@@ -37,8 +40,11 @@ from .scratch import Scratch, bounded_batches
 BANDS, ROWS = 40, 5
 #: Ids broadcast at most (8 bytes each) to pick documents; beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Buckets of at most so many open members are finished in one round.
-SMALL_BUCKET = 16
+#: One-bit minima that travel with bucket members, three longs, for a first check where pairs are made.
+BITS = 192
+_WORDS = ["s0", "s1", "s2"]
+#: Earlier shingles that a shingle carries in the exact join of unsettled members.
+BEFORE = 8
 
 
 def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +106,9 @@ def _sketch(k: int, text: str):
             flat = pa.py_buffer(np.ascontiguousarray(sig).tobytes())
             width = sig.shape[1] * 2
             offsets = pa.py_buffer((np.arange(len(n) + 1) * width).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(n, pa.int64()), *digest, pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, flat])], names=["id", "n", "d1", "d2", "sig"])
+            bits = np.packbits((sig[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.int64)
+            whole = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, flat])
+            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(n, pa.int64()), *digest, whole, *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], names=["id", "n", "d1", "d2", "sig", *_WORDS])
 
     return one
 
@@ -109,8 +117,8 @@ def _sets(k: int):
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in K.slices(batches, "text"):
             h, bounds = shingles(s.column(1), k)
-            sets = [h[bounds[d] : bounds[d + 1]].tobytes() for d in range(s.num_rows)]
-            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(K.signed(h)))
+            yield pa.RecordBatch.from_arrays([s.column(0), sets], names=["id", "shingles"])
 
     return one
 
@@ -128,13 +136,14 @@ def _alike(least: int):
 
 
 def _confirm(percent: int):
-    """Keeps pairs whose full sets reach the threshold; sets are sorted."""
+    """Keeps pairs whose full sets reach the threshold; a set has no shingle twice."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            at = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (b.column(2), b.column(3))]
+            for i in range(b.num_rows):
+                p, q = (values[o[i] : o[i + 1]] for o, values in at)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -155,8 +164,42 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     x, y = (reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     near = pairs.join(y, "b").join(x, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near = near.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(least), "a long, b long")
+    return _confirmed(near, sets, percent)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: the pairs (a, b) whose full sets reach the threshold."""
     sx, sy = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return near.join(sy, "b").join(sx, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "u long, v long")
+    return pairs.join(sy, "b").join(sx, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "u long, v long")
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of members (id, c) of different components c that can reach the threshold.
+
+    Shingles are ordered by their frequency among the members, rarest first. Two sets of the threshold share one of
+    the first n - ceil(n * threshold) + 1 of each, and what follows the first shared place bounds their overlap. A pair
+    that also shares one of the ``BEFORE`` shingles before was made there, where the bound is weaker, and is skipped.
+    """
+    rows = members.join(sets, "id").select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    shared = rows.join(often, "s")
+    of = Window.partitionBy("id")
+    rising = of.orderBy("f", "s")
+    # shingles of one member alone come before all shared ones
+    place = F.col("n") - F.count("*").over(of) + F.row_number().over(rising) - 1
+    placed = shared.withColumns({"p": place, "before": F.collect_list("s").over(rising.rowsBetween(-BEFORE, -1))})
+    prefix = placed.where(f"p <= n - ceil(n * {percent} / 100)").select("s", "id", "c", "n", "p", "before")
+    a, b = (prefix.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "p", "before"))) for x in "ab")
+    fits = f"id_a < id_b and c_a <> c_b and {100 + percent} * least(n_a - p_a, n_b - p_b) >= {percent} * (n_a + n_b) and not arrays_overlap(before_a, before_b)"
+    return a.join(b, "s").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _near_bits(a: str, b: str, percent: int):
+    """Whether one-bit minima differ in few enough places: they agree with probability (1 + similarity) / 2."""
+    p = (1 + percent / 100) / 2
+    most = int(np.ceil(BITS * (1 - p + 5 * np.sqrt(p * (1 - p) / BITS))))
+    differ = [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _WORDS]
+    return differ[0] + differ[1] + differ[2] <= most
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -166,45 +209,31 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     bounded_batches(spark)
     scratch = Scratch(spark, "near")
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketch = scratch.save(docs.mapInArrow(_sketch(k, "text"), "id long, n long, d1 long, d2 long, sig binary"), "sketch")
-    reps = scratch.save(sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+    sketch = scratch.save(docs.mapInArrow(_sketch(k, "text"), "id long, n long, d1 long, d2 long, sig binary, s0 long, s1 long, s2 long"), "sketch")
+    reps = scratch.save(sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("sig", *_WORDS))), "reps")
 
     width = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(BANDS)))
-    banded = reps.select("id", F.explode(keys).alias("key")).withColumn("u", F.xxhash64("id", F.lit(5)))
-    full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("u", "id")).alias("lead")).where("size > 1")
-    members = scratch.save(banded.join(full, "key").select("key", "id", "u", "size", "lead"), "members-0")
-    sets = scratch.save(_picked(docs, scratch.save(members.select("id").distinct(), "ids")).mapInArrow(_sets(k), "id long, shingles binary"), "sets-all")
+    # u ranks the members of a bucket at random, alike in all buckets; bits holds their one-bit minima
+    banded = reps.select("id", F.xxhash64("id", F.lit(5)).alias("u"), F.struct(*_WORDS).alias("bits"), F.explode(keys).alias("key"))
+    full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("u", "id", "bits")).alias("lead")).where("size > 1")
+    members = scratch.save(banded.join(full, "key").select("key", "id", "u", "bits", "lead"), "members-0")
+    sets = scratch.save(_picked(docs, scratch.save(members.select("id").distinct(), "ids")).mapInArrow(_sets(k), "id long, shingles array<long>"), "sets-all")
     # a repeated id has one set: that of the representative's text, or any of its texts
     sets = scratch.save(sets.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets") if _repeated(sets) else sets
 
-    pairs = scratch.save(members.where("id <> lead.id").select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs-0")
+    first = members.where("id <> lead.id").where(_near_bits("bits", "lead.bits", percent))
+    pairs = scratch.save(first.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs-0")
     links = scratch.save(_links(pairs, reps, sets, percent), "links-0")
     labels = scratch.save(connected_components(links, scratch, "cc-0"), "labels-0")
-    open_ = members.where("u > lead.u").select("key", "id", "u", "size", F.col("lead.u").alias("upto"))
-    links_all, step = [links], 0
-    while True:
-        step += 1
-        state = open_.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-        some = state.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("left"), F.min("u").alias("u0")).where("c0 <> c1")
-        # ranks are spread evenly over the longs; take the next 2**step of them, or all of a small bucket
-        slice_ = (F.lit(float(2**step)) / F.col("left") * F.lit(2.0**64)).cast("decimal(38,0)")
-        upto = F.when(F.col("left") <= SMALL_BUCKET, F.lit(2**63 - 1)).otherwise(F.least(F.col("u0").cast("decimal(38,0)") + slice_, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long"))
-        members = scratch.save(state.select("key", "id", "u", "size", "c").join(some.select("key", upto.alias("upto")), "key"), f"members-{step}")
-        if members.isEmpty():
-            break
-        lead = members.where("u <= upto").select("key", F.col("id").alias("a"), F.col("u").alias("ua"), F.col("c").alias("ca"))
-        rest = members.select("key", F.col("id").alias("b"), F.col("u").alias("ub"), F.col("c").alias("cb"))
-        met = lead.join(rest, "key").where("(ua < ub or (ua = ub and a < b)) and ca <> cb").select("a", "b").distinct()
-        pairs = scratch.save(met, f"pairs-{step}")
-        links = scratch.save(_links(pairs, reps, sets, percent), f"links-{step}")
-        if not links.isEmpty():
-            links_all.append(links)
-            together = links_all[0]
-            for more in links_all[1:]:
-                together = together.unionByName(more)
-            labels = scratch.save(connected_components(together, scratch, f"cc-{step}"), f"labels-{step}")
-        open_ = members.where("u > upto").select("key", "id", "u", "size", "upto")
+    rest = members.where("u > lead.u").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    unsettled = rest.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    open_ = scratch.save(rest.join(unsettled, "key", "left_semi").select("id", "c").distinct(), "open")
+    if not open_.isEmpty():
+        pairs = scratch.save(_prefix_pairs(open_, sets, percent), "pairs-1")
+        more = scratch.save(_confirmed(pairs, sets, percent), "links-1")
+        if not more.isEmpty():
+            labels = scratch.save(connected_components(links.unionByName(more), scratch, "cc-1"), "labels-1")
 
     own = reps.select("d1", "d2", F.col("id").alias("rep")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     linked = sketch.select("id", "n", "d1", "d2").join(own.select("d1", "d2", F.coalesce("component", "rep").alias("component")), ["d1", "d2"], "left")

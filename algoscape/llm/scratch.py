@@ -36,8 +36,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def save(self, df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
-        """Write a table and read it again: later jobs start from the files."""
+    def save(self, df: DataFrame, name: str, sort: list[str] | None = None, files: int | None = None) -> DataFrame:
+        """Write a table, to at most ``files`` files if given, and read it again: later jobs start from the files."""
+        if files is not None:
+            df = df.coalesce(files)
         if sort:
             df = df.sortWithinPartitions(*sort)
         df.write.mode("overwrite").parquet(self.path(name))
