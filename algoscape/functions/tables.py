@@ -28,7 +28,10 @@ class Tables:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Write a table, to at most ``files`` files if given, and read it again."""
+        if files is not None:
+            df = df.coalesce(files)
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

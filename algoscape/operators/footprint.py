@@ -45,20 +45,23 @@ def components(points: DataFrame, radius: float, k: int, row: str = "instances")
     a, b = here.alias("a"), there.alias("b")
     d2 = F.pow(F.col("a.z_1") - F.col("b.z_1"), 2) + F.pow(F.col("a.z_2") - F.col("b.z_2"), 2)
     edges = tables.save(a.join(b, F.col("a.cell") == F.col("b.cell")).where(F.sqrt(d2) <= radius).select(F.col(f"a.{row}").alias("u"), F.col(f"b.{row}").alias("v")), "edges")
+    files = 1 + edges.count() // 500_000
     core = edges.groupBy("u").agg((F.count("*") >= k + 1).alias("core"))
-    labels = tables.save(edges.groupBy("u").agg(F.min("v").alias("label")), "labels-0")
-    step = 0
+    labels = tables.save(edges.groupBy("u").agg(F.min("v").alias("label")), "labels-0", files)
+    # labels only fall, so equal sums of hashes mean that none changed
+    mark = F.sum(F.xxhash64("u", "label").cast("decimal(38,0)"))
+    had, step = labels.agg(mark).first()[0], 0
     while True:
         step += 1
         spread = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("label"))
         # a label's own label is as good and nearer to the root
         short = spread.join(labels.select(F.col("u").alias("label"), F.col("label").alias("next")), "label").select("u", F.least("label", "next").alias("label"))
-        new = tables.save(short, f"labels-{step}")
-        changed = not new.join(labels.withColumnRenamed("label", "had"), "u").where("label <> had").isEmpty()
+        labels = tables.save(short, f"labels-{step}", files)
         tables.drop(f"labels-{step - 1}")
-        labels = new
-        if not changed:
+        has = labels.agg(mark).first()[0]
+        if has == had:
             break
+        had = has
     firsts = labels.join(core, "u").where("core").groupBy("label").agg(F.min("u").alias("first"))
     order = with_row_id(firsts, "first", "class").select("label", F.col("class").cast("int").alias("class"))
     return labels.join(order, "label", "left").select(F.col("u").alias(row), F.coalesce("class", F.lit(-1)).alias("class"))

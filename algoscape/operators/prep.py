@@ -51,7 +51,7 @@ def log_likelihoods(df: DataFrame, columns: dict[str, Column], lambdas: dict[str
     return out
 
 
-def fit_lambdas(df: DataFrame, columns: dict[str, Column], low: float = -5.0, high: float = 5.0, grid: int = 21, rounds: int = 3) -> dict[str, float]:
+def fit_lambdas(df: DataFrame, columns: dict[str, Column], low: float = -5.0, high: float = 5.0, grid: int = 11, rounds: int = 4) -> dict[str, float]:
     """Maximum-likelihood lambda of each column: each round is one aggregate over a grid around the best so far.
 
     A constant or empty column gets 1, which only shifts it.
