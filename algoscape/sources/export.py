@@ -98,6 +98,7 @@ def export_run(run, path: str) -> list[str]:
     """All CSV tables of a trained or scored run; returns their names."""
     d, features, algos = run.rows, run.features, run.algos
     short = lambda cols: [F.col(c).alias(c.split("_", 1)[1] if c.startswith(("algo_", "feature_")) else c) for c in cols]
+    # File and column names are fixed by the export format.
     tables = {
         "coordinates": d.select("instances", "z_1", "z_2"),
         "feature_raw": run.raw.select("instances", *short(features)),

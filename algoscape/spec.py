@@ -152,6 +152,7 @@ class Options:
     @staticmethod
     def migrate(raw: dict[str, Any]) -> Options:
         """Options as older files name them: current keys, and the former names of their sections."""
+        # Fixed names of the option format, former names first.
         former = {"pbldr": "pilot", "oracle": "pythia", "sbound": "cloister", "footprint": "trace", "clust": "sifted"}
         o = {former.get(k, k): v for k, v in raw.items()}
         perf, general = o.get("perf", {}), o.get("general", {})
