@@ -9,7 +9,7 @@ weights at exactly zero, so the model that is broadcast is a short list of (buck
 The model is fitted on at most ``TRAINING_ROWS`` labelled rows, chosen by a hash of their id, in one task that a lost
 executor only repeats. Scoring is one narrow scan over all documents; only the text enters a score.
 
-Defined cases: null and empty texts score the bias alone; unlabelled tables give a model that scores 0.5; repeated
+Defined cases: null and empty texts score the bias alone; without labelled rows every text scores about 0; repeated
 rows are scored one by one; several labels of one id count as their maximum; null labels are left out; only the
 named columns are read.
 """
@@ -134,7 +134,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     one = chosen.repartition(1).sortWithinPartitions(F.xxhash64(doc_id), F.xxhash64(text))
     got = one.select(text, "__y").mapInArrow(_train(text, "__y"), "bucket long, weight double").toPandas()
     last = got.bucket == -1
-    return Model(got.bucket[~last].to_numpy(), got.weight[~last].to_numpy(), float(got.weight[last].sum()))
+    bias = float(got.weight[last].sum())
+    if last.all() and bias == 0.0:  # no labelled row: nothing is called toxic
+        bias = -30.0
+    return Model(got.bucket[~last].to_numpy(), got.weight[~last].to_numpy(), bias)
 
 
 def score(documents: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -170,7 +170,7 @@ def test_toxicity_held_out_accuracy(spark):
     again = toxicity.fit_tables(df, flipped)
     assert np.array_equal(again.weights, model.weights) and again.bias == model.bias
     none = toxicity.score(df, toxicity.fit_tables(df, labels.limit(0))).collect()
-    assert {x.score for x in none} == {0.5}
+    assert all(x.score < 1e-9 for x in none)
     assert toxicity.score(df.limit(0), model).count() == 0
 
 

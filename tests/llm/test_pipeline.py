@@ -51,3 +51,18 @@ def test_stages_and_run(spark):
     assert rows["toxicity"] < docs.count() and rows["mixing"] > 0
     whole = [tuple(r) for r in P.run(spark, SF).collect()]
     assert sorted(whole, key=str) == sorted([tuple(r) for r in at.select(*P.run(spark, SF).columns).collect()], key=str)
+
+
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline as P
+
+    long = " ".join(f"w{i}" for i in range(40000))
+    far = 10**12  # no labels
+    rows = [(None, None, None, None, None), (far + 1, "", "en", "src0", 0), (far + 2, long, "en", None, 5), (far + 2, long, "en", None, 5), (far + 3, "one two", None, "src1", None), (None, "three four", "de", "src1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(*r, "x", 9) for r in rows], schema + ", slot string, id int")
+    for name, stage in P.STAGES:
+        got = stage(spark, odd, SF)
+        assert got.count() == len(rows), name
+        assert set(odd.columns) <= set(got.columns)
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
