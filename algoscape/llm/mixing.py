@@ -78,9 +78,12 @@ def period(spark: SparkSession, parts: list[tuple[str, int]], total: int) -> Dat
         return F.array_min(due)["i"]
 
     def step(state, slot):
-        i = pick(state["done"], slot)
-        row = F.struct(i.alias("k"), F.get(state["done"], i).alias("o"), slot.alias("slot"), state["done"].alias("before"))
-        return F.struct(F.transform(state["done"], lambda d, j: F.when(j == i, d + 1).otherwise(d)).alias("done"), F.concat(state["out"], F.array(row)).alias("out"))
+        def with_pick(i):
+            row = F.struct(i.alias("k"), F.get(state["done"], i).alias("o"), slot.alias("slot"), state["done"].alias("before"))
+            return F.struct(F.transform(state["done"], lambda d, j: F.when(j == i, d + 1).otherwise(d)).alias("done"), F.concat(state["out"], F.array(row)).alias("out"))
+
+        # the pick is bound to a variable, else it would be worked out again wherever it stands
+        return F.get(F.transform(F.array(pick(state["done"], slot)), with_pick), F.lit(0))
 
     none = F.array_repeat(F.lit(0).cast("long"), len(parts))
     empty = F.filter(F.array(F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("slot"), none.alias("before"))), lambda x: F.lit(False))
