@@ -34,7 +34,7 @@ from .scratch import Scratch, bounded_batches
 #: Entries of the broadcast piece table (12 bytes each).
 MAX_BROADCAST = 5_000_000
 #: Pre-tokens a task remembers as forwarded; beyond it may forward one again, which the shuffle removes.
-_SEEN = 1_000_000
+_SEEN = 600_000
 #: Pre-tokens in one call of the library.
 _CALL = 4096
 
