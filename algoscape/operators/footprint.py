@@ -7,10 +7,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Region, area, tight_boundary
+from ..functions.geometry import Region, tight_boundary
 from ..functions.shipping import ship_package
 from ..functions.tables import Tables
 from ..sources.metadata import with_row_id
@@ -302,15 +302,3 @@ def points_in_polygons(points: DataFrame, polygons: dict[str, list[tuple[float,
             inside &= (bx - ax) * (F.col("z_2") - ay) - (by - ay) * (F.col("z_1") - ax) >= 0
         hits.append(F.when(inside, F.lit(name)))
     return points.select(row, F.explode(F.array_compact(F.array(*hits))).alias("polygon"))
-
-
-def as_frame(spark: SparkSession, regions: dict[tuple[str, str], Region], z: np.ndarray, flags: dict[tuple[str, str], np.ndarray]) -> DataFrame:
-    rows = []
-    for k, r in regions.items():
-        m = measure(r, z, flags[k])
-        rows.append((*k, m["pieces"], m["area"], m["elements"], m["good_elements"], m["density"], m["purity"]))
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-def total_area(pieces) -> float:
-    return sum(area(np.array(p, dtype=float)) for p in pieces or [])

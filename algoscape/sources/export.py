@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,7 +136,3 @@ def purification(df: DataFrame, verdict: DataFrame, path: str, stem: str, row: s
     both = df.join(verdict, row)
     for name, where in (("Pur", "not removed"), ("Prec", "removed"), ("Dissimilar", "dissimilar"), ("ViSA", "violates")):
         write_csv(both.where(where).select(*df.columns), f"{path}/{name}_{stem}.csv")
-
-
-def all_missing(columns: list[str]):
-    return reduce(lambda a, b: a & b, (F.col(c).isNull() for c in columns))
