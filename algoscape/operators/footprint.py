@@ -19,6 +19,9 @@ from ..sources.metadata import with_row_id
 #: Areas, counts, density and purity are always taken over all rows.
 SHAPE_POINTS = 4_000
 
+#: Pieces narrower than this (plane units) are dropped when a shape is drawn; a fifth of it at the end.
+SLIVER = 5e-5
+
 SCHEMA = "kind string, algo string, pieces array<array<array<double>>>, area double, elements long, good_elements long, density double, purity double"
 
 
@@ -118,7 +121,7 @@ def _shape(points: np.ndarray, z: np.ndarray, good: np.ndarray, purity: float) -
     """Region of one cluster of points."""
     if len(np.unique(points, axis=0)) < 3:
         return Region()
-    region = tight_boundary(points).without_slivers(5e-2 * 1e-3)
+    region = tight_boundary(points).without_slivers(SLIVER)
     return region if good.all() else prune(region, z, good, purity)
 
 
@@ -209,7 +212,7 @@ def footprints(df: DataFrame, algos: list[str], good: list[str], best: str, beta
     for i, a in enumerate(algos):
         for b in algos[i + 1 :]:
             regions["best", a], regions["best", b] = contradict(regions["best", a], regions["best", b], z, masks["best", a], masks["best", b], purity)
-    regions = {k: r.without_slivers(1e-2 * 1e-3) for k, r in regions.items()}
+    regions = {k: r.without_slivers(SLIVER / 5) for k, r in regions.items()}
     flags = {("space", ""): F.lit(True), ("hard", ""): ~F.col(beta)}
     for i, (a, g) in enumerate(zip(algos, good, strict=True)):
         flags["good", a], flags["best", a] = F.col(g), F.col(best) == i + 1
