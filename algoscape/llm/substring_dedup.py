@@ -126,10 +126,10 @@ class FingerprintIndex:
         return self.spark.read.schema("anchor long, digest long, id long, n long").parquet(self.scratch.path(run))
 
     def write_run(self, entries: DataFrame) -> str:
-        """Write one immutable run, sorted by anchor."""
+        """Write one immutable run, sorted by anchor and digest; a hot anchor is dealt by its digests."""
         run = f"run-{self.made}"
         self.made += 1
-        self.scratch.save(entries.repartition(self.partitions, "anchor"), run, sort=["anchor", "digest"])
+        self.scratch.save(entries.repartition(self.partitions, "anchor", "digest"), run, sort=["anchor", "digest"])
         return run
 
     def append(self, run: str, level: int = 0) -> None:
