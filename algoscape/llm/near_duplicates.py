@@ -174,11 +174,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of members (id, c) of different components c that can reach the threshold.
+    """a, b: pairs of members (id, c, bits) of different components c that can reach the threshold.
 
     Shingles are ordered by their frequency among the members, rarest first. Two sets of the threshold share one of
     the first n - ceil(n * threshold) + 1 of each, and what follows the first shared place bounds their overlap. A pair
     that also shares one of the ``BEFORE`` shingles before was made there, where the bound is weaker, and is skipped.
+    One-bit minima must agree as elsewhere.
     """
     rows = members.join(sets, "id").select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
@@ -188,10 +189,10 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     # shingles of one member alone come before all shared ones
     place = F.col("n") - F.count("*").over(of) + F.row_number().over(rising) - 1
     placed = shared.withColumns({"p": place, "before": F.collect_list("s").over(rising.rowsBetween(-BEFORE, -1))})
-    prefix = placed.where(f"p <= n - ceil(n * {percent} / 100)").select("s", "id", "c", "n", "p", "before")
-    a, b = (prefix.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "p", "before"))) for x in "ab")
+    prefix = placed.where(f"p <= n - ceil(n * {percent} / 100)").select("s", "id", "c", "n", "p", "before").join(members.select("id", "bits"), "id")
+    a, b = (prefix.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "p", "before", "bits"))) for x in "ab")
     fits = f"id_a < id_b and c_a <> c_b and {100 + percent} * least(n_a - p_a, n_b - p_b) >= {percent} * (n_a + n_b) and not arrays_overlap(before_a, before_b)"
-    return a.join(b, "s").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return a.join(b, "s").where(fits).where(_near_bits("bits_a", "bits_b", percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def _near_bits(a: str, b: str, percent: int):
@@ -226,9 +227,9 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     pairs = scratch.save(first.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs-0")
     links = scratch.save(_links(pairs, reps, sets, percent), "links-0")
     labels = scratch.save(connected_components(links, scratch, "cc-0"), "labels-0")
-    rest = members.where("u > lead.u").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    rest = members.where("u > lead.u").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "bits", F.coalesce("component", "id").alias("c"))
     unsettled = rest.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    open_ = scratch.save(rest.join(unsettled, "key", "left_semi").select("id", "c").distinct(), "open")
+    open_ = scratch.save(rest.join(unsettled, "key", "left_semi").select("id", "c", "bits").distinct(), "open")
     if not open_.isEmpty():
         pairs = scratch.save(_prefix_pairs(open_, sets, percent), "pairs-1")
         more = scratch.save(_confirmed(pairs, sets, percent), "links-1")
