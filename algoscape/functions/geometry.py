@@ -32,7 +32,7 @@ def convex_hull(points: np.ndarray, keep_degenerate: bool = False) -> np.ndarray
 def area(piece: np.ndarray) -> float:
     """Area of a counter-clockwise polygon."""
     x, y = piece[:, 0], piece[:, 1]
-    return float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+    return float(x[:-1] @ y[1:] - y[:-1] @ x[1:] + x[-1] * y[0] - y[-1] * x[0]) / 2
 
 
 def _clip(piece: np.ndarray, a, b, inside: bool) -> np.ndarray:
@@ -74,39 +74,49 @@ class Region:
             out |= in_convex(p, pts)
         return out
 
+    def _boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest corners of the pieces' boxes."""
+        if not self.pieces:
+            return np.zeros((0, 2)), np.zeros((0, 2))
+        return np.array([p.min(axis=0) for p in self.pieces]), np.array([p.max(axis=0) for p in self.pieces])
+
     def intersect(self, other: Region) -> Region:
         out = []
+        low, high = other._boxes()
         for p in self.pieces:
-            for q in other.pieces:
-                if not _apart(p, q):
-                    part = p
-                    for i in range(len(q)):
-                        part = _clip(part, q[i], q[(i + 1) % len(q)], True)
-                        if len(part) < 3:
-                            break
-                    if _real(part):
-                        out.append(part)
+            for k in _meeting(p, low, high):
+                q, part = other.pieces[k], p
+                for i in range(len(q)):
+                    part = _clip(part, q[i], q[(i + 1) % len(q)], True)
+                    if len(part) < 3:
+                        break
+                if _real(part):
+                    out.append(part)
         return Region(out)
 
     def subtract(self, other: Region) -> Region:
-        left = self.pieces
-        for q in other.pieces:
-            nxt = []
-            for p in left:
-                if _apart(p, q):
-                    nxt.append(p)
-                    continue
-                rest = p
-                for i in range(len(q)):
-                    a, b = q[i], q[(i + 1) % len(q)]
-                    outside = _clip(rest, a, b, False)
-                    if _real(outside):
-                        nxt.append(outside)
-                    rest = _clip(rest, a, b, True)
-                    if len(rest) < 3:
-                        break
-            left = nxt
-        return Region(left)
+        out = []
+        low, high = other._boxes()
+        for whole in self.pieces:
+            left = [whole]
+            for k in _meeting(whole, low, high):
+                q, nxt = other.pieces[k], []
+                for p in left:
+                    if _apart(p, q):
+                        nxt.append(p)
+                        continue
+                    rest = p
+                    for i in range(len(q)):
+                        a, b = q[i], q[(i + 1) % len(q)]
+                        outside = _clip(rest, a, b, False)
+                        if _real(outside):
+                            nxt.append(outside)
+                        rest = _clip(rest, a, b, True)
+                        if len(rest) < 3:
+                            break
+                left = nxt
+            out += left
+        return Region(out)
 
     def union(self, other: Region) -> Region:
         return Region(self.pieces + other.subtract(self).pieces)
@@ -129,9 +139,10 @@ class Region:
                 i = parent[i]
             return i
 
+        low, high = self._boxes()
         for i in range(n):
-            for j in range(i + 1, n):
-                if root(i) != root(j) and not _apart(self.pieces[i], self.pieces[j], gap) and _touch(self.pieces[i], self.pieces[j], gap):
+            for j in _meeting(self.pieces[i], low, high, gap):
+                if j > i and root(i) != root(j) and _touch(self.pieces[i], self.pieces[j], gap):
                     parent[root(j)] = root(i)
         groups: dict[int, list[np.ndarray]] = {}
         for i in range(n):
@@ -155,6 +166,13 @@ def in_convex(piece: np.ndarray, pts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _meeting(p: np.ndarray, low: np.ndarray, high: np.ndarray, gap: float = 0.0) -> list[int]:
+    """Numbers of the boxes that meet the box of p."""
+    if not len(low):
+        return []
+    return np.flatnonzero(((low <= p.max(axis=0) + gap) & (high >= p.min(axis=0) - gap)).all(axis=1)).tolist()
+
+
 def _apart(p: np.ndarray, q: np.ndarray, gap: float = 0.0) -> bool:
     return bool((p.max(0) + gap < q.min(0)).any() or (q.max(0) + gap < p.min(0)).any())
 
