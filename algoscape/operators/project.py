@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship_package
+from ..functions.tables import Tables
+
+#: Rows of a block; all pairs of two blocks are in memory at a time.
+BLOCK = 1_000
+_NO_PAIRS = (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
 
 @dataclass
 class Gramian:
@@ -161,20 +171,63 @@ def project(df: DataFrame, features: list[str], a) -> DataFrame:
     return df.withColumns({f"z_{i + 1}": coordinate(features, list(a[i])) for i in range(2)})
 
 
-def distance_correlation(df: DataFrame, features: list[str], row: str = "instances", most: int = 2000) -> DataFrame:
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Count, means, squares and cross product about the means of two sets of pairs together."""
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    n, dx, dz, w = a[0] + b[0], b[1] - a[1], b[2] - a[2], a[0] * b[0] / (a[0] + b[0])
+    return (n, a[1] + dx * b[0] / n, a[2] + dz * b[0] / n, a[3] + b[3] + w * dx * dx, a[4] + b[4] + w * dz * dz, a[5] + b[5] + w * dx * dz)
+
+
+def _block_moments(x: np.ndarray, y: np.ndarray, label: np.ndarray | None) -> tuple:
+    """_merged's parts over all pairs of a row of x and a row of y; the last two columns are the plane. With labels
+    (of x, which is y) over the pairs of two labels, each once."""
+    d2 = [sum((x[:, i, None] - y[None, :, i]) ** 2 for i in at) for at in (range(x.shape[1] - 2), range(x.shape[1] - 2, x.shape[1]))]
+    once = slice(None) if label is None else label[:, None] < label[None, :]
+    dx, dz = (np.sqrt(d[once]).ravel() for d in d2)
+    if not len(dx):
+        return _NO_PAIRS
+    # taken from the first value, so that equal distances have no spread at all
+    u, v = dx - dx[0], dz - dz[0]
+    mu, mv = u.mean(), v.mean()
+    u, v = u - mu, v - mv
+    return (len(u), float(dx[0] + mu), float(dz[0] + mv), float(u @ u), float(v @ v), float(u @ v))
+
+
+def distance_correlation(df: DataFrame, features: list[str], row: str = "instances") -> DataFrame:
     """n_pairs and corr: correlation of all pairwise distances in feature space and in the plane.
 
-    Above ``most`` rows, the pairs of a hashed sample of that many rows stand for all.
+    Rows are packed into blocks by a hash of their label, and every two blocks meet once; a task hands on the moments
+    of its distances alone. Rows of one label, which share a block, make no pair.
     """
-    n = df.count()
-    some = df.select(row, *features, "z_1", "z_2").dropna()
-    if n > most:
-        some = some.where(F.pmod(F.xxhash64(row), F.lit(1 << 20)) < int(most / n * (1 << 20)))
-    from .subset import distance
-
-    pairs = some.alias("a").join(some.alias("b"), F.col(f"a.{row}") < F.col(f"b.{row}"))
-    pairs = pairs.select(distance("a", "b", features).alias("dx"), distance("a", "b", ["z_1", "z_2"]).alias("dz"))
-    return pairs.agg(F.count("*").alias("n_pairs"), F.corr("dx", "dz").alias("corr"))
+    spark = df.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    tables = Tables(spark, "pairs")
+    cols = [*features, "z_1", "z_2"]
+    some = tables.save(df.select(row, *(F.col(c).cast("double").alias(c) for c in cols)).dropna(), "rows")
+    n = max(1, math.ceil(some.count() / BLOCK))
+    width = len(cols)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [rows["k"].iloc[0]], "x": [rows[cols].to_numpy(float).tobytes()], "label": [pd.factorize(rows[row])[0].astype(np.int64).tobytes()]})
+
+    def moments(batches):
+        total = _NO_PAIRS
+        for b in batches:
+            for i, j, x, y, label in zip(b["i"], b["j"], b["x"], b["y"], b["label"], strict=True):
+                p, q = (np.frombuffer(v, dtype=float).reshape(-1, width) for v in (x, y))
+                total = _merged(total, _block_moments(p, q, np.frombuffer(label, dtype=np.int64) if i == j else None))
+        yield pd.DataFrame([total], columns=["n", "x", "z", "xx", "zz", "xz"])
+
+    blocks = tables.save(some.withColumn("k", F.pmod(F.xxhash64(row), F.lit(n))).groupBy("k").applyInPandas(pack, "k long, x binary, label binary"), "blocks")
+    # each block meets itself and the half of the circle after it, so that all have equal work
+    meet = spark.range(n * (n // 2 + 1)).select((F.col("id") % n).alias("i"), F.floor(F.col("id") / n).alias("t"))
+    meet = meet.where((F.col("t") * 2 < n) | (F.col("i") * 2 < n)).select("i", ((F.col("i") + F.col("t")) % n).alias("j"))
+    pairs = meet.join(blocks.select(F.col("k").alias("i"), "x", "label"), "i").join(blocks.select(F.col("k").alias("j"), F.col("x").alias("y")), "j")
+    parts = pairs.select("i", "j", "x", "y", "label").mapInPandas(moments, "n long, x double, z double, xx double, zz double, xz double").collect()
+    count, _, _, xx, zz, xz = reduce(_merged, (tuple(r) for r in parts), _NO_PAIRS)
+    return spark.createDataFrame([(count, xz / math.sqrt(xx * zz) if xx * zz > 0 else None)], "n_pairs long, corr double")
 
 
 def fit_quality(df: DataFrame, features: list[str], targets: list[str], b) -> DataFrame:

@@ -234,6 +234,21 @@ def test_numeric_projection_reaches_the_analytic_optimum(plane):
         project.fit(df, ["feature_a", "feature_b"], ["algo_x"], solution=[1.0])
 
 
+def test_distance_correlation_takes_all_pairs(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2600, 3))
+    x[:, 2] *= 0.2
+    names = [f"i{i}" for i in range(len(x) - 1)] + ["i0"]  # one label stands on two rows
+    df = spark.createDataFrame([(n, *map(float, v), float(v[0]), float(v[1] ** 3)) for n, v in zip(names, x, strict=True)], "instances string, a double, b double, c double, z_1 double, z_2 double")
+    z = np.column_stack([x[:, 0], x[:, 1] ** 3])
+    dx, dz = (np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)) for p in (x, z))
+    once = np.triu(np.ones(dx.shape, dtype=bool), 1)
+    once[0, -1] = False
+    got = project.distance_correlation(df, ["a", "b", "c"]).first()
+    assert got.n_pairs == 2600 * 2599 // 2 - 1
+    assert got["corr"] == pytest.approx(np.corrcoef(dx[once], dz[once])[0, 1], abs=1e-9)
+
+
 # ---- boundary
 def test_corners_prune_and_fall_back(spark):
     v = bounds.vertices(spark, ["f", "g"], [(-1.0, 1.0), (-2.0, 2.0)])
