@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship_package
 from ..functions.tables import Tables
 
-#: Rows a kernel model is fitted on; beyond that a hashed sample of this size stands for the table.
+#: Rows a model is fitted on, and rows that neighbours are taken from: beyond that a hashed sample of this size. Every row
+#: is predicted and counts in a loss.
 MODEL_ROWS = 3_000
 
 
@@ -63,32 +64,35 @@ def _knn_vote(z: np.ndarray, y: np.ndarray, q: np.ndarray, k: int, skip: np.ndar
 
 
 def knn_losses(df: DataFrame, projections: dict[tuple[int, ...], tuple[list[str], np.ndarray]], flags: list[str], fold: Column, k: int = 3) -> dict[tuple[int, ...], float]:
-    """Worst cross-validated k-NN loss over the flags in each projection; one task a projection.
+    """Worst cross-validated k-NN loss over the flags in each projection, over all rows.
 
-    The rows (at most MODEL_ROWS, by hash) are broadcast once.
+    The neighbours (at most MODEL_ROWS rows, by hash) are broadcast once; a task counts the misses of its rows in
+    every projection.
     """
     spark = df.sparkSession
     ship_package(spark)
     names = sorted({c for cols, _ in projections.values() for c in cols})
-    rows = bounded(df.select("instances", *names, *flags).dropna(), MODEL_ROWS).withColumn("__fold", fold).toPandas().sort_values("instances")
-    sent = spark.sparkContext.broadcast((rows[names].to_numpy(float), rows[flags].to_numpy(bool), rows["__fold"].to_numpy(int), names))
+    every = df.select("instances", *names, *flags).dropna()
+    rows = bounded(every, MODEL_ROWS).withColumn("__fold", fold).toPandas().sort_values("instances")
     work = list(projections.items())
-    todo = spark.range(len(work)).repartition(max(1, min(len(work), spark.sparkContext.defaultParallelism)))
-    given = spark.sparkContext.broadcast(work)
+    sent = spark.sparkContext.broadcast((rows[names].to_numpy(float), rows[flags].to_numpy(float), rows["__fold"].to_numpy(int), [v for _, v in work]))
 
-    def one(batches):
-        x, y, folds, cols = sent.value
-        at = {c: i for i, c in enumerate(cols)}
+    def count(batches):
+        x, y, folds, given = sent.value
+        wrong, n = np.zeros((len(given), len(flags)), dtype=np.int64), 0
         for b in batches:
-            out = []
-            for i in b["id"]:
-                use, a = given.value[i][1]
-                z = x[:, [at[c] for c in use]] @ np.asarray(a).T
-                share = _knn_vote(z, y.astype(float), z, k, folds[:, None] == folds[None, :])
-                out.append((i, float(((share > 0.5) != y).mean(axis=0).max())))
-            yield pd.DataFrame(out, columns=["id", "loss"])
-
-    got = {r["id"]: r["loss"] for r in todo.mapInPandas(one, "id long, loss double").collect()}
+            q, truth = b[names].to_numpy(float), b[flags].to_numpy(bool)
+            same = b["__fold"].to_numpy(int)[:, None] == folds[None, :]
+            n += len(b)
+            for i, (use, a) in enumerate(given):
+                at, t = [names.index(c) for c in use], np.asarray(a).T
+                wrong[i] += ((_knn_vote(x[:, at] @ t, y, q[:, at] @ t, k, same) > 0.5) != truth).sum(axis=0)
+        yield pd.DataFrame([(i, j, int(w), n) for i, r in enumerate(wrong) for j, w in enumerate(r)], columns=["id", "flag", "wrong", "n"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, every.count() // 50_000)
+    parts = every.withColumn("__fold", fold).repartition(tasks).mapInPandas(count, "id long, flag long, wrong long, n long")
+    losses = parts.groupBy("id", "flag").agg((F.sum("wrong") / F.greatest(F.sum("n"), F.lit(1))).alias("loss"))
+    got = {r["id"]: r["loss"] for r in losses.groupBy("id").agg(F.max("loss").alias("loss")).collect()}
     return {c: got[i] for i, (c, _) in enumerate(work)}
 
 
@@ -153,10 +157,11 @@ def _calibrate(f: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
 
 def svm_scores(model: dict[str, Any], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Decision and probability of being good."""
-    if not len(model["alpha"]):
-        f = np.zeros(len(x))
-    else:
-        f = (kernel(x, np.asarray(model["x"], dtype=float), model["scale"], model["polynomial"]) + 1.0) @ np.asarray(model["alpha"], dtype=float)
+    f = np.zeros(len(x))
+    if len(model["alpha"]):
+        held, alpha = np.asarray(model["x"], dtype=float), np.asarray(model["alpha"], dtype=float)
+        for at in range(0, len(x), 1024):
+            f[at : at + 1024] = (kernel(x[at : at + 1024], held, model["scale"], model["polynomial"]) + 1.0) @ alpha
     p = 1 / (1 + np.exp(-np.clip(model["slope"] * f + model["offset"], -30, 30)))
     return (f > 0) if model["slope"] else p > 0.5, p
 
@@ -169,10 +174,11 @@ def latin_points(n: int, low: float = -10.0, high: float = 4.0, seed: int = 1) -
 
 
 def train(df: DataFrame, flags: list[str], *, knn: bool = True, folds: int = 5, polynomial: bool = False, weights: list[str] | None = None, parameters: list[list[float]] | None = None, points: int = 30, seed: int = 1) -> tuple[dict[str, Any], DataFrame]:
-    """Models over z_1, z_2 and out-of-fold predictions (instances, hat_<flag>, prob_<flag>).
+    """Models over z_1, z_2 and predictions for every row (instances, hat_<flag>, prob_<flag>): out of fold for the rows
+    that the models are fitted on, by the models themselves for all others; NULL without a place in the plane.
 
     One group per flag, parameter point and fold runs as a task over the broadcast rows (at most MODEL_ROWS by
-    hash); the point with the least out-of-fold error wins (first on ties) and is fitted again on all rows.
+    hash); the point with the least out-of-fold error wins (first on ties) and is fitted again on all of these rows.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -236,8 +242,10 @@ def train(df: DataFrame, flags: list[str], *, knn: bool = True, folds: int = 5,
         else:
             m = fit_svm(x, y[:, j], p[0], p[1], polynomial, None if w is None else w[:, j])
             models.append({"flag": f} | {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in m.items()})
+    model = {"knn": knn, "mu": mu.tolist(), "sigma": sigma.tolist(), "models": models}
     oof = spark.createDataFrame(out)
-    return {"knn": knn, "mu": mu.tolist(), "sigma": sigma.tolist(), "models": models}, oof
+    rest = score(df.select("instances", "z_1", "z_2").join(F.broadcast(oof.select("instances")), "instances", "left_anti"), model)
+    return model, tables.save(oof.unionByName(rest.select(*oof.columns)), "predictions")
 
 
 def score(df: DataFrame, model: dict[str, Any]) -> DataFrame:

@@ -113,10 +113,7 @@ def _predict(run: Run, flags: list[str], tables: Tables) -> None:
     q = o.prediction
     fitted, oof = predict.train(rows, flags, knn=q.knn, folds=q.folds, polynomial=q.polynomial, weights=weights, parameters=q.parameters, seed=o.seed)
     hats = [f"hat_{f}" for f in flags]
-    # rows beyond the model's sample are predicted by the model itself
-    known = rows.join(oof, "instances", "left_semi").join(oof, "instances")
-    rest = predict.score(rows.join(oof, "instances", "left_anti"), fitted)
-    both = known.unionByName(rest.select(*known.columns))
+    both = rows.join(oof, "instances")
     table = {r["name"]: r for r in predict.confusion(both, list(zip(flags, hats, strict=True))).collect()}
     precision = [table[f]["precision"] for f in flags]
     default = predict.default_algorithm(both, flags)

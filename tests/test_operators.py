@@ -293,6 +293,28 @@ def test_models_separate_classes(spark):
         assert scored.where("prob_good_x < 0 or prob_good_x > 1").count() == 0
 
 
+def test_models_and_losses_cover_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(predict, "MODEL_ROWS", 60)
+    r = random.Random(14)
+    rows = [(str(i), r.uniform(-1, 1), r.uniform(-1, 1)) for i in range(400)]
+    df = spark.createDataFrame([*rows, ("none", None, 0.0)], "instances string, z_1 double, z_2 double").withColumn("good_x", F.coalesce(F.col("z_1") > 0, F.lit(False)))
+    for options in ({"knn": True}, {"knn": False, "parameters": [[1.0, 0.5]]}):
+        model, got = predict.train(df, ["good_x"], folds=3, **options)
+        assert sorted(x.instances for x in got.collect()) == sorted([x[0] for x in rows] + ["none"])
+        assert got.where("hat_good_x is null").collect()[0].instances == "none"
+        assert df.join(got, "instances").where("good_x = hat_good_x").count() > 340
+    # the loss of a fold's rows, each by its nearest rows of the sample in other folds
+    placed, fold = df.dropna(), predict.fold_of(5, 1)
+    found = predict.knn_losses(placed, {(0, 1): (["z_1", "z_2"], np.eye(2))}, ["good_x"], fold)[0, 1]
+    kept = {x.instances for x in predict.bounded(placed, 60).collect()}
+    every = sorted(placed.withColumn("f", fold).collect(), key=lambda x: x.instances)
+    wrong = 0
+    for x in every:
+        near = sorted((y for y in every if y.instances in kept and y.f != x.f), key=lambda y: (y.z_1 - x.z_1) ** 2 + (y.z_2 - x.z_2) ** 2)[:3]
+        wrong += (sum(y.good_x for y in near) > 1.5) != x.good_x
+    assert found == pytest.approx(wrong / 400)
+
+
 def test_knn_relational_form_equals_memory_form(spark):
     r = random.Random(8)
     rows = [(f"{i:03d}", r.random(), r.random(), r.random() < 0.5) for i in range(80)]
