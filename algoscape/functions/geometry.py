@@ -70,8 +70,8 @@ class Region:
         """Whether points lie in the region, its border included."""
         pts = np.asarray(points, dtype=float).reshape(-1, 2)
         out = np.zeros(len(pts), dtype=bool)
-        for p in self.pieces:
-            out |= in_convex(p, pts)
+        for at, _ in Pieces(self.pieces).holding(pts):
+            out[at] = True
         return out
 
     def _boxes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +119,8 @@ class Region:
         return Region(out)
 
     def union(self, other: Region) -> Region:
+        if not self or not other or _apart(np.vstack(self.pieces), np.vstack(other.pieces)):
+            return Region(self.pieces + other.pieces)
         return Region(self.pieces + other.subtract(self).pieces)
 
     def triangles(self) -> list[np.ndarray]:
@@ -157,13 +159,50 @@ class Region:
         return Region([np.array([[float(x), float(y)] for x, y in p]) for p in pieces or []])
 
 
-def in_convex(piece: np.ndarray, pts: np.ndarray) -> np.ndarray:
-    out = np.ones(len(pts), dtype=bool)
-    scale = max(1.0, float(np.abs(piece).max()))
-    for i in range(len(piece)):
-        a, b = piece[i], piece[(i + 1) % len(piece)]
-        out &= (b[0] - a[0]) * (pts[:, 1] - a[1]) - (b[1] - a[1]) * (pts[:, 0] - a[0]) >= -1e-12 * scale * scale
-    return out
+class Pieces:
+    """Convex pieces in a grid of cells, so that a point is tested against the pieces around it alone."""
+
+    def __init__(self, pieces: list[np.ndarray]):
+        self.most = max((len(p) for p in pieces), default=0)
+        if not pieces:
+            return
+        # shorter pieces repeat their last corner
+        self.corners = np.array([np.vstack([p, np.repeat(p[-1:], self.most - len(p), axis=0)]) for p in pieces], dtype=float)
+        self.slack = np.maximum(1.0, np.abs(self.corners).max(axis=(1, 2)))
+        low, high = (f(axis=1) + sign * 1e-7 * self.slack[:, None] for f, sign in ((self.corners.min, -1), (self.corners.max, 1)))
+        self.low, self.side = low.min(axis=0), int(np.clip(np.sqrt(len(pieces)), 1, 512))
+        self.step = np.maximum((high.max(axis=0) - self.low) / self.side, _EPS)
+        first, last = self._cell(low), self._cell(high)
+        wide, tall = (last - first + 1).T
+        own = np.repeat(np.arange(len(pieces)), wide * tall)
+        k = np.arange(len(own)) - np.repeat(np.cumsum(wide * tall) - wide * tall, wide * tall)
+        cell = (first[own, 0] + k % wide[own]) * self.side + first[own, 1] + k // wide[own]
+        order = np.argsort(cell, kind="stable")
+        self.cell, self.own = cell[order], own[order]
+
+    def _cell(self, pts: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((pts - self.low) / self.step), 0, self.side - 1).astype(np.int64)
+
+    def holding(self, pts: np.ndarray, most: int = 1_000_000):
+        """Pairs of a point's and a piece's number where the piece holds the point, border included, in slices."""
+        if not self.most or not len(pts):
+            return
+        at = self._cell(pts)
+        at = at[:, 0] * self.side + at[:, 1]
+        first, last = np.searchsorted(self.cell, at, "left"), np.searchsorted(self.cell, at, "right")
+        total = np.cumsum(last - first)
+        begin = 0
+        while begin < len(pts):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, "right")))
+            n = (last - first)[begin:end]
+            i = np.repeat(np.arange(begin, end), n)
+            j = self.own[np.repeat(first[begin:end] - np.cumsum(n) + n, n) + np.arange(len(i))]
+            ok = np.ones(len(i), dtype=bool)
+            for c in range(self.most):
+                a, b = self.corners[j, c], self.corners[j, (c + 1) % self.most]
+                ok &= (b[:, 0] - a[:, 0]) * (pts[i, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (pts[i, 0] - a[:, 0]) >= -1e-12 * self.slack[j] ** 2
+            yield i[ok], j[ok]
+            begin = end
 
 
 def _meeting(p: np.ndarray, low: np.ndarray, high: np.ndarray, gap: float = 0.0) -> list[int]:
@@ -196,7 +235,8 @@ def _touch(p: np.ndarray, q: np.ndarray, gap: float) -> bool:
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (rows of three point numbers, counter-clockwise) by incremental insertion."""
+    """Triangles (rows of three point numbers, counter-clockwise) by insertion from left to right; triangles whose
+    circle ends before the next point are done and set aside."""
     pts = np.asarray(points, dtype=float)
     n = len(pts)
     if n < 3:
@@ -206,7 +246,13 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     all_ = np.vstack([unit, [[-50.0, -50.0], [50.0, -50.0], [0.0, 80.0]]])
     tri = np.array([[n, n + 1, n + 2]])
     centre, r2 = _circles(all_, tri)
+    done = []
     for i in np.lexsort((unit[:, 1], unit[:, 0])):
+        past = all_[i, 0] - centre[:, 0]
+        past = (past > 0) & (past**2 > r2 * (1 + 1e-9))
+        if past.any():
+            done.append(tri[past])
+            tri, centre, r2 = tri[~past], centre[~past], r2[~past]
         d2 = ((centre - all_[i]) ** 2).sum(axis=1)
         bad = d2 <= r2 * (1 + 1e-12)
         edges = np.vstack([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [2, 0]]])
@@ -218,6 +264,7 @@ def delaunay(points: np.ndarray) -> np.ndarray:
         ok = np.isfinite(r)
         tri = np.vstack([tri[~bad], new[ok]])
         centre, r2 = np.vstack([centre[~bad], c[ok]]), np.concatenate([r2[~bad], r[ok]])
+    tri = np.vstack([*done, tri])
     tri = tri[(tri < n).all(axis=1)]
     if not len(tri):
         return tri

@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import math
-from typing import Any
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Region, tight_boundary
+from ..functions.geometry import Pieces, Region, tight_boundary
 from ..functions.shipping import ship_package
 from ..functions.tables import Tables
 from ..sources.metadata import with_row_id
 
-#: Distinct good points a footprint's clusters are built from; beyond that a hashed sample stands for them.
-#: Areas, counts, density and purity are always taken over all rows.
-SHAPE_POINTS = 4_000
-
 #: Pieces narrower than this (plane units) are dropped when a shape is drawn; a fifth of it at the end.
 SLIVER = 5e-5
 
@@ -34,22 +30,24 @@ def least_neighbours(n: int) -> int:
     return max(min(math.ceil(n / 20), 50), 3)
 
 
-def components(points: DataFrame, radius: float, k: int, row: str = "instances") -> DataFrame:
+def components(points: DataFrame, radius: float | Column, k: int | Column, row: str = "instances", apart: str | None = None) -> DataFrame:
     """row, class: connected components of points (row, z_1, z_2) within the radius that hold a core point, one with more than
     k points around it, itself included; numbered by first core row; -1 for points without a class.
 
-    Neighbours meet in a grid of the radius' width; labels spread along neighbours and halve their paths.
+    Neighbours meet in a grid of the radius' width; labels spread along neighbours and halve their paths. Points that
+    differ in ``apart`` are never neighbours; radius and k may be columns that are alike where ``apart`` is.
     """
     tables = Tables(points.sparkSession, "components")
     cell = [F.floor(F.col(c) / F.lit(radius)).alias(f"c{i}") for i, c in enumerate(("z_1", "z_2"))]
-    here = points.select(row, "z_1", "z_2", F.struct(*cell).alias("cell"))
-    around = F.array(*(F.struct((F.col("cell.c0") + i).alias("c0"), (F.col("cell.c1") + j).alias("c1")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    group = F.col(apart) if apart else F.lit(0)
+    here = points.select(row, "z_1", "z_2", F.lit(radius).alias("radius"), F.lit(k).alias("k"), F.struct(group.alias("g"), *cell).alias("cell"))
+    around = F.array(*(F.struct(F.col("cell.g").alias("g"), (F.col("cell.c0") + i).alias("c0"), (F.col("cell.c1") + j).alias("c1")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     there = here.withColumn("cell", F.explode(around))
     a, b = here.alias("a"), there.alias("b")
     d2 = F.pow(F.col("a.z_1") - F.col("b.z_1"), 2) + F.pow(F.col("a.z_2") - F.col("b.z_2"), 2)
-    edges = tables.save(a.join(b, F.col("a.cell") == F.col("b.cell")).where(F.sqrt(d2) <= radius).select(F.col(f"a.{row}").alias("u"), F.col(f"b.{row}").alias("v")), "edges")
+    edges = tables.save(a.join(b, F.col("a.cell") == F.col("b.cell")).where(F.sqrt(d2) <= F.col("a.radius")).select(F.col(f"a.{row}").alias("u"), F.col(f"b.{row}").alias("v"), F.col("a.k").alias("k")), "edges")
     files = 1 + edges.count() // 500_000
-    core = edges.groupBy("u").agg((F.count("*") >= k + 1).alias("core"))
+    core = edges.groupBy("u").agg((F.count("*") >= F.first("k") + 1).alias("core"))
     labels = tables.save(edges.groupBy("u").agg(F.min("v").alias("label")), "labels-0", files)
     # labels only fall, so equal sums of hashes mean that none changed
     mark = F.sum(F.xxhash64("u", "label").cast("decimal(38,0)"))
@@ -106,66 +104,123 @@ def cluster(points: np.ndarray, radius: float, k: int) -> np.ndarray:
     return out
 
 
-def prune(region: Region, z: np.ndarray, good: np.ndarray, purity: float) -> Region:
+class Scan:
+    """All rows of a table, counted and gathered by scans; goodness is named by its place in ``flags``."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.spark = rows, rows.sparkSession
+
+    def counts(self, pieces: list[np.ndarray], group: np.ndarray, masks: list[int]) -> np.ndarray:
+        """See _counts."""
+        sent, size = self.spark.sparkContext.broadcast((pieces, group)), int(group.max()) + 1
+
+        def one(batches):
+            index, group = Pieces(sent.value[0]), sent.value[1]
+            total = np.zeros((size, 1 + len(masks)), dtype=np.int64)
+            for b in batches:
+                flags = np.array(b["flags"].tolist(), dtype=bool).reshape(len(b), -1)
+                total += _tally(index, group, size, b[["z_1", "z_2"]].to_numpy(float), [flags[:, m] for m in masks])
+            at = np.flatnonzero(total[:, 0])
+            if len(at):
+                yield pd.DataFrame({"i": at, "n": total[at].tolist()})
+
+        out = np.zeros((size, 1 + len(masks)), dtype=np.int64)
+        parts = self.rows.mapInPandas(one, "i long, n array<long>")
+        for r in parts.groupBy("i").agg(*(F.sum(F.col("n")[j]).alias(f"n{j}") for j in range(1 + len(masks)))).collect():
+            out[r["i"]] = r[1:]
+        sent.destroy()
+        return out
+
+    def inside(self, parts: list[Region], mask: int) -> list[np.ndarray]:
+        """See _inside."""
+        sent = self.spark.sparkContext.broadcast([p.pieces for p in parts])
+
+        def one(batches):
+            index = [Region(p) for p in sent.value]
+            for b in batches:
+                z = b[["z_1", "z_2"]].to_numpy(float)
+                held = [(i, *p) for i, r in enumerate(index) for p in z[r.contains(z)].tolist()]
+                if held:
+                    yield pd.DataFrame(held, columns=["i", "z_1", "z_2"])
+
+        got = self.rows.where(F.col("flags")[mask]).mapInPandas(one, "i long, z_1 double, z_2 double").distinct().toPandas()
+        sent.destroy()
+        return [got.loc[got.i == i, ["z_1", "z_2"]].to_numpy(float) for i in range(len(parts))]
+
+
+def _tally(index: Pieces, group: np.ndarray, size: int, z: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
+    """Rows, and good rows by each mask, in the pieces of each group; a row counts once in a group."""
+    total = np.zeros((size, 1 + len(masks)), dtype=np.int64)
+    for at in range(0, len(z), 50_000):
+        found = [i * size + group[j] for i, j in index.holding(z[at : at + 50_000])]
+        if found:
+            own, g = np.divmod(np.unique(np.concatenate(found)), size)
+            total += np.column_stack([np.bincount(g, minlength=size), *(np.bincount(g[m[at + own]], minlength=size) for m in masks)])
+    return total
+
+
+def _counts(z: np.ndarray | Scan, pieces: list[np.ndarray], group: np.ndarray, masks: list) -> np.ndarray:
+    """For each group of pieces the rows inside and those of each mask, as columns."""
+    if not pieces:
+        return np.zeros((0, 1 + len(masks)), dtype=np.int64)
+    return z.counts(pieces, group, masks) if isinstance(z, Scan) else _tally(Pieces(pieces), group, int(group.max()) + 1, z, masks)
+
+
+def _inside(z: np.ndarray | Scan, parts: list[Region], good) -> list[np.ndarray]:
+    """Distinct good points inside each part."""
+    if not parts:
+        return []
+    return z.inside(parts, good) if isinstance(z, Scan) else [np.unique(z[p.contains(z) & good], axis=0) for p in parts]
+
+
+def prune(region: Region, z: np.ndarray | Scan, good, purity: float) -> Region:
     """Without triangles whose share of good rows is under ``purity``; a triangle without rows stays."""
-    kept = []
-    for t in region.triangles():
-        inside = Region([t]).contains(z)
-        n = int(inside.sum())
-        if n == 0 or not purity > good[inside].sum() / n:
-            kept.append(t)
-    return Region(kept)
+    return _prune_all([region], z, [good], purity)[0]
 
 
-def _shape(points: np.ndarray, z: np.ndarray, good: np.ndarray, purity: float) -> Region:
-    """Region of one cluster of points."""
-    if len(np.unique(points, axis=0)) < 3:
-        return Region()
-    region = tight_boundary(points).without_slivers(SLIVER)
-    return region if good.all() else prune(region, z, good, purity)
+def _prune_all(regions: list[Region], z: np.ndarray | Scan, good: list, purity: float) -> list[Region]:
+    """Several regions, each with its goodness, pruned by one count."""
+    name = [id(g) if isinstance(g, np.ndarray) else g for g in good]
+    masks = list(dict(zip(name, good, strict=True)).values())
+    kind = [list(dict.fromkeys(name)).index(x) for x in name]
+    triangles = [(i, t) for i, r in enumerate(regions) for t in r.triangles()]
+    counted = _counts(z, [t for _, t in triangles], np.arange(len(triangles)), masks)
+    kept: list[list[np.ndarray]] = [[] for _ in regions]
+    for (i, t), n in zip(triangles, counted.tolist(), strict=True):
+        if n[0] == 0 or not purity > n[1 + kind[i]] / n[0]:
+            kept[i].append(t)
+    return [Region(k) for k in kept]
 
 
-def build(z: np.ndarray, good: np.ndarray, purity: float, shape: np.ndarray | None = None) -> Region:
-    """Footprint region from rows z and their goodness; ``shape`` are the distinct good points to build from."""
-    own = np.unique(z[good], axis=0) if shape is None else np.unique(shape, axis=0)
-    if len(own) < 3:
+def outline(points: np.ndarray) -> Region:
+    """Region of one cluster of points."""
+    if len(np.unique(points, axis=0)) < 3:
         return Region()
-    k = least_neighbours(len(own))
-    span = own.max(axis=0) - own.min(axis=0)
-    radius = neighbour_radius(len(own), (float(span[0]), float(span[1])), k)
-    classes = cluster(own, radius, k)
-    region = Region()
-    for c in range(1, classes.max() + 1):
-        region = region.union(_shape(own[classes == c], z, good, purity))
-    return region
+    return tight_boundary(points).without_slivers(SLIVER)
 
 
-def tighten(region: Region, z: np.ndarray, good: np.ndarray, purity: float) -> Region:
-    """Each part drawn again around the good rows inside it; parts with fewer than three go."""
+def _union(regions: list[Region]) -> Region:
     out = Region()
-    for part in region.parts():
-        inside = part.contains(z) & good
-        if inside.sum() >= 3:
-            out = out.union(_shape(z[inside], z, good, purity))
+    for r in regions:
+        out = out.union(r)
     return out
 
 
-def measure(region: Region, z: np.ndarray, good: np.ndarray) -> dict[str, Any]:
-    inside = region.contains(z) if region else np.zeros(len(z), dtype=bool)
-    a, n, g = region.area(), int(inside.sum()), int((inside & good).sum())
-    return {"pieces": region.to_lists(), "area": a, "elements": n, "good_elements": g, "density": n / a if a > 0 else 0.0, "purity": g / n if n else 0.0}
+def tighten(region: Region, z: np.ndarray | Scan, good, purity: float) -> Region:
+    """Each part drawn again around the good rows inside it; parts with fewer than three go."""
+    drawn = [outline(p) for p in _inside(z, region.parts(), good)]
+    return _union(_prune_all(drawn, z, [good] * len(drawn), purity)) if drawn else Region()
 
 
-def contradict(first: Region, second: Region, z: np.ndarray, good_1: np.ndarray, good_2: np.ndarray, purity: float, tries: int = 3) -> tuple[Region, Region]:
+def contradict(first: Region, second: Region, z: np.ndarray | Scan, good_1, good_2, purity: float, tries: int = 3) -> tuple[Region, Region]:
     """Two best footprints that overlap: the less pure one gives the overlap up and is drawn again, until they no longer
     overlap, are equally pure there, or the tries are used up."""
     for attempt in range(1, tries + 1):
         overlap = first.intersect(second)
         if not overlap or overlap.area() <= 1e-12:
             break
-        inside = overlap.contains(z)
-        n = inside.sum()
-        p1, p2 = (good_1[inside].sum() / n, good_2[inside].sum() / n) if n else (math.nan, math.nan)
+        n, g1, g2 = _counts(z, overlap.pieces, np.zeros(len(overlap.pieces), dtype=int), [good_1, good_2])[0]
+        p1, p2 = (g1 / n, g2 / n) if n else (math.nan, math.nan)
         if p1 > p2:
             second = second.subtract(overlap)
             second = tighten(second, z, good_2, purity) if attempt < tries else second
@@ -177,46 +232,76 @@ def contradict(first: Region, second: Region, z: np.ndarray, good_1: np.ndarray,
     return first, second
 
 
-def _bounded_points(df: DataFrame, columns: list[str], n: int) -> pd.DataFrame:
-    total = df.count()
-    some = df if total <= n else df.withColumn("__h", F.xxhash64("instances")).orderBy("__h").limit(n).drop("__h")
-    return some.select("instances", "z_1", "z_2", *columns).toPandas().sort_values("instances").reset_index(drop=True)
+@dataclass
+class Outlines:
+    """All rows, the goodness of each footprint by its key, and the outlines of its clusters before any pruning."""
 
+    scan: Scan
+    flags: dict[tuple[str, str], Column]
+    clusters: dict[tuple[str, str], list[Region]]
 
-def footprints(df: DataFrame, algos: list[str], good: list[str], best: str, beta: str, purity: float = 0.55) -> DataFrame:
-    """One row (see SCHEMA) for the space, each algorithm's good and best footprint, and the hard region.
 
-    Shapes come from at most SHAPE_POINTS rows; one group per kind and algorithm builds its region in a task.
-    Contradictions between best footprints are settled pair by pair on these small regions. The counts of all
-    rows inside each region are then taken by one scan of the table.
-    """
+def outlines(df: DataFrame, algos: list[str], good: list[str], best: str, beta: str) -> Outlines:
+    """Clusters of the distinct good points of every footprint, all of them, found together as components of neighbours;
+    a cluster is outlined in a task."""
     spark = df.sparkSession
     ship_package(spark)
-    rows = _bounded_points(df.dropna(subset=["z_1", "z_2"]), [*good, best, beta], SHAPE_POINTS)
-    z = rows[["z_1", "z_2"]].to_numpy(float)
-    masks = {("space", ""): np.ones(len(rows), dtype=bool), ("hard", ""): ~rows[beta].to_numpy(bool)}
+    tables = Tables(spark, "footprints")
+    flags = {("space", ""): F.lit(True), ("hard", ""): ~F.col(beta)}
     for i, (a, g) in enumerate(zip(algos, good, strict=True)):
-        masks["good", a] = rows[g].fillna(False).to_numpy(bool)
-        masks["best", a] = rows[best].to_numpy() == i + 1
-    work = list(masks.items())
-    sent = spark.sparkContext.broadcast((z, work))
+        flags["good", a], flags["best", a] = F.col(g), F.col(best) == i + 1
+    every = F.array(*(F.coalesce(f.cast("boolean"), F.lit(False)) for f in flags.values()))
+    rows = tables.save(df.dropna(subset=["z_1", "z_2"]).select("z_1", "z_2", every.alias("flags")), "rows")
+    own = rows.select("z_1", "z_2", F.posexplode("flags").alias("id", "own")).where("own").select("id", "z_1", "z_2").distinct()
+    points = tables.save(own.withColumn("point", F.monotonically_increasing_id()), "points")
+    of = []
+    for r in points.groupBy("id").agg(F.count("*").alias("n"), *((F.max(c) - F.min(c)).alias(f"d{c}") for c in ("z_1", "z_2"))).collect():
+        k = least_neighbours(r["n"])
+        of.append((r["id"], neighbour_radius(r["n"], (r["dz_1"], r["dz_2"]), k), k))
+    # points on a line have no neighbours
+    near = spark.createDataFrame([x for x in of if x[1] > 0], "id int, radius double, k int")
+    placed = points.join(F.broadcast(near), "id")
+    classes = components(placed, F.col("radius"), F.col("k"), "point", "id").where("class > 0")
+
+    def draw(cluster: pd.DataFrame) -> pd.DataFrame:
+        pieces = outline(cluster[["z_1", "z_2"]].to_numpy(float)).to_lists()
+        return pd.DataFrame({"id": [cluster["id"].iloc[0]], "class": [cluster["class"].iloc[0]], "pieces": [pieces]})
+
+    drawn = placed.select("point", "id", "z_1", "z_2").join(classes, "point").groupBy("id", "class").applyInPandas(draw, "id int, class int, pieces array<array<array<double>>>")
+    keys = list(flags)
+    clusters: dict[tuple[str, str], list[Region]] = {k: [] for k in keys}
+    for r in sorted(drawn.collect(), key=lambda r: (r["id"], r["class"])):
+        clusters[keys[r["id"]]].append(Region.from_lists(r["pieces"]))
+    return Outlines(Scan(rows), flags, clusters)
+
+
+def footprints(df: DataFrame, algos: list[str], good: list[str], best: str, beta: str, purity: float = 0.55, drawn: Outlines | None = None) -> DataFrame:
+    """One row (see SCHEMA) for the space, each algorithm's good and best footprint, and the hard region.
+
+    The outlines of clusters (given, or drawn here) lose their impure triangles by a count of all rows and are joined, a
+    footprint a task. Contradictions between best footprints are settled pair by pair, by counts of all rows. The rows
+    inside each region are then counted by one scan of the table.
+    """
+    spark = df.sparkSession
+    o = drawn or outlines(df, algos, good, best, beta)
+    keys = list(o.flags)
+    whole = [(i, r) for i, k in enumerate(keys) for r in o.clusters[k]]
+    pruned = _prune_all([r for _, r in whole], o.scan, [i for i, _ in whole], purity)
+    sent = spark.sparkContext.broadcast([[p.pieces for (i, _), p in zip(whole, pruned, strict=True) if i == at] for at in range(len(keys))])
 
     def one(batches):
-        z, work = sent.value
         for b in batches:
-            yield pd.DataFrame([(int(i), build(z, work[i][1], purity).to_lists()) for i in b["id"]], columns=["id", "pieces"])
+            yield pd.DataFrame([(int(i), _union([Region(p) for p in sent.value[i]]).to_lists()) for i in b["id"]], columns=["id", "pieces"])
 
-    todo = spark.range(len(work)).repartition(max(1, min(len(work), spark.sparkContext.defaultParallelism)))
-    built = {r["id"]: Region.from_lists(r["pieces"]) for r in todo.mapInPandas(one, "id long, pieces array<array<array<double>>>").collect()}
-    regions = {key: built[i] for i, (key, _) in enumerate(work)}
+    todo = spark.range(len(keys)).repartition(max(1, min(len(keys), spark.sparkContext.defaultParallelism)))
+    regions = {keys[r["id"]]: Region.from_lists(r["pieces"]) for r in todo.mapInPandas(one, "id long, pieces array<array<array<double>>>").collect()}
+    regions = {k: regions[k] for k in keys}
     for i, a in enumerate(algos):
         for b in algos[i + 1 :]:
-            regions["best", a], regions["best", b] = contradict(regions["best", a], regions["best", b], z, masks["best", a], masks["best", b], purity)
+            first, second = ("best", a), ("best", b)
+            regions[first], regions[second] = contradict(regions[first], regions[second], o.scan, keys.index(first), keys.index(second), purity)
     regions = {k: r.without_slivers(SLIVER / 5) for k, r in regions.items()}
-    flags = {("space", ""): F.lit(True), ("hard", ""): ~F.col(beta)}
-    for i, (a, g) in enumerate(zip(algos, good, strict=True)):
-        flags["good", a], flags["best", a] = F.col(g), F.col(best) == i + 1
-    return count_inside(df, regions, flags)
+    return count_inside(df, regions, o.flags)
 
 
 def count_inside(df: DataFrame, regions: dict[tuple[str, str], Region], flags: dict) -> DataFrame:
@@ -224,17 +309,17 @@ def count_inside(df: DataFrame, regions: dict[tuple[str, str], Region], flags: d
     spark = df.sparkSession
     ship_package(spark)
     keys = list(regions)
-    sent = spark.sparkContext.broadcast([regions[k] for k in keys])
+    sent = spark.sparkContext.broadcast([regions[k].pieces for k in keys])
     points = df.select("z_1", "z_2", F.array(*(F.coalesce(flags[k].cast("boolean"), F.lit(False)) for k in keys)).alias("flags")).where("z_1 is not null and z_2 is not null")
 
     def one(batches):
         total = np.zeros((len(sent.value), 2), dtype=np.int64)
+        indexes = [Pieces(p) for p in sent.value]
         for b in batches:
             z = b[["z_1", "z_2"]].to_numpy(float)
             good = np.array(b["flags"].tolist(), dtype=bool).reshape(len(b), -1)
-            for i, r in enumerate(sent.value):
-                inside = r.contains(z)
-                total[i] += (inside.sum(), (inside & good[:, i]).sum())
+            for i, x in enumerate(indexes):
+                total[i] += _tally(x, np.zeros(len(sent.value[i]), dtype=int), 1, z, [good[:, i]])[0]
         yield pd.DataFrame({"i": np.arange(len(total)), "n": total[:, 0], "g": total[:, 1]})
 
     got = {r["i"]: (r["n"], r["g"]) for r in points.mapInPandas(one, "i long, n long, g long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()}
@@ -274,10 +359,10 @@ def summary(table: DataFrame) -> DataFrame:
 
 
 def purity_sweep(df: DataFrame, algos: list[str], good: list[str], best: str, beta: str, levels: list[float] | None = None) -> DataFrame:
-    """purity_level with the mean summary metrics over algorithms, a training of footprints per level."""
-    out = None
+    """purity_level with the mean summary metrics over algorithms; outlines are drawn once, footprints per level."""
+    out, drawn = None, outlines(df, algos, good, best, beta)
     for level in levels or [round(0.05 * i, 2) for i in range(20)]:
-        s = summary(footprints(df, algos, good, best, beta, level))
+        s = summary(footprints(df, algos, good, best, beta, level, drawn))
         one = s.agg(*(F.avg(c).alias(c) for c in s.columns if c != "algo")).withColumn("purity_level", F.lit(float(level)))
         out = one if out is None else out.unionByName(one)
     return out

@@ -418,6 +418,37 @@ def test_footprints_cover_what_is_good(spark):
     assert none.where("kind = 'good' and algo = 'algo_x' and elements = 0 and purity = 0").count() == 1
 
 
+def test_shapes_come_from_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(footprint, "SHAPE_POINTS", 100, raising=False)
+    r = random.Random(21)
+    rows = [(str(i), r.uniform(-1, 1), r.uniform(-1, 1), i < 60) for i in range(900)]
+    rows = [(n, x / 20 + 0.5, y / 20 + 0.5, y_good) if y_good else (n, x, y, False) for n, x, y, y_good in rows]
+    df = spark.createDataFrame(rows, "instances string, z_1 double, z_2 double, good_y boolean")
+    df = df.withColumns({"good_x": F.col("z_1") > 0, "best": F.when(F.col("good_y"), 2).otherwise(1), "easy": F.lit(True)})
+    got = {(x.kind, x.algo): x for x in footprint.footprints(df, ["algo_x", "algo_y"], ["good_x", "good_y"], "best", "easy").collect()}
+    assert got["good", "algo_y"].good_elements >= 20 and got["good", "algo_y"].purity >= 0.55
+    z = np.array([x[1:3] for x in rows])
+    for algo, good in (("algo_x", z[:, 0] > 0), ("algo_y", np.array([x[3] for x in rows]))):
+        own = np.unique(z[good], axis=0)
+        k = footprint.least_neighbours(len(own))
+        classes = footprint.cluster(own, footprint.neighbour_radius(len(own), tuple(np.ptp(own, axis=0)), k), k)
+        shapes = [footprint.prune(footprint.outline(own[classes == c]), z, good, 0.55) for c in range(1, classes.max() + 1)]
+        want = footprint._union(shapes).without_slivers(footprint.SLIVER / 5)
+        x = got["good", algo]
+        assert x.area == pytest.approx(want.area()) and x.elements == want.contains(z).sum() and x.good_elements == (want.contains(z) & good).sum()
+
+
+def test_pieces_hold_the_same_points_as_one_by_one_tests():
+    r = np.random.default_rng(3)
+    pts = r.random((400, 2))
+    region, z = tight_boundary(pts), np.vstack([r.random((2000, 2)) * 1.4 - 0.2, pts])
+    want = np.zeros(len(z), dtype=bool)
+    for p in region.pieces:
+        side = [(b[0] - a[0]) * (z[:, 1] - a[1]) - (b[1] - a[1]) * (z[:, 0] - a[0]) >= -1e-12 for a, b in zip(p, np.roll(p, -1, axis=0), strict=True)]
+        want |= np.all(side, axis=0)
+    assert (region.contains(z) == want).all() and want[2000:].all()
+
+
 # ---- exports, options, runs
 def test_colour_scale_rounds_half_up(spark):
     df = spark.createDataFrame([(2.0, 1.0), (4.0, 1.0), (6.0, 1.0)], "a double, b double")
