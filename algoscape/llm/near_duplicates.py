@@ -7,9 +7,9 @@ the whole sequence is one shingle. Two documents are linked when 100 * |A and B|
 2. Equal sets form a class, represented by its smallest id; only representatives go on, so copies cost nothing more.
 3. Band keys make buckets. A bucket is not expanded into pairs: its members are compared with one leader, the member of
    least random rank, which is the same in most buckets that a group of near copies shares.
-4. Only pairs whose one-bit minima agree well enough leave the bucket; they pass a length bound and a signature bound
-   (each five standard deviations below the threshold), then the full shingle sets confirm them. Links go through
-   large-star/small-star steps.
+4. Only pairs whose one-bit minima agree well enough leave the bucket; they pass a length bound and a signature bound, then
+   the full shingle sets confirm them. Links go through large-star/small-star steps. At the threshold, one-bit minima and
+   signatures each fail a pair with probability ``MISS`` at most (exact binomial tails).
 5. A bucket is settled when its other members lie in one component. The members of those that are not (many texts
    that share a passage, say) are joined exactly, without any cap: by shared shingles among the rarest that two sets of
    the threshold must share, with the bound on their overlap that the places of the shared shingle give, and only
@@ -25,6 +25,7 @@ gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ BROADCAST_IDS = 1_000_000
 #: One-bit minima that travel with bucket members, three longs, for a first check where pairs are made.
 BITS = 192
 _WORDS = ["s0", "s1", "s2"]
+#: Probability that the one-bit minima, or the signatures, of a pair right at the threshold fail it.
+MISS = 1e-9
 #: Earlier shingles that a shingle carries in the exact join of unsettled members.
 BEFORE = 8
 
@@ -159,8 +162,7 @@ def _picked(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: the pairs (a, b) that bounds, signatures and full sets confirm."""
     places = BANDS * ROWS
-    p = percent / 100
-    least = int(np.floor(places * (p - 5 * np.sqrt(p * (1 - p) / places))))
+    least = places - _most(places, 1 - percent / 100)
     x, y = (reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     near = pairs.join(y, "b").join(x, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near = near.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(least), "a long, b long")
@@ -174,12 +176,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of members (id, c, bits) of different components c that can reach the threshold.
+    """a, b: pairs of members (id, c) of different components c that can reach the threshold.
 
     Shingles are ordered by their frequency among the members, rarest first. Two sets of the threshold share one of
     the first n - ceil(n * threshold) + 1 of each, and what follows the first shared place bounds their overlap. A pair
     that also shares one of the ``BEFORE`` shingles before was made there, where the bound is weaker, and is skipped.
-    One-bit minima must agree as elsewhere.
     """
     rows = members.join(sets, "id").select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
@@ -189,16 +190,23 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     # shingles of one member alone come before all shared ones
     place = F.col("n") - F.count("*").over(of) + F.row_number().over(rising) - 1
     placed = shared.withColumns({"p": place, "before": F.collect_list("s").over(rising.rowsBetween(-BEFORE, -1))})
-    prefix = placed.where(f"p <= n - ceil(n * {percent} / 100)").select("s", "id", "c", "n", "p", "before").join(members.select("id", "bits"), "id")
-    a, b = (prefix.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "p", "before", "bits"))) for x in "ab")
+    prefix = placed.where(f"p <= n - ceil(n * {percent} / 100)").select("s", "id", "c", "n", "p", "before")
+    a, b = (prefix.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "p", "before"))) for x in "ab")
     fits = f"id_a < id_b and c_a <> c_b and {100 + percent} * least(n_a - p_a, n_b - p_b) >= {percent} * (n_a + n_b) and not arrays_overlap(before_a, before_b)"
-    return a.join(b, "s").where(fits).where(_near_bits("bits_a", "bits_b", percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return a.join(b, "s").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _most(n: int, p: float) -> int:
+    """Least number that n draws of probability p exceed with probability MISS at most."""
+    tail, k = 0.0, n
+    while k > 0 and tail + (one := math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= MISS:
+        tail, k = tail + one, k - 1
+    return k
 
 
 def _near_bits(a: str, b: str, percent: int):
     """Whether one-bit minima differ in few enough places: they agree with probability (1 + similarity) / 2."""
-    p = (1 + percent / 100) / 2
-    most = int(np.ceil(BITS * (1 - p + 5 * np.sqrt(p * (1 - p) / BITS))))
+    most = _most(BITS, (1 - percent / 100) / 2)
     differ = [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _WORDS]
     return differ[0] + differ[1] + differ[2] <= most
 
@@ -227,9 +235,9 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     pairs = scratch.save(first.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs-0")
     links = scratch.save(_links(pairs, reps, sets, percent), "links-0")
     labels = scratch.save(connected_components(links, scratch, "cc-0"), "labels-0")
-    rest = members.where("u > lead.u").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "bits", F.coalesce("component", "id").alias("c"))
+    rest = members.where("u > lead.u").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     unsettled = rest.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    open_ = scratch.save(rest.join(unsettled, "key", "left_semi").select("id", "c", "bits").distinct(), "open")
+    open_ = scratch.save(rest.join(unsettled, "key", "left_semi").select("id", "c").distinct(), "open")
     if not open_.isEmpty():
         pairs = scratch.save(_prefix_pairs(open_, sets, percent), "pairs-1")
         more = scratch.save(_confirmed(pairs, sets, percent), "links-1")

@@ -1,6 +1,7 @@
 """Near-duplicates and substring dedup against brute force, with the defined edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -149,3 +150,20 @@ def test_substring_dedup_edges(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in S.remove_repeated_passages(df).collect())
     assert got == [(0, 60, 0), (4, 60, 0), (4, 60, 0), (6, 60, 60), (8, 0, 0)]
     assert S.remove_repeated_passages(df.limit(0)).count() == 0
+
+
+def test_exact_join_ignores_one_bit_minima(spark):
+    members = spark.createDataFrame([(1, 1, (0, 0, 0)), (2, 2, (-1, -1, -1))], "id long, c long, bits struct<s0: long, s1: long, s2: long>")
+    sets = spark.createDataFrame([(1, list(range(20))), (2, list(range(19)))], "id long, shingles array<long>")
+    assert [tuple(r) for r in N._prefix_pairs(members, sets, 80).collect()] == [(1, 2)]
+
+
+def test_checks_before_the_sets_fail_pairs_with_a_known_probability(spark):
+    def tail(n, p, k):
+        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1))
+
+    rows = [(i, ((1 << i) - 1, 0, 0)) for i in range(63)]
+    df = spark.createDataFrame([(i, bits, (0, 0, 0)) for i, bits in rows], "i int, a struct<s0: long, s1: long, s2: long>, b struct<s0: long, s1: long, s2: long>")
+    most = max(r.i for r in df.where(N._near_bits("a", "b", 80)).collect())
+    assert tail(192, 0.1, most) <= 1e-9 < tail(192, 0.1, most - 1)
+    assert tail(200, 0.2, N._most(200, 0.2)) <= 1e-9 < tail(200, 0.2, N._most(200, 0.2) - 1)
