@@ -499,8 +499,9 @@ def _(s, d):
 
 @query("index_subset", on("user_meta", ", n AS (SELECT *, row_number() OVER (ORDER BY instances) AS row_id FROM m) SELECT instances, row_id FROM n WHERE row_id % 3 = 1"))
 def _(s, d):
-    index = s.range(0, 1_000_000, 3).select((F.col("id") + 1).alias("idx"))
-    return subset.by_index(M.with_row_id(view(s, d, "user_meta")), index).select("instances", "row_id")
+    users = view(s, d, "user_meta")
+    index = s.range(0, users.count(), 3).select((F.col("id") + 1).alias("idx"))
+    return subset.by_index(M.with_row_id(users), index).select("instances", "row_id")
 
 
 # ---- projection

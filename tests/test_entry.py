@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +47,14 @@ def test_query_equals_sql(spark, tables, name):
         assert x == pytest.approx(y, abs=2e-6) if all(isinstance(v, (int, float)) for v in x) else x == y
 
 
+def test_index_reaches_the_last_row(spark, monkeypatch):
+    from algoscape.plans import queries as q
+
+    monkeypatch.setattr(q, "view", lambda s, d, name: s.range(1_000_010).select(F.col("id").cast("string").alias("instances")))
+    monkeypatch.setattr(q.M, "with_row_id", lambda df: df.withColumn("row_id", F.col("instances").cast("long") + 1))
+    assert q.QUERIES["index_subset"](spark, "").count() == 333_337
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 
