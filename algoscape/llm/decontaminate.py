@@ -2,19 +2,23 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. The windows of an item are its runs of ``n``
 words; an item of fewer words, but not none, is one window. Hash hits are verified against the words themselves.
-The scan is one narrow pass over the documents. The window set is broadcast in shards of bounded size; a benchmark
-beyond one shard costs one more narrow scan for each further shard.
 
-Defined cases: null or empty texts have no words; items without words match nothing; an item whose id is null hits
-words but is not listed; repeated document rows are judged one by one; repeated item rows count once; an empty
-documents or benchmark table gives an empty result or no hits. Only the named columns are read, so further columns
-with any name do no harm.
+The benchmark is dealt to shards of about ``SHARD_BYTES`` of text by a hash of its rows. An executor's task makes each
+shard's window set: the item texts, and for each window its hash and its place in them, sorted by hash: about 4 bytes for
+each byte of text. The driver gets and broadcasts one set at a time. The scan of the documents is narrow; ``SHARDS_PER_SCAN``
+sets are looked up in one scan, and a larger benchmark costs further scans.
+
+Defined cases: null or empty texts have no words; very long texts are read whole, and one longer item makes its shard
+longer; items without words match nothing; an item whose id is null hits words but is not listed; repeated document rows
+are judged one by one; repeated item rows count once; items that share a window are all listed; an empty documents or
+benchmark table gives an empty result or no hits. Only the named columns are read; documents that already have ``__n_words``,
+``__hit`` or ``__items`` raise an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,39 +28,43 @@ from pyspark.sql import types as T
 
 from ..functions.shipping import ship_package
 from . import kernel as K
-from .scratch import bounded_batches
+from .scratch import Scratch, bounded_batches, refuse
 
-#: Benchmark text in one broadcast shard; the windows' hashes and words take a small multiple of it.
+#: Benchmark text in one broadcast shard, and shards looked up in one scan.
 SHARD_BYTES = 16 << 20
+SHARDS_PER_SCAN = 4
 _FILTER_BITS = 20
 
 
 @dataclass
 class WindowSet:
-    """Windows of one shard by length: sorted hashes, the window's words, and the items that hold it."""
+    """Windows of one shard: the items' words, and by window length the sorted hashes and first words of the windows."""
 
-    by_length: dict[int, tuple[np.ndarray, list[bytes], list[tuple[str, ...]]]]
+    buf: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    items: list[str | None]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
-    def build(rows: list[tuple[str | None, str | None]], n: int) -> WindowSet:
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        for item, text in rows:
-            w = K.words(pa.array([text], pa.string()), K.ALNUM, fold=True)
-            count = len(w.hash)
-            if not count:
-                continue
-            size = min(n, count)
-            texts = [w.text(i).lower() for i in range(count)]
-            for i, h in enumerate(K.gram_hashes(w.hash, size).tolist()):
-                window = b" ".join(texts[i : i + size])
-                found.setdefault(size, {}).setdefault(h, {}).setdefault(window, set()).update([] if item is None else [item])
-        out = {}
-        for size, windows in found.items():
-            flat = sorted(((h, words, tuple(sorted(items))) for h, same in windows.items() for words, items in same.items()), key=lambda x: x[0])
-            out[size] = (np.array([x[0] for x in flat], dtype=np.uint64), [x[1] for x in flat], [x[2] for x in flat])
-        return WindowSet(out)
-
-    def scan(self, w: K.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
+    def build(items: list[str | None], texts: pa.Array, n: int) -> WindowSet:
+        w = K.words(texts, K.ALNUM, fold=True)
+        count = np.diff(w.first)
+        out = WindowSet(w.buf, w.start.astype(np.int32), w.end.astype(np.int32), w.first, items)
+        runs, size_of, at = K.Runs(w.hash), np.minimum(count, n)[w.doc_of()], np.arange(len(w.hash))
+        fits = at + size_of <= w.doc_end()
+        for size in np.unique(size_of[fits]).tolist():
+            i = at[fits & (size_of == size)]
+            h = runs.hashes(i, i + size)
+            order = np.argsort(h, kind="stable")
+            out.by_length[size] = (h[order], i[order].astype(np.int32))
+        return out
+
+    def _window(self, i: int, size: int) -> list[bytes]:
+        return [self.buf[a:b].tobytes().lower() for a, b in zip(self.start[i : i + size], self.end[i : i + size], strict=True)]
+
+    def scan(self, w: K.Words, runs: K.Runs) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words lie in a verified window, and the item ids by document of the slice."""
         n = len(w.hash)
         mark = np.zeros(n + 1, dtype=np.int64)
@@ -64,41 +72,70 @@ class WindowSet:
         if not n:
             return mark[:0] > 0, items
         end, doc = w.doc_end(), w.doc_of()
-        sums = K.sequence_sums(w.hash)
-        for size, (hashes, texts, ids) in self.by_length.items():
+        shift = np.uint64(64 - _FILTER_BITS)
+        for size, (hashes, place) in self.by_length.items():
             if n < size:
                 continue
             i = np.arange(n - size + 1)
-            g = K.range_hashes(sums, i, i + size)
+            g = runs.hashes(i, i + size)
             near = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            shift = np.uint64(64 - _FILTER_BITS)
             near[hashes >> shift] = True
             i = np.flatnonzero(near[g >> shift])
             i = i[i + size <= end[i]]
-            at = np.searchsorted(hashes, g[i])
-            ok = (at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == g[i])
-            for p, k in zip(i[ok].tolist(), at[ok].tolist(), strict=True):
-                words = b" ".join(w.text(j).lower() for j in range(p, p + size))
-                while k < len(hashes) and hashes[k] == g[p]:
-                    if texts[k] == words:
-                        mark[p] += 1
-                        mark[p + size] -= 1
-                        items.setdefault(int(doc[p]), set()).update(ids[k])
-                    k += 1
+            low, high = np.searchsorted(hashes, g[i]), np.searchsorted(hashes, g[i], side="right")
+            for p, a, b in zip(i[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                words = [w.text(j).lower() for j in range(p, p + size)]
+                equal = [k for k in place[a:b].tolist() if self._window(k, size) == words]
+                if equal:
+                    mark[p] += 1
+                    mark[p + size] -= 1
+                    own = items.setdefault(int(doc[p]), set())
+                    own.update(x for k in equal if (x := self.items[int(np.searchsorted(self.first, k, side="right")) - 1]) is not None)
         return np.cumsum(mark[:-1]) > 0, items
 
 
+_SHARD = "kind string, size int, data binary"
+
+
+def _build(n: int):
+    """The window set of all rows of a task, as named arrays."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        table = pa.Table.from_batches(rows) if rows else pa.table({"item": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+        texts = table.column("text").cast(pa.large_string()).combine_chunks()
+        found = WindowSet.build(table.column("item").to_pylist(), texts, n)
+        named = [("buf", 0, found.buf), ("start", 0, found.start), ("end", 0, found.end), ("first", 0, found.first)]
+        named += [(kind, size, x) for size, both in found.by_length.items() for kind, x in zip(("hash", "place"), both, strict=True)]
+        for kind, size, x in named:
+            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([size], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["kind", "size", "data"])
+        for item in found.items:
+            yield pa.RecordBatch.from_arrays([pa.array(["item"]), pa.array([0], pa.int32()), pa.array([None if item is None else item.encode()], pa.binary())], names=["kind", "size", "data"])
+
+    return one
+
+
 def _shards(benchmark: DataFrame, item: str, text: str, n: int) -> Iterator[WindowSet]:
-    """The benchmark in broadcast shards of at most SHARD_BYTES of text; rows stream to the driver."""
-    rows: list[tuple[str | None, str | None]] = []
-    size = 0
-    for row in benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).toLocalIterator():
-        if rows and size + len(row[1] or "") > SHARD_BYTES:
-            yield WindowSet.build(rows, n)
-            rows, size = [], 0
-        rows.append((row[0], row[1]))
-        size += len(row[1] or "")
-    yield WindowSet.build(rows, n)
+    """The benchmark's window sets, each made by one task."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
+    rows = Scratch(benchmark.sparkSession, "benchmark").save(rows, "rows")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = max(1, -(-size // SHARD_BYTES))
+    for shard in range(number):
+        own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(number)) == shard)
+        got = own.coalesce(1).mapInArrow(_build(n), _SHARD).toArrow()
+        parts: dict[tuple[str, int], bytes] = {}
+        items: list[str | None] = []
+        for kind, size, data in zip(*(c.to_pylist() for c in got.columns), strict=True):
+            if kind == "item":
+                items.append(None if data is None else data.decode())
+            else:
+                parts[kind, size] = data
+        kinds = {"buf": np.uint8, "start": np.int32, "end": np.int32, "first": np.int64, "hash": np.uint64, "place": np.int32}
+        array = {k: np.frombuffer(v, dtype=kinds[k[0]]) for k, v in parts.items()}
+        by_length = {size: (array["hash", size], array["place", size]) for kind, size in array if kind == "hash"}
+        if by_length:
+            yield WindowSet(array["buf", 0], array["start", 0], array["end", 0], array["first", 0], items, by_length)
 
 
 _HITS = T.StructType(
@@ -115,44 +152,60 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, item_id: str = "item_id"
     spark = documents.sparkSession
     ship_package(spark)
     bounded_batches(spark)
+    refuse(documents, *_HITS.names)
     keep = documents.columns if keep is None else keep
     cols = list(dict.fromkeys([*keep, text]))
     out = documents.select(*cols)
-    for number, shard in enumerate(_shards(benchmark, item_id, "text", n)):
-        sent = spark.sparkContext.broadcast(shard)
-        last = out.schema if number else T.StructType([*out.schema.fields, *_HITS.fields])
-
-        def one(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
-            for s in K.slices(batches, text):
-                w = K.words(s.column(s.schema.get_field_index(text)), K.ALNUM, fold=True)
-                hit, items = sent.value.scan(w)
-                hits, ids = [], []
-                for d in range(s.num_rows):
-                    own, had = items.get(d), set()
-                    if own is not None:
-                        mask = hit[w.first[d] : w.first[d + 1]].copy()
-                        found = set(own)
-                    else:
-                        mask, found = None, set()
-                    if number:
-                        before = s.column(s.schema.get_field_index("__hit"))[d].as_py()
-                        had = set(s.column(s.schema.get_field_index("__items"))[d].as_py())
-                        if before:
-                            mask = np.zeros(w.first[d + 1] - w.first[d], dtype=bool) if mask is None else mask
-                            for a, b in zip(before[::2], before[1::2], strict=True):
-                                mask[a:b] = True
-                    hits.append([] if mask is None else np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist())
-                    ids.append(sorted(found | had))
-                base = [s.column(i) for i in range(len(cols))]
-                yield pa.RecordBatch.from_arrays(
-                    [*base, pa.array(np.diff(w.first), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))],
-                    names=[*cols, *_HITS.names],
-                )
-
-        out = out.mapInArrow(one, last)
+    scratch = Scratch(spark, "scan")
+    sets = _shards(benchmark, item_id, "text", n)
+    number, more = 0, True
+    while more:
+        sent = []
+        while len(sent) < SHARDS_PER_SCAN and more:
+            found = next(sets, None)
+            more = found is not None
+            if more:
+                sent.append(spark.sparkContext.broadcast(found))
+        if sent or not number:
+            # between two scans the rows and what is found so far are written
+            out = scratch.save(out, f"scan-{number}") if number else out
+            out = out.mapInArrow(_scan(cols, text, sent, number > 0), out.schema if number else T.StructType([*out.schema.fields, *_HITS.fields]))
+            number += 1
     return out.select(*keep, *_HITS.names)
 
 
+def _scan(cols: list[str], text: str, sent: list, again: bool):
+    """Looks up the broadcast sets in each slice; ``again`` adds to what an earlier scan found."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in K.slices(batches, text):
+            w = K.words(s.column(s.schema.get_field_index(text)), K.ALNUM, fold=True)
+            runs = K.Runs(w.hash)
+            hit, items = np.zeros(len(w.hash), dtype=bool), {}
+            for x in sent:
+                more, own = x.value.scan(w, runs)
+                hit |= more
+                for d, ids in own.items():
+                    items.setdefault(d, set()).update(ids)
+            hits, ids = [], []
+            before = [s.column(s.schema.get_field_index(c)).to_pylist() for c in ("__hit", "__items")] if again else None
+            any_ = K.span_sum(hit.astype(np.int64), w.first)
+            for d in range(s.num_rows):
+                found = items.get(d, set())
+                if before and before[0][d]:
+                    found = found | set(before[1][d])
+                    for a, b in zip(before[0][d][::2], before[0][d][1::2], strict=True):
+                        hit[w.first[d] + a : w.first[d] + b] = True
+                    any_[d] += 1
+                mask = hit[w.first[d] : w.first[d + 1]]
+                hits.append(np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist() if any_[d] else [])
+                ids.append(sorted(found))
+            base = [s.column(i) for i in range(len(cols))]
+            yield pa.RecordBatch.from_arrays([*base, pa.array(np.diff(w.first), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=[*cols, *_HITS.names])
+
+    return one
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 10) -> DataFrame:
     """Per document: id, n_words, n_hit, hit word ranges, item ids and whether any word is hit."""
     d = scan(documents, benchmark, text=text, n=n, keep=[doc_id])

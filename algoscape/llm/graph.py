@@ -15,17 +15,22 @@ def _neighbour_minimum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Links every larger neighbour of a node to the smallest node around it. edges: u, v without loops."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_neighbour_minimum(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Links a node and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _neighbour_minimum(down)
-    linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Links every larger neighbour of a node to the smallest node around it. edges: u, v without loops; least: written minima."""
+    return _both_ways(edges).join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _down(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Links a node and its smaller neighbours to the smallest of them; least: written minima."""
+    linked = _down(edges).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -43,9 +48,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         step += 1
         # steps never add edges by more than a node each; few edges are written to few files
         files = 1 + 2 * had[0] // EDGES_PER_FILE
-        big = scratch.save(large_star(at), f"{name}-{step}-large", files=files)
-        new = scratch.save(small_star(big), f"{name}-{step}", files=files)
-        scratch.drop(f"{name}-{step}-large")
+        # minima are written first: a join of written tables can split a node with very many neighbours
+        around = scratch.save(_neighbour_minimum(_both_ways(at)), f"{name}-{step}-around", files=files)
+        big = scratch.save(large_star(at, around), f"{name}-{step}-large", files=files)
+        below = scratch.save(_neighbour_minimum(_down(big)), f"{name}-{step}-below", files=files)
+        new = scratch.save(small_star(big, below), f"{name}-{step}", files=files)
+        for old in ("around", "large", "below"):
+            scratch.drop(f"{name}-{step}-{old}")
         has = new.agg(*mark).first()
         scratch.drop(f"{name}-{step - 1}")
         at = new

@@ -1,8 +1,9 @@
 """Vectorised word kernel over Arrow string batches.
 
 All functions work on a whole slice of documents at once: the bytes of the slice are one numpy array, words are
-found with byte-class tables and every word, n-gram or window gets a 64-bit hash from prefix sums. No Python
-loop runs per word. Slices are cut by bytes, so memory is bounded by the slice size or one document.
+found with byte-class tables, and every word, n-gram or window gets a 64-bit hash; each step of a hash is mixed, so that
+no pattern of bytes or words makes hashes meet. No Python loop runs per word. Slices are cut by bytes, so memory is
+bounded by the slice size or one document.
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text per slice; one longer document is a slice of its own.
 SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
+_LEFT, _LENGTH = _U(0x9FB21C651E98DF25), _U(0xA0761D6478BD642F)
+#: Byte ranges over this length are hashed one by one.
+_LONG = 256
+#: Masks that keep the first 0..8 bytes of a little-endian word.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,25 +43,6 @@ def random_words(n: int, seed: int) -> np.ndarray:
         return mix64((np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) ^ mix64(np.array([seed], dtype=_U)))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, for positions 0..n-1."""
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        base = _BASES[which]
-        inverse = pow(base, -1, 1 << 64)
-        pair = []
-        for b in (base, inverse):
-            p = np.full(size, b, dtype=_U)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        have = _POWERS[which] = (pair[0], pair[1])
-    return have[0][:n], have[1][:n]
-
-
 def _word_table(separators: bytes | None, letters: bytes | None) -> np.ndarray:
     t = np.zeros(256, dtype=bool)
     if separators is not None:
@@ -75,11 +62,8 @@ ALNUM = _word_table(None, b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP
 LINES = _word_table(b"\n", None)
 
 
-def _byte_values(seed: int, fold: bool) -> np.ndarray:
-    v = random_words(256, seed)
-    if fold:
-        v[65:91] = v[97:123]
-    return v
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 @dataclass
@@ -152,16 +136,35 @@ def find(buf: np.ndarray, doc_byte: np.ndarray, table: np.ndarray) -> tuple[np.n
     return start, end, np.searchsorted(start, doc_byte)
 
 
+def eights(buf: np.ndarray, *, fold: bool = False) -> np.ndarray:
+    """The eight bytes from each byte of buf on, as one little-endian word; zeros follow the last byte."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = _LOWER[buf] if fold else buf
+    return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, *, fold: bool = False, family: int = 0) -> np.ndarray:
-    """64-bit hash of each byte range."""
-    values = _byte_values(_SEEDS[family], fold)
-    up, down = _powers(family, len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, dtype=_U)
+    """64-bit hash of each byte range: its bytes eight at a time, every step mixed before the next.
+
+    The families are independent. Ranges of one length up to eight bytes never share a hash.
+    """
+    length = end - start
+    seed = _U(_SEEDS[family])
     with np.errstate(over="ignore"):
-        np.cumsum(values[buf] * up[:-1], out=sums[1:])
-        h = (sums[end] - sums[start]) * down[start]
-        h ^= (end - start).astype(_U) * _U(0xA0761D6478BD642F)
-        return mix64(h)
+        h = mix64(length.astype(_U) * _LENGTH + seed)
+        if not len(h):
+            return h
+        eight = eights(buf, fold=fold)
+        h = mix64(h ^ (eight[start] & FIRST[np.minimum(length, 8)]))
+        at, done = np.flatnonzero((length > 8) & (length <= _LONG)), 8
+        while len(at):
+            h[at] = mix64(h[at] * _LEFT + (eight[start[at] + done] & FIRST[np.minimum(length[at] - done, 8)]))
+            done += 8
+            at = at[length[at] > done]
+        for i in np.flatnonzero(length > _LONG).tolist():
+            raw = buf[start[i] : end[i]]
+            h[i] = xxhash.xxh3_64_intdigest((_LOWER[raw] if fold else raw).tobytes(), seed=int(seed))
+    return h
 
 
 def words(column: pa.Array, table: np.ndarray, *, fold: bool = False, family: int = 0) -> Words:
@@ -171,31 +174,49 @@ def words(column: pa.Array, table: np.ndarray, *, fold: bool = False, family: in
     return Words(buf, doc_byte, start, end, span_hashes(buf, start, end, fold=fold, family=family), first)
 
 
-def sequence_sums(hashes: np.ndarray, family: int = 0) -> np.ndarray:
-    """Prefix sums from which range_hashes takes the hash of any word range."""
-    up, _ = _powers(2 + family, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, dtype=_U)
-    with np.errstate(over="ignore"):
-        np.cumsum(hashes * up[:-1], out=sums[1:])
-    return sums
-
-
-def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
-    """Hash of the words start..end-1, equal for equal word sequences wherever they stand."""
-    _, down = _powers(2 + family, len(sums))
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = (sums[end] - sums[start]) * down[start]
-        h ^= (end - start).astype(_U) * _U(0xE7037ED1A0B428DB)
-        return mix64(h)
-
-
-def gram_hashes(hashes: np.ndarray, k: int, family: int = 0) -> np.ndarray:
-    """Hash of each k consecutive words; ranges that cross documents are the caller's to mask."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=_U)
-    i = np.arange(n)
-    return range_hashes(sequence_sums(hashes, family), i, i + k, family)
+        return mix64(left * _LEFT + right)
+
+
+class Runs:
+    """Hashes of any run of consecutive words, from the words' hashes.
+
+    Level k holds the hash of the 2**k words from each place on, joined from two halves. A run takes the two longest
+    levels that start at its first and end at its last word, so equal runs have equal hashes wherever they stand.
+    """
+
+    def __init__(self, hashes: np.ndarray):
+        self.levels = [hashes]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            h, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(_join(h[:-half], h[half:]))
+        return self.levels[k]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words start..end-1 of each run; runs hold a word at least."""
+        length = end - start
+        out = np.zeros(len(start), dtype=_U)
+        if not len(out):
+            return out
+        k = np.frexp(length.astype(np.float64))[1] - 1
+        for level in np.unique(k).tolist():
+            h, at = self._level(level), slice(None) if k.min() == k.max() else np.flatnonzero(k == level)
+            out[at] = _join(h[start[at]], h[end[at] - (1 << level)])
+        with np.errstate(over="ignore"):
+            return mix64(out ^ (length.astype(_U) * _LENGTH))
+
+    def grams(self, k: int) -> np.ndarray:
+        """Hash of each k consecutive words; runs that cross documents are the caller's to mask."""
+        i = np.arange(max(len(self.levels[0]) - k + 1, 0))
+        return self.hashes(i, i + k)
+
+
+def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive words; runs that cross documents are the caller's to mask."""
+    return Runs(hashes).grams(k)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -6,10 +6,13 @@ earliest deadline goes out (ties: the heavier source, then the name). So after a
 had within less than one block of its share, as long as no source has run out.
 
 Weights are whole parts of their sum D, so the schedule repeats after D slots. One period is made by folding over
-its D slots (a bounded number, from the parameters alone), and every block finds its slot by a broadcast join with the
-period table: block j of a source of n parts stands at slot floor((j - 1) / n) * D + slot of block (j - 1) mod n + 1. No row
-ever goes through one task. Rows are numbered inside a source by hash buckets of about ``BUCKET_ROWS`` rows of the table,
-each with the count of the buckets before it, so a source with a third of all rows is split like the others.
+its D slots in chunks, in time proportional to D; the period table has D rows of one counter a source, ``MAX_COUNTERS`` in
+all, and finer weights raise an error. Every block finds its slot by a broadcast join with it: block j of a source of n
+parts stands at slot floor((j - 1) / n) * D + slot of block (j - 1) mod n + 1. No row ever goes through one task. Rows are
+numbered inside a source by buckets of a hash of all their columns, about ``BUCKET_ROWS`` rows of the table each, with the
+count of the buckets before it, so neither a source nor a (null) id with a third of all rows stands in one bucket. Only
+rows equal in all columns share one; where they fill a bucket beyond ``HOT_ROWS`` the rows are written with a number, which
+splits it.
 
 All of it is DataFrame functions in the JVM; nothing runs in Python.
 
@@ -17,8 +20,9 @@ Nothing is dropped: where a source runs out, its slots stay empty and the others
 numbers the blocks that exist without gaps. Sources without a weight, and null sources, form one pool with the
 weight ``rest``, ordered like a source of its own.
 
-Defined cases: an empty table gives an empty result; repeated rows are rows of their own; texts play no role; null
-ids come first in their bucket; columns that clash with the added ones are replaced by them.
+Defined cases: an empty table gives an empty result; repeated rows are rows of their own; null, empty and very long texts
+only enter the hash of their row; null ids come first in their bucket; equal deadlines go to the heavier source, then by
+name; documents that already have a column that is added (``ADDED``) raise an error.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from math import gcd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, refuse
 
 #: Target parts of the queries: one large source is held to a quarter, the others share the rest evenly.
 WEIGHTS = {"src0": 190} | {f"src{i}": 30 for i in range(1, 28)}
@@ -37,6 +41,11 @@ REST = 20
 BLOCK_ROWS = 8
 #: Rows of the table to one hash bucket, and the least number of buckets.
 BUCKET_ROWS, MIN_BUCKETS = 250_000, 64
+#: Rows of one source in one bucket beyond which equal rows are split.
+HOT_ROWS = 8 * BUCKET_ROWS
+#: Slots of a period times sources, at most: 8 bytes each in the broadcast table.
+MAX_COUNTERS = 4_000_000
+ADDED = ["block", "release", "deadline", "slot", "position", "row"]
 _POOL = "(rest)"
 
 
@@ -53,9 +62,10 @@ def parts_of(weights: dict[str, int], rest: int) -> tuple[list[tuple[str, int]],
     return parts, sum(w for _, w in parts)
 
 
-def bucket_of(doc_id, buckets: int):
-    """Hash bucket of an id; null ids are in bucket 0."""
-    return F.coalesce(F.pmod(F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(buckets)), F.lit(0)).cast("int")
+def bucket_of(columns: list[str], buckets: int):
+    """Hash bucket of a row, from all its columns as text; null counts as empty."""
+    whole = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return F.pmod(F.conv(F.substring(F.md5(whole), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
 def period(spark: SparkSession, parts: list[tuple[str, int]], total: int) -> DataFrame:
@@ -87,7 +97,16 @@ def period(spark: SparkSession, parts: list[tuple[str, int]], total: int) -> Dat
 
     none = F.array_repeat(F.lit(0).cast("long"), len(parts))
     empty = F.filter(F.array(F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("slot"), none.alias("before"))), lambda x: F.lit(False))
-    fold = F.aggregate(F.sequence(F.lit(0).cast("long"), size - 1), F.struct(none.alias("done"), empty.alias("out")), step)
+    chunk = F.lit(max(1, int(total**0.5))).cast("long")
+
+    def chunk_step(state, start):
+        # lists grow inside a chunk only, and the list of chunks by one for each
+        inner = F.aggregate(F.sequence(start, F.least(start + chunk, size) - 1), F.struct(state["done"].alias("done"), empty.alias("out")), step)
+        bound = F.transform(F.array(inner), lambda x: F.struct(x["done"].alias("done"), F.concat(state["out"], F.array(x["out"])).alias("out")))
+        return F.get(bound, F.lit(0))
+
+    fold = F.aggregate(F.sequence(F.lit(0).cast("long"), size - 1, chunk), F.struct(none.alias("done"), F.filter(F.array(empty), lambda x: F.lit(False)).alias("out")), chunk_step)
+    fold = F.struct(F.flatten(fold["out"]).alias("out"))
     rows = spark.range(1).select(F.explode(fold["out"]).alias("r"))
     return rows.select(F.col("r.k").alias("__k"), F.col("r.o").alias("__o"), F.col("r.slot").alias("__slot"), F.col("r.before").alias("__before"))
 
@@ -100,16 +119,24 @@ def mix(
     spark = documents.sparkSession
     weights = WEIGHTS if weights is None else weights
     parts, total = parts_of(weights, rest)
+    if total * len(parts) > MAX_COUNTERS:
+        raise ValueError(f"weights of {total} parts over {len(parts)} sources make a period of more than {MAX_COUNTERS} counters; take coarser ones")
+    refuse(documents, *ADDED, "__k", "__bucket", "__rank", "__offset", "__at", "__j0", "__n", "__q", "__o", "__slot", "__before")
     scratch = Scratch(spark, "mixing")
     place = F.create_map(*(x for i, (s, _) in enumerate(parts) for x in (F.lit(s), F.lit(i))))
     pool = next(i for i, (s, _) in enumerate(parts) if s not in weights)
-    base = documents.drop("block", "release", "deadline", "slot", "position", "row")
+    base = documents
     named = F.coalesce(F.try_element_at(place, F.when(F.col(source).cast("string").isin(list(weights)), F.col(source).cast("string")).otherwise(F.lit(""))), F.lit(pool))
     buckets = max(MIN_BUCKETS, -(-base.count() // BUCKET_ROWS))
-    rows = base.withColumns({"__k": named, "__bucket": bucket_of(F.col(doc_id), buckets)})
+    rows = base.withColumns({"__k": named, "__bucket": bucket_of(base.columns, buckets)})
 
     # numbers inside a source: rank in the bucket plus the rows of earlier buckets
     counts = scratch.save(rows.groupBy("__k", "__bucket").count(), "counts")
+    if (most := counts.agg(F.max("count")).first()[0] or 0) > HOT_ROWS:
+        parted = -(-most // BUCKET_ROWS)
+        number = F.pmod(F.monotonically_increasing_id(), F.lit(parted)).cast("int")
+        rows = scratch.save(rows.withColumn("__bucket", F.col("__bucket") * F.lit(parted).cast("long") + number), "rows")
+        counts = scratch.save(rows.groupBy("__k", "__bucket").count(), "counts-parted")
     earlier = Window.partitionBy("__k").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__k", "__bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__offset"))
     # as many rows as there are weights
@@ -164,7 +191,7 @@ def _sql() -> str:
     return f"""
 WITH parts(name, k, n) AS (VALUES {sources}), plan(k, o, slot) AS (VALUES {slots}),
 d AS (SELECT doc_id, source, coalesce(p.k, {pool}) AS k,
-        coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % greatest({MIN_BUCKETS}, (SELECT CAST(ceil(count(*) / {BUCKET_ROWS}.0) AS BIGINT) FROM documents)), 0) AS b
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(source, '')), 1, 8) AS BIGINT) % greatest({MIN_BUCKETS}, (SELECT CAST(ceil(count(*) / {BUCKET_ROWS}.0) AS BIGINT) FROM documents)) AS b
       FROM documents LEFT JOIN parts p ON p.name = source AND p.k <> {pool}),
 numbered AS (SELECT doc_id, source, k, row_number() OVER (PARTITION BY k ORDER BY b, doc_id NULLS FIRST) - 1 AS a FROM d),
 blocks AS (SELECT doc_id, source, k, n, a // {BLOCK_ROWS} AS j, a % {BLOCK_ROWS} AS r FROM numbered JOIN parts USING (k)),

@@ -8,19 +8,21 @@ the whole sequence is one shingle. Two documents are linked when 100 * |A and B|
 3. Band keys make buckets. A bucket is not expanded into pairs: its members are compared with one leader, the member of
    least random rank, which is the same in most buckets that a group of near copies shares.
 4. Only pairs whose one-bit minima agree well enough leave the bucket; they pass a length bound and a signature bound, then
-   the full shingle sets confirm them. Links go through large-star/small-star steps. At the threshold, one-bit minima and
-   signatures each fail a pair with probability ``MISS`` at most (exact binomial tails).
+   the full shingle sets confirm them, word by word. Links go through large-star/small-star steps. At the threshold, one-bit
+   minima and signatures each fail a pair with probability ``MISS`` at most (exact binomial tails).
 5. A bucket is settled when its other members lie in one component. The members of those that are not (many texts
    that share a passage, say) are joined exactly, without any cap: by shared shingles among the rarest that two sets of
    the threshold must share, with the bound on their overlap that the places of the shared shingle give, and only
-   across components. That bound leaves few pairs besides true ones, however many members a bucket has.
+   across components. Lengths that the bound allows are part of the join's key, and rows of the component that holds most
+   rows of a shingle meet those of other components alone, so that texts of one template make no pairs.
 
-At similarity 0.8 a pair misses all bands with probability (1 - 0.8**ROWS)**BANDS, 1.3e-7 with 40 bands of 5.
+At similarity 0.8 a pair misses all bands with probability (1 - 0.8**ROWS)**BANDS, 1.3e-7 with 40 bands of 5. Equal sets
+are known by 128-bit digests from two independent hashes of their words; all other links are confirmed on words.
 
-Defined cases: null and empty texts have an empty set and are linked with nothing; a null id is linked with nothing,
-gets a null component and is kept; rows that repeat an id are each returned with the id's component, which with different
-texts under one id is that of one of them; an empty table
-gives an empty result; only the named columns are read.
+Defined cases: null and empty texts have an empty set and are linked with nothing; very long texts are read whole; a null
+id is linked with nothing, gets a null component and is kept; rows that repeat an id are each returned with the id's
+component, which with different texts under one id is that of one of them; a similarity equal to the threshold links; an
+empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -50,11 +52,10 @@ MISS = 1e-9
 BEFORE = 8
 
 
-def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(column: pa.Array, k: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of the documents one after the other, and the bounds of each document's."""
-    w = K.words(column, K.SPACED, fold=True)
+    w = K.words(column, K.SPACED, fold=True, family=family)
     docs, count = len(w.first) - 1, np.diff(w.first)
-    sums = K.sequence_sums(w.hash)
     start = np.arange(len(w.hash))
     end = w.doc_end()
     doc = w.doc_of()
@@ -62,7 +63,7 @@ def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     whole = (count < k)[doc] if len(doc) else np.zeros(0, dtype=bool)
     ok = np.where(whole, start == w.first[:-1][doc], start + k <= end) if len(doc) else whole
     s = start[ok]
-    h = K.range_hashes(sums, s, np.minimum(s + k, end[ok]))
+    h = K.Runs(w.hash).hashes(s, np.minimum(s + k, end[ok]))
     d = doc[ok]
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
@@ -72,6 +73,12 @@ def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(d, np.arange(docs + 1))
 
 
+def plain_shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a text, as their words."""
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(len(words) - k, 0) + 1)} if words else set()
+
+
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     n = BANDS * ROWS
     return K.random_words(n, 101) | np.uint64(1), K.random_words(n, 202)
@@ -101,10 +108,10 @@ def _sketch(k: int, text: str):
             sig = signatures(h, bounds)
             digest = []
             with np.errstate(over="ignore"):
-                for salt in (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B):
-                    c = np.zeros(len(h) + 1, dtype=np.uint64)
-                    np.cumsum(K.mix64(h ^ np.uint64(salt)), out=c[1:])
-                    digest.append(pa.array(K.signed(c[bounds[1:]] - c[bounds[:-1]])))
+                for x, at in ((h, bounds), shingles(s.column(1), k, 1)):
+                    c = np.zeros(len(x) + 1, dtype=np.uint64)
+                    np.cumsum(K.mix64(x ^ np.uint64(0x6A09E667F3BCC909)), out=c[1:])
+                    digest.append(pa.array(K.signed(c[at[1:]] - c[at[:-1]])))
             n = np.diff(bounds)
             flat = pa.py_buffer(np.ascontiguousarray(sig).tobytes())
             width = sig.shape[1] * 2
@@ -138,18 +145,24 @@ def _alike(least: int):
     return one
 
 
-def _confirm(percent: int):
-    """Keeps pairs whose full sets reach the threshold; a set has no shingle twice."""
+def _confirm(k: int, percent: int):
+    """Keeps pairs of texts whose full sets reach the threshold: by hashes first, then on the words themselves."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            at = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (b.column(2), b.column(3))]
-            for i in range(b.num_rows):
-                p, q = (values[o[i] : o[i + 1]] for o, values in at)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        reach = lambda both, p, q: 100 * both >= percent * (p + q - both)
+        of, own = None, set()
+        for batch in batches:
+            for b in K.slices(K.slices(iter([batch]), "text_a"), "text_b"):
+                x, y = (shingles(b.column(i), k) for i in (2, 3))
+                keep = np.zeros(b.num_rows, dtype=bool)
+                for i in range(b.num_rows):
+                    p, q = (h[at[i] : at[i + 1]] for h, at in (x, y))
+                    if reach(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)):
+                        if of != (a := b.column(0)[i].as_py()):
+                            of, own = a, plain_shingles(b.column(2)[i].as_py(), k)
+                        other = plain_shingles(b.column(3)[i].as_py(), k)
+                        keep[i] = reach(len(own & other), len(own), len(other))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
     return one
 
@@ -159,29 +172,34 @@ def _picked(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """u, v: the pairs (a, b) that bounds, signatures and full sets confirm."""
     places = BANDS * ROWS
     least = places - _most(places, 1 - percent / 100)
     x, y = (reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     near = pairs.join(y, "b").join(x, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near = near.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(least), "a long, b long")
-    return _confirmed(near, sets, percent)
+    return _confirmed(near, texts, k, percent)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """u, v: the pairs (a, b) whose full sets reach the threshold."""
-    sx, sy = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(sy, "b").join(sx, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "u long, v long")
+    x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "u long, v long")
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of members (id, c) of different components c that can reach the threshold.
+#: Key of the exact join: shingle, length class, and whether the component with most rows of the shingle takes part.
+MEET = ["s", "size", "top"]
 
-    Shingles are ordered by their frequency among the members, rarest first. Two sets of the threshold share one of
-    the first n - ceil(n * threshold) + 1 of each, and what follows the first shared place bounds their overlap. A pair
-    that also shares one of the ``BEFORE`` shingles before was made there, where the bound is weaker, and is skipped.
+
+def _prefix_sides(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the exact join on MEET: rows of the longer set (a) and of the shorter (b), which may be equally long.
+
+    A longer set of n shingles with the shared one at place p meets lengths from n * threshold to the least of n and
+    (n - p) * (1 + threshold) / threshold - n, by classes of lengths that grow by a twentieth. Rows of the shingle's top
+    component (top = 1) meet rows of the others (top = 0) only; rows of the others meet all.
     """
+    t = percent / 100
     rows = members.join(sets, "id").select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     shared = rows.join(often, "s")
@@ -190,10 +208,31 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     # shingles of one member alone come before all shared ones
     place = F.col("n") - F.count("*").over(of) + F.row_number().over(rising) - 1
     placed = shared.withColumns({"p": place, "before": F.collect_list("s").over(rising.rowsBetween(-BEFORE, -1))})
-    prefix = placed.where(f"p <= n - ceil(n * {percent} / 100)").select("s", "id", "c", "n", "p", "before")
-    a, b = (prefix.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "p", "before"))) for x in "ab")
-    fits = f"id_a < id_b and c_a <> c_b and {100 + percent} * least(n_a - p_a, n_b - p_b) >= {percent} * (n_a + n_b) and not arrays_overlap(before_a, before_b)"
-    return a.join(b, "s").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    prefix = scratch.save(placed.where(f"p <= n - ceil(n * {percent} / 100)").select("s", "id", "c", "n", "p", "before"), "prefix")
+    top = prefix.groupBy("s", "c").agg(F.count("*").alias("f")).groupBy("s").agg(F.max(F.struct("f", "c"))["c"].alias("c0"))
+    marked = scratch.save(prefix.join(top, "s").withColumn("top", (F.col("c") == F.col("c0")).cast("int")).drop("c0"), "marked")
+    cls = lambda n: F.floor(F.log(n.cast("double")) / F.lit(math.log(1.05)) + F.lit(1e-9)).cast("int")
+    n, p = F.col("n"), F.col("p")
+    longest = F.least(n, F.floor((n - p) * ((1 + t) / t) - n + 1e-6).cast("int"))
+    shortest = F.ceil(n * t - 1e-6).cast("int")
+    sizes = F.explode(F.sequence(cls(shortest), cls(longest)))
+    a = marked.where(longest >= F.greatest(shortest, F.lit(1))).withColumn("size", sizes)
+    a = a.withColumn("top", F.explode(F.when(F.col("top") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    b = marked.withColumn("size", cls(n))
+    a, b = (x.select(*MEET, *(F.col(c).alias(f"{c}_{side}") for c in ("id", "c", "n", "p", "before"))) for x, side in ((a, "a"), (b, "b")))
+    return a, b
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: pairs of members (id, c) of different components c that can reach the threshold.
+
+    Shingles are ordered by their frequency among the members, rarest first. Two sets of the threshold share one of
+    the first n - ceil(n * threshold) + 1 of each, and what follows the first shared place bounds their overlap. A pair
+    that also shares one of the ``BEFORE`` shingles before was made there, where the bound is weaker, and is skipped.
+    """
+    a, b = _prefix_sides(members, sets, percent, scratch)
+    fits = f"(n_a > n_b or n_a = n_b and id_a < id_b) and c_a <> c_b and {100 + percent} * least(n_a - p_a, n_b - p_b) >= {percent} * (n_a + n_b) and not arrays_overlap(before_a, before_b)"
+    return a.join(b, MEET).where(fits).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def _most(n: int, p: float) -> int:
@@ -227,23 +266,28 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     banded = reps.select("id", F.xxhash64("id", F.lit(5)).alias("u"), F.struct(*_WORDS).alias("bits"), F.explode(keys).alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("u", "id", "bits")).alias("lead")).where("size > 1")
     members = scratch.save(banded.join(full, "key").select("key", "id", "u", "bits", "lead"), "members-0")
-    sets = scratch.save(_picked(docs, scratch.save(members.select("id").distinct(), "ids")).mapInArrow(_sets(k), "id long, shingles array<long>"), "sets-all")
-    # a repeated id has one set: that of the representative's text, or any of its texts
-    sets = scratch.save(sets.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets") if _repeated(sets) else sets
+    texts = scratch.save(_picked(docs, scratch.save(members.select("id").distinct(), "ids")), "texts-all")
+    # a repeated id has one text, any of its own
+    texts = scratch.save(texts.dropDuplicates(["id"]), "texts") if _repeated(texts) else texts
 
     first = members.where("id <> lead.id").where(_near_bits("bits", "lead.bits", percent))
     pairs = scratch.save(first.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs-0")
-    links = scratch.save(_links(pairs, reps, sets, percent), "links-0")
+    links = scratch.save(_links(pairs, reps, texts, k, percent), "links-0")
     labels = scratch.save(connected_components(links, scratch, "cc-0"), "labels-0")
     rest = members.where("u > lead.u").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     unsettled = rest.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     open_ = scratch.save(rest.join(unsettled, "key", "left_semi").select("id", "c").distinct(), "open")
     if not open_.isEmpty():
-        pairs = scratch.save(_prefix_pairs(open_, sets, percent), "pairs-1")
-        more = scratch.save(_confirmed(pairs, sets, percent), "links-1")
+        sets = scratch.save(_picked(texts, open_.select("id").distinct()).select("id", "text").mapInArrow(_sets(k), "id long, shingles array<long>"), "sets")
+        sides = Scratch(spark, "prefix")
+        pairs = scratch.save(_prefix_pairs(open_, sets, percent, sides), "pairs-1")
+        sides.clear()
+        more = scratch.save(_confirmed(pairs, texts, k, percent), "links-1")
         if not more.isEmpty():
             labels = scratch.save(connected_components(links.unionByName(more), scratch, "cc-1"), "labels-1")
 
+    for name in ("members-0", "ids", "texts-all", "texts", "sets", "pairs-0", "pairs-1", "links-0", "links-1", "open"):
+        scratch.drop(name)
     own = reps.select("d1", "d2", F.col("id").alias("rep")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     linked = sketch.select("id", "n", "d1", "d2").join(own.select("d1", "d2", F.coalesce("component", "rep").alias("component")), ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
@@ -251,9 +295,9 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     return linked.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
-def _repeated(sets: DataFrame) -> bool:
+def _repeated(rows: DataFrame) -> bool:
     """Whether an id stands on several rows."""
-    return not sets.groupBy("id").count().where("count > 1").isEmpty()
+    return not rows.groupBy("id").count().where("count > 1").isEmpty()
 
 
 def remove_near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

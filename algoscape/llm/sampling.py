@@ -1,14 +1,28 @@
-"""Bounded samples of ids, the same at every partitioning."""
+"""Bounded samples of rows, the same at every partitioning."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 
-def bounded_ids(df: DataFrame, doc_id: str, n: int, seed: int) -> DataFrame:
-    """At most n rows of df with the least hashes of their id; a hash cut from the row count keeps the sort small."""
-    total = max(df.count(), 1)
-    h = F.xxhash64(F.col(doc_id), F.lit(seed))
-    share = min(1.0, 1.5 * n / total)
-    return df.where(F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(h, doc_id).limit(n)
+
+def least_hashes(hashes: DataFrame, n: int, total: int) -> DataFrame:
+    """The n least values of the column h, which holds no value twice; a cut by the row count keeps the sort small."""
+    share = min(1.0, 1.5 * n / max(total, 1) + 1e-6)
+    few = hashes if share >= 1 else hashes.where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    return few.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(n)
+
+
+def bounded_rows(rows: DataFrame, by: list[str], n: int, seed: int) -> DataFrame:
+    """At most n of the rows that differ in the columns ``by``, those with the least hashes; rows equal in them count once.
+
+    The hashes of all rows are written, so a row is left out only where more than n remain, whatever repeats.
+    """
+    marked = rows.withColumn("h", F.xxhash64(F.lit(seed), *by))
+    hashes = Scratch(rows.sparkSession, "sample").save(marked.select("h").distinct(), "hashes")
+    total = hashes.count()
+    if total > n:
+        marked = marked.join(F.broadcast(least_hashes(hashes, n, total)), "h", "left_semi")
+    return marked.dropDuplicates(["h"]).drop("h")

@@ -9,12 +9,15 @@ its pre-tokens, special strings included. Pre-tokens without < are lower-cased (
 Three steps: distinct pre-tokens of all documents with their frequencies (each task forwards a pre-token once), pieces
 of each distinct pre-token by the library, and the sum by document. No token id leaves the library call.
 
+Pre-tokens are told apart by their bytes. Scans look them up by a 64-bit hash; the few hashes that two pre-tokens of the
+table share are listed, and pre-tokens with such a hash are looked up by their bytes.
+
 The piece table is broadcast while it has at most ``MAX_BROADCAST`` entries (12 bytes each; pre-tokens of one piece are
 left out). Beyond that the most frequent entries are broadcast, and only the per-document frequencies of the rest are
 joined with the table by a shuffle: rare pre-tokens, by definition few rows each.
 
-Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted one by one; an empty table
-gives an empty result; only the named columns are read.
+Defined cases: null and empty texts have 0 bytes and 0 tokens; very long texts and pre-tokens are counted whole; repeated
+rows are counted one by one; there are no ties; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -70,43 +73,55 @@ def pretokens(column: pa.Array, cased: bool) -> K.Words:
     return K.Words(buf, doc_byte, start, end, h, np.searchsorted(start, doc_byte))
 
 
-def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts the hashes, and the places in it where a new hash begins."""
-    order = np.argsort(h)
-    s = h[order]
-    new = np.ones(len(s), dtype=bool)
-    np.not_equal(s[1:], s[:-1], out=new[1:])
+def distinct(w: K.Words, cased: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts the pre-tokens by hash, and the places in it where another one begins.
+
+    Pre-tokens of equal hash are one only if their lengths and their first and last eight bytes are equal too.
+    """
+    order = np.argsort(w.hash)
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        eight, length = K.eights(w.buf, fold=not cased), w.end - w.start
+        mask = K.FIRST[np.minimum(length, 8)]
+        for x in (w.hash, length, eight[w.start] & mask, eight[np.maximum(w.end - 8, w.start)] & mask):
+            y = x[order]
+            same = y[1:] == y[:-1] if x is w.hash else same & (y[1:] == y[:-1])  # noqa: F821
+        new[1:] = ~same
     return order, np.flatnonzero(new)
 
 
 def _distinct(text: str, cased: bool):
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, bytes | None] = {}
-        count: dict[int, int] = {}
+        seen: dict[bytes, list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            h = np.fromiter(count.keys(), dtype=np.uint64, count=len(count))
-            return pa.RecordBatch.from_arrays([pa.array(K.signed(h)), pa.array(list(seen.values()), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["h", "piece", "f"])
+            h, f = np.array(list(seen.values()), dtype=np.uint64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(K.signed(h.copy())), pa.array(list(seen), pa.binary()), pa.array(f.astype(np.int64))], names=["h", "piece", "f"])
 
         for s in K.slices(batches, text):
             w = pretokens(s.column(0), cased)
-            order, head = distinct(w.hash)
-            raw = w.buf.tobytes()
+            order, head = distinct(w, cased)
             at = order[head]
-            for h, a, b, f in zip(w.hash[at].tolist(), w.start[at].tolist(), w.end[at].tolist(), np.diff(np.append(head, len(order))).tolist(), strict=True):
-                if h in count:
-                    count[h] += f
+            for h, piece, f in zip(w.hash[at].tolist(), pieces(w, at, cased), np.diff(np.append(head, len(order))).tolist(), strict=True):
+                if piece in seen:
+                    seen[piece][1] += f
                 else:
-                    piece = raw[a:b]
-                    seen[h], count[h] = piece if cased or b"<" in piece else piece.lower(), f
+                    seen[piece] = [h, f]
             if len(seen) > _SEEN:
                 yield out()
-                seen, count = {}, {}
+                seen = {}
         yield out()
 
     return one
 
 
+def pieces(w: K.Words, at: np.ndarray, cased: bool) -> list[bytes]:
+    """The pre-tokens at the given places, as the piece table names them."""
+    raw = w.buf.tobytes()
+    cut = [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+    return cut if cased else [x if b"<" in x else x.lower() for x in cut]
+
+
 def _count_pieces(path: str):
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,30 +131,31 @@ def _count_pieces(path: str):
         tok.no_truncation()
         tok.no_padding()
         for b in batches:
-            pieces = b.column(1).to_pylist()
-            n = np.zeros(len(pieces), dtype=np.int32)
-            for i in range(0, len(pieces), _CALL):
+            own = b.column(1).to_pylist()
+            n = np.zeros(len(own), dtype=np.int32)
+            for i in range(0, len(own), _CALL):
                 # one call for many pre-tokens: the space between them belongs to none
-                texts = [x.decode() for x in pieces[i : i + _CALL]]
+                texts = [x.decode() for x in own[i : i + _CALL]]
                 start = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
                 where = [o[0] for o in tok.encode(" ".join(texts), add_special_tokens=False).offsets]
                 n[i : i + len(texts)] = np.bincount(np.searchsorted(start, where, side="right") - 1, minlength=len(texts)) if where else 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(2)], names=["h", "n", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), b.column(2)], names=["h", "piece", "n", "f"])
 
     return one
 
 
 def piece_table(documents: DataFrame, path: str, text: str = "text", cased: bool = False) -> DataFrame:
-    """h, n, f: hash, pieces and frequency of each distinct pre-token of the documents."""
+    """h, piece, n, f: hash, bytes, pieces and frequency of each distinct pre-token of the documents."""
     found = documents.select(text).mapInArrow(_distinct(text, cased), "h long, piece binary, f long")
-    return found.groupBy("h", "piece").agg(F.sum("f").alias("f")).mapInArrow(_count_pieces(path), "h long, n int, f long")
+    return found.groupBy("h", "piece").agg(F.sum("f").alias("f")).mapInArrow(_count_pieces(path), "h long, piece binary, n int, f long")
 
 
 def _least_frequency(table: DataFrame, most: int) -> int:
-    """The least frequency at which entries of it and above number at most ``most``."""
+    """A frequency such that the entries of it and above number at most ``most``: exact, or a power of two from 2**16 on."""
     cap = 1 << 16
-    steps = table.groupBy(F.least("f", F.lit(cap)).alias("f")).count().orderBy(F.desc("f")).collect()
-    total, least = 0, cap + 1
+    power = F.pow(F.lit(2.0), F.floor(F.log2(F.col("f").cast("double")))).cast("long")
+    steps = table.groupBy(F.when(F.col("f") < cap, F.col("f")).otherwise(power).alias("f")).count().orderBy(F.desc("f")).collect()
+    total, least = 0, 2**63 - 1
     for f, n in steps:
         total += n
         if total > most:
@@ -155,6 +171,8 @@ def token_counts(documents: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     bounded_batches(spark)
     scratch = Scratch(spark, "tokens")
     full = scratch.save(piece_table(documents, path, text, cased), "pieces")
+    # about n * n / 2**65 of n pre-tokens
+    shared = np.sort(full.groupBy("h").count().where("count > 1").select("h").toArrow().column("h").to_numpy().view(np.uint64))
     table = full.where("n <> 1")
     whole = table.count() <= max_broadcast
     if not whole:
@@ -162,43 +180,44 @@ def token_counts(documents: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     got = table.select("h", "n").toArrow()
     keys = got.column("h").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    sorted_ = keys[order]
-    if (sorted_[1:] == sorted_[:-1]).any():
-        raise ValueError("two pre-tokens share a hash")
-    sent = spark.sparkContext.broadcast((sorted_, got.column("n").to_numpy()[order]))
+    sent = spark.sparkContext.broadcast((keys[order], got.column("n").to_numpy()[order], shared))
+    by_bytes = not whole or len(shared) > 0
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, pieces = sent.value
+        keys, counts, shared = sent.value
         for s in K.slices(batches, text):
             w = pretokens(s.column(1), cased)
-            order, head = distinct(w.hash)
+            order, head = distinct(w, cased)
             # distinct hashes in rising order walk through the table once
-            h = w.hash[order[head]]
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            found = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
+            at = order[head]
+            h = w.hash[at]
+            place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            found = keys[place] == h if len(keys) else np.zeros(len(h), dtype=bool)
+            open_ = np.isin(h, shared) if whole else np.isin(h, shared) | ~found
             times = np.diff(np.append(head, len(order)))
             n = np.empty(len(order), dtype=np.int64)
-            n[order] = np.repeat(np.where(found, pieces[at] if len(keys) else 0, 1 if whole else 0), times)
+            n[order] = np.repeat(np.where(open_, 0, np.where(found, counts[place] if len(keys) else 0, 1)), times)
             cols = [s.column(0), pa.array(np.diff(w.doc_byte)), pa.array(w.doc_sum(n), pa.int64())]
-            if not whole:
-                known = np.empty(len(order), dtype=bool)
-                known[order] = np.repeat(found, times)
-                rest = np.flatnonzero(~known)
+            if by_bytes:
+                left = np.empty(len(order), dtype=bool)
+                left[order] = np.repeat(open_, times)
+                rest = np.flatnonzero(left)
                 bounds = np.searchsorted(rest, w.first).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(K.signed(w.hash[rest]))))
+                cols.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(pieces(w, rest, cased), pa.binary())))
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_bytes", "n_tokens", "rest"][: len(cols)])
 
     kind = documents.select(doc_id).schema[0].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, n_tokens long"
-    if whole:
+    if not by_bytes:
         return documents.select(doc_id, text).mapInArrow(add, schema).withColumnRenamed("id", doc_id)
-    # equal lists of rare pre-tokens share one sum, whichever rows they come from
-    rows = scratch.save(documents.select(doc_id, text).mapInArrow(add, f"{schema}, rest array<long>"), "rows")
-    rows = rows.withColumn("k1", F.xxhash64("rest")).withColumn("k2", F.hash("rest"))
-    each = rows.where(F.size("rest") > 0).groupBy("k1", "k2").agg(F.first("rest").alias("rest")).select("k1", "k2", F.explode("rest").alias("h"))
-    sums = each.groupBy("k1", "k2", "h").count().join(full, "h").groupBy("k1", "k2").agg(F.sum(F.col("count") * F.col("n")).alias("more"))
+    # equal lists of pre-tokens, by a 128-bit hash, share one sum, whichever rows they come from
+    key = ["k1", "k2"]
+    rows = scratch.save(documents.select(doc_id, text).mapInArrow(add, f"{schema}, rest array<binary>"), "rows")
+    rows = rows.withColumns({k: F.xxhash64(F.lit(i), "rest") for i, k in enumerate(key)})
+    each = rows.where(F.size("rest") > 0).groupBy(*key).agg(F.first("rest").alias("rest")).select(*key, F.explode("rest").alias("piece"))
+    sums = each.groupBy(*key, "piece").count().join(full.select("piece", "n"), "piece").groupBy(*key).agg(F.sum(F.col("count") * F.col("n")).alias("more"))
     total = F.col("n_tokens") + F.coalesce("more", F.lit(0))
-    return rows.join(sums, ["k1", "k2"], "left").select(F.col("id").alias(doc_id), "n_bytes", total.alias("n_tokens"))
+    return rows.join(sums, key, "left").select(F.col("id").alias(doc_id), "n_bytes", total.alias("n_tokens"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,13 @@ Features of a text (words of digits, letters and code points over 127, lower-cas
 weights at exactly zero, so the model that is broadcast is a short list of (bucket, weight): at most
 16 * DIMENSIONS bytes.
 
-The model is fitted on at most ``TRAINING_ROWS`` labelled rows, chosen by a hash of their id, in one task that a lost
+The model is fitted on at most ``TRAINING_ROWS`` labelled rows, chosen by a hash of id and text, in one task that a lost
 executor only repeats. Scoring is one narrow scan over all documents; only the text enters a score.
 
-Defined cases: null and empty texts score the bias alone; without labelled rows every text scores about 0; repeated
-rows are scored one by one; several labels of one id count as their maximum; null labels are left out; only the
-named columns are read.
+Defined cases: null and empty texts score the bias alone; very long texts are read whole; without labelled rows every text
+scores about 0; repeated rows are scored one by one and train once, rows of one id with different texts train each;
+several labels of one id count as their maximum; null labels and ids are left out of training; a score equal to the
+threshold is toxic; an empty table gives an empty result; only the named columns are read, others are passed on.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_package
 from . import kernel as K
-from .sampling import bounded_ids
+from .sampling import bounded_rows
 from .scratch import bounded_batches
 
 DIMENSIONS = 1 << 20
@@ -130,9 +131,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     ship_package(documents.sparkSession)
     bounded_batches(documents.sparkSession)
     named = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(toxic).cast("int").alias("__y"))
-    chosen = documents.select(doc_id, text).join(F.broadcast(bounded_ids(named, doc_id, rows, 3)), doc_id)
-    one = chosen.repartition(1).sortWithinPartitions(F.xxhash64(doc_id), F.xxhash64(text))
-    got = one.select(text, "__y").mapInArrow(_train(text, "__y"), "bucket long, weight double").toPandas()
+    labelled = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(named.withColumnRenamed(doc_id, "id"), "id")
+    one = bounded_rows(labelled, ["id", "text"], rows, 3).repartition(1).sortWithinPartitions(F.xxhash64("id"), F.xxhash64("text"))
+    got = one.select("text", "__y").mapInArrow(_train("text", "__y"), "bucket long, weight double").toPandas()
     last = got.bucket == -1
     bias = float(got.weight[last].sum())
     if last.all() and bias == 0.0:  # no labelled row: nothing is called toxic

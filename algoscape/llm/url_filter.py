@@ -9,8 +9,10 @@ block beyond that. All of it is DataFrame functions in the JVM.
 
 The canonical form drops scheme, a leading ``www.``, default ports, fragment, trailing slashes and tracking parameters.
 
+A url without a rule is blocked or allowed by the list; of equally long rules the first in the list holds.
+
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule, is never listed and is
-allowed; repeated rows and repeated list entries change nothing else; a null page id is judged as others; an empty
+allowed; very long urls are read whole; texts and html are not read; repeated rows and repeated list entries change nothing else; a null page id is judged as others; an empty
 pages table gives an empty result, an empty list blocks nothing; further columns are not read.
 """
 
@@ -97,7 +99,9 @@ class BloomFilter:
         table = F.broadcast(self.table) if self.blocks <= MAX_BROADCAST_BLOCKS else self.table
         k = F.col(key)
         hit = reduce(lambda a, b: a & b, [F.col(f"__w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(k))])
-        at = F.when(k.isNotNull(), self.block(k))
+        # keys that are null get one of many blocks that no table has
+        nowhere = -1 - F.pmod(F.xxhash64(*(F.col(c) for c, kind in df.dtypes if not kind.startswith("map"))), F.lit(1 << 20))
+        at = F.when(k.isNotNull(), self.block(k)).otherwise(nowhere)
         out = df.withColumn("__block", at).join(table, "__block", "left")
         return out.select(*df.columns, F.coalesce(hit & k.isNotNull(), F.lit(False)).alias("__possible"))
 

@@ -5,11 +5,14 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from algoscape.llm import near_duplicates as N
 from algoscape.llm import substring_dedup as S
 from algoscape.llm.graph import connected_components
 from algoscape.llm.scratch import Scratch
+from pyspark.sql import functions as F
+from test_models_and_tables import letters
 
 
 def low(s):
@@ -144,6 +147,39 @@ def test_substring_dedup_matches_brute_force(spark, batches):
     assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got} == brute_repeats(rows)
 
 
+def test_index_is_opened_again_compacts_and_does_not_shuffle_history(spark, tmp_path):
+    texts = passages(5, 120)[:120]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("version", F.xxhash64("text"))
+    got, levels = {}, []
+    for b in range(6):
+        index = S.FingerprintIndex(spark, str(tmp_path))  # knows earlier batches by the manifest alone
+        mine = docs.where(f"id >= {b * 20} and id < {b * 20 + 20}")
+        if b == 5:
+            plan = index.known(index.runs()[-1])._jdf.queryExecution().toString()
+            plan = plan[plan.index("== Physical Plan ==") :]
+            # runs are merged in the order of their files
+            assert plan.count("SortMergeJoin") == len(index.runs()) > 1 and "Exchange" not in plan and "Sort [" not in plan
+        out = index.ingest(mine, docs.where(f"id < {b * 20 + 20}"))
+        got |= {r.id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out.collect()}
+        levels.append([len(x) for x in index.levels])
+    assert got == brute_repeats(rows)
+    assert levels[2] == [3] and levels[3] == [0, 1] and levels[-1] == [2, 1]
+
+
+def test_only_equal_words_are_removed(spark):
+    a, b = letters()
+    p = [f"q{i}" for i in range(60)]
+    rows = [(1, " ".join([*p, a, *p[::-1]])), (2, " ".join([*p[20:], b, *p[:20]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in S.remove_repeated_passages(df).collect()}
+    assert got == brute_repeats(rows) and got[2][1] == 0
+    # a stretch that hashes call equal, but whose words differ, stays
+    stretch = [{"first": 0, "after": 2, "words": b"x z"}, {"first": 2, "after": 3, "words": b"z"}]
+    batch = pa.RecordBatch.from_pylist([{"id": 1, "text": "x y z", "stretches": stretch}])
+    assert [r for b in S._apply(iter([batch])) for r in b.to_pylist()] == [{"id": 1, "n_words": 3, "n_removed": 1, "kept_text": "x y"}]
+
+
 def test_substring_dedup_edges(spark):
     p = " ".join(f"q{i}" for i in range(60))
     df = spark.createDataFrame([(None, p), (4, p), (4, p), (6, p), (8, None)], "doc_id long, text string")
@@ -152,10 +188,63 @@ def test_substring_dedup_edges(spark):
     assert S.remove_repeated_passages(df.limit(0)).count() == 0
 
 
-def test_exact_join_ignores_one_bit_minima(spark):
-    members = spark.createDataFrame([(1, 1, (0, 0, 0)), (2, 2, (-1, -1, -1))], "id long, c long, bits struct<s0: long, s1: long, s2: long>")
-    sets = spark.createDataFrame([(1, list(range(20))), (2, list(range(19)))], "id long, shingles array<long>")
-    assert [tuple(r) for r in N._prefix_pairs(members, sets, 80).collect()] == [(1, 2)]
+def test_exact_join_of_a_template_makes_no_pairs(spark):
+    """Texts of one template, each with a word of its own, are close but not linked: rows grow with the texts alone."""
+    base = [f"t{i}" for i in range(22)]
+    sets = spark.createDataFrame([(i, [*range(16), *(1000 + 4 * i + j for j in range(4))]) for i in range(3000)], "id long, shingles array<long>")
+    members = sets.selectExpr("id", "id as c")
+    pairs = N._prefix_pairs(members, sets, 80, Scratch(spark, "t"))
+    assert pairs.count() == 0
+    a, b = N._prefix_sides(members, sets, 80, Scratch(spark, "t"))
+    assert a.join(b, N.MEET).count() == 0 and b.count() == 3000
+    rows = [(i, " ".join([*base[:11], f"own{i}", *base[11:]])) for i in range(400)] + [(400, " ".join([*base[:11], "own5", *base[11:], "more"]))]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert got == {**{i: i for i in range(400)}, 400: 5}
+
+
+def test_exact_join_finds_every_pair(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(160):
+        near = set(r.choice(rows)[1]) if rows and r.random() < 0.8 else set(r.sample(range(300), r.randint(1, 60)))
+        for _ in range(r.randint(0, 4)):
+            near.add(r.randrange(300))
+            if len(near) > 1:
+                near.discard(r.choice(sorted(near)))
+        rows.append((i, sorted(near)))
+    members = spark.createDataFrame([(i, i % 7 if i % 2 else 0) for i, _ in rows], "id long, c long")
+    got = {tuple(x) for x in N._prefix_pairs(members, spark.createDataFrame(rows, "id long, shingles array<long>"), 80, Scratch(spark, "t")).collect()}
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)) and (a % 7 if a % 2 else 0) != (b % 7 if b % 2 else 0)}
+    assert len(want) > 50 and want <= got
+
+
+def test_links_are_confirmed_on_words(spark):
+    a, b = letters()
+    rows = [(i, f"x y z {w}") for i, w in enumerate((a, b, a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(df, k=4).collect()} == brute_near(rows, 4)
+    batch = pa.RecordBatch.from_pylist([{"a": 1, "b": 2, "text_a": "a b c d e", "text_b": "a  b c D e"}, {"a": 1, "b": 3, "text_a": "a b c d e", "text_b": "a b c d f"}, {"a": 4, "b": 5, "text_a": "one", "text_b": "ONE"}])
+    assert [tuple(r.values()) for x in N._confirm(4, 80)(iter([batch])) for r in x.to_pylist()] == [(1, 2), (4, 5)]
+
+
+def test_share_of_links_found(spark):
+    """Texts right at the threshold and above: every true link is found, the expected misses are 1e-7 of them."""
+    r = random.Random(11)
+    rows = []
+    for g in range(150):
+        words = [f"g{g}w{i}" for i in range(r.choice([30, 60, 120]))]
+        rows.append(words)
+        for _ in range(2):
+            near = list(words)
+            for _ in range(max(1, len(words) // r.choice([40, 45, 60]))):
+                near[r.randrange(len(near))] = f"e{r.randrange(10**9)}"
+            rows.append(near)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    r.shuffle(rows)
+    want = brute_near(rows, 4)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    linked = [i for i in want if not want[i][2]]
+    assert len(linked) > 50 and got == want
 
 
 def test_checks_before_the_sets_fail_pairs_with_a_known_probability(spark):

@@ -68,6 +68,14 @@ def brute_lines(rows, least):
     return sorted(out, key=str)
 
 
+def letters(n=1024):
+    """Two words of n letters that hashes by powers of an odd base cannot tell apart."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
 @pytest.mark.parametrize("bound", [10**6, 0])
 def test_line_dedup_matches_brute_force(spark, bound):
     r = random.Random(5)
@@ -77,8 +85,10 @@ def test_line_dedup_matches_brute_force(spark, bound):
         lines = [r.choice([pool[min(24, int(r.expovariate(0.2)))], f"own {i} {j}", "", "  ", f"  {pool[0]}\t"]) for j in range(r.randint(1, 6))]
         rows.append((i, "\n".join(lines) + r.choice(["", "\n"]), r.choice([None, *(f"s{k}" for k in range(14))])))
     rows.append(rows[-1])
-    df = spark.createDataFrame([(*x, 1, "c") for x in rows], "doc_id long, text string, source string, key long, site string")
-    got = line_dedup.cut_lines(df, max_broadcast=bound).select("doc_id", "__n_lines", "__n_removed", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
+    # twelve sites hold one of two lines, no line stands on more than six
+    rows += [(1000 + i, f"{letters()[i % 2]} x\nafter", f"s{i}") for i in range(12)]
+    df = spark.createDataFrame([(*x, 1, "c") for x in rows], "doc_id long, text string, source string, k1 long, site string")
+    got = line_dedup.cut_lines(df, max_keys=bound, max_bytes=bound).select("doc_id", "__n_lines", "__n_removed", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
     want = brute_lines(rows, line_dedup.MIN_SITES)
     assert any(x[2] for x in want)
     assert sorted(map(tuple, got), key=str) == want
@@ -123,6 +133,40 @@ def test_resampling_prefers_target_text(spark):
     assert {r.log_weight for r in resampling.resample(df, good.limit(0), keep=0.8).collect()} == {0.0}
 
 
+def test_log_weights_equal_plain_counts(spark):
+    """Weights, Gumbel numbers and the sample from words counted in plain dictionaries."""
+    import math
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices(["alpha", "Beta", "gamma", "delta"], k=r.randint(1, 30)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = lambda t: (w := t.lower().split()) + list(zip(w, w[1:], strict=False))
+    every = {g for _, t in rows for g in grams(t)}
+    bucket = {}
+    for g in every:
+        at, _, _ = resampling.ngrams(pa.array([" ".join(g) if isinstance(g, tuple) else g]))
+        bucket[g] = int(at[-1])
+    assert len(set(bucket.values())) == len(every)  # no two share a bucket here
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i < 20:
+            target.update(grams(t))
+    b = resampling.BUCKETS
+    ratio = {g: math.log((target[g] + 1) / (target.total() + b)) - math.log((raw[g] + 1) / (raw.total() + b)) for g in every}
+    got = {x.doc_id: x for x in resampling.resample(df, df.where("doc_id < 20").select("doc_id"), keep=0.25).collect()}
+    draw = {x.doc_id: x.h for x in df.select("doc_id", F.xxhash64("doc_id", "text", F.lit(11)).alias("h")).collect()}
+    for i, t in rows:
+        want = resampling.SHARPNESS * np.mean([ratio[g] for g in grams(t)])
+        assert got[i].log_weight == pytest.approx(want, abs=1e-6)
+        u = (((draw[i] % 2**64) >> 12) + 0.5) / 2**52
+        assert got[i].key == pytest.approx(want - math.log(-math.log(u)), abs=1e-6)
+    best = sorted(got, key=lambda i: -got[i].key)[:15]
+    assert {i for i in got if got[i].kept} == set(best)
+
+
 def test_share_to_keep(spark):
     q = spark.createDataFrame([(1,), (1,), (0,), (1,)], "q int")
     assert resampling.good_share(q) == pytest.approx(0.75 + resampling.MARGIN)
@@ -174,6 +218,52 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def plain_ftrl(rows, epochs, alpha=0.5, beta=1.0, l1=3.0, l2=1.0):
+    """Weights of features after the published per-coordinate rule, one feature at a time."""
+    import math
+
+    z, n, bias, bias_n = {}, {}, 0.0, 0.0
+
+    def weight(f):
+        v = z.get(f, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n.get(f, 0.0))) / alpha + l2)
+
+    for epoch in range(epochs):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            found, y = rows[i]
+            w = {f: weight(f) for f in found}
+            g = 1 / (1 + math.exp(-min(30, max(-30, sum(w.values()) + bias)))) - y
+            for f in found:
+                old = n.get(f, 0.0)
+                n[f] = old + g * g
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(n[f]) - math.sqrt(old)) / alpha * w[f]
+            bias_n += g * g
+            bias -= alpha * g / (beta + math.sqrt(bias_n))
+    return {f: weight(f) for f in z if weight(f)}, bias
+
+
+def test_ftrl_equals_a_plain_one():
+    import pyarrow as pa
+
+    r = random.Random(2)
+    texts = [" ".join(r.choices(["Foo", "bar", "bazinga", "qux!", "été", "longerword"], k=r.randint(0, 9))) for _ in range(300)]
+    label = [int("bazinga" in t) for t in texts]
+    sets, names = [], {}
+    for t in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        own = {("w", x) for x in w} | {("s", x.encode()[:k]) for x in w for k in toxicity.STEMS if len(x.encode()) >= k}
+        sets.append(own | {(g, w[i], w[i + g]) for g in (1, 2) for i in range(len(w) - g)})
+    for t, own in zip(texts, sets, strict=True):
+        at, _ = toxicity.features(pa.array([t]))
+        assert len(set(at.tolist())) == len(own)
+        names[t] = own
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(label)], names=["text", "y"])
+    got = next(iter(toxicity._train("text", "y")(iter([batch])))).to_pydict()
+    weights, bias = plain_ftrl(list(zip(sets, label, strict=True)), toxicity.EPOCHS)
+    assert got["bucket"][-1] == -1 and got["weight"][-1] == pytest.approx(bias)
+    assert sorted(got["weight"][:-1]) == pytest.approx(sorted(weights.values())) and len(weights) > 2
+
+
 # ---- quality rules
 def brute_counts(text):
     t = text or ""
@@ -204,7 +294,8 @@ def test_quality_counts_and_verdicts(spark):
     rows += [(1000 + i, t, None) for i, t in enumerate(edge)] + [(1000, None, None), (None, "null id", None)]
     df = spark.createDataFrame([(a, b, 1) for a, b, _ in rows], "doc_id long, text string, n_words int")
     labels = spark.createDataFrame([(a, y) for a, _, y in rows if a is not None], "doc_id long, quality int")
-    got = quality_rules.judge(df, *quality_rules.fit(df, labels)).collect()
+    stats = quality_rules.statistics(df)
+    got = quality_rules.judge(stats, *quality_rules.fit(stats, labels)).collect()
     assert len(got) == len(rows)
     want = sorted([(a if a is not None else -1, *brute_counts(b)) for a, b, _ in rows])
     assert sorted([(x.doc_id if x.doc_id is not None else -1, *(x[c] for c in quality_rules.COUNTS)) for x in got]) == want
@@ -214,9 +305,67 @@ def test_quality_counts_and_verdicts(spark):
     passed = [(x.kept, y[x.doc_id]) for x in got if x.doc_id in y and not x.base_failed]
     assert np.mean([k for k, q in passed if q]) > 0.98
     assert np.mean([k for k, q in passed if not q]) < 0.3
-    forest, limit = quality_rules.fit(df, labels.limit(0))
-    assert all(x.kept != x.base_failed for x in quality_rules.judge(df, forest, limit).collect())
-    assert quality_rules.judge(df.limit(0), *quality_rules.fit(df.limit(0), labels.limit(0))).count() == 0
+    forest, limit = quality_rules.fit(stats, labels.limit(0))
+    assert all(x.kept != x.base_failed for x in quality_rules.judge(stats, forest, limit).collect())
+    none = quality_rules.statistics(df.limit(0))
+    assert quality_rules.judge(none, *quality_rules.fit(none, labels.limit(0))).count() == 0
+
+
+def plain_paths(rows, low, high, sample, rng, x):
+    """Path length of x in one tree, by walking down with the rows that remain."""
+    limit = int(np.ceil(np.log2(max(len(rows), 2))))
+
+    def build(rows, low, high, level):
+        if level < limit and len(rows) > 1 and any(h > a for a, h in zip(low, high, strict=True)):
+            f = int(rng.choice([i for i in range(len(low)) if high[i] > low[i]]))
+            c = float(rng.uniform(low[f], high[f]))
+            left = build([r for r in rows if r[f] <= c], low, [c if i == f else h for i, h in enumerate(high)], level + 1)
+            return f, c, left, build([r for r in rows if r[f] > c], [c if i == f else a for i, a in enumerate(low)], high, level + 1)
+        n = len(rows)
+        return level + (0 if n <= 1 else 1 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n)
+
+    tree = build(rows, low, high, 0)
+    out = []
+    for p in x:
+        at = tree
+        while isinstance(at, tuple):
+            at = at[2] if p[at[0]] <= at[1] else at[3]
+        out.append(at)
+    return out
+
+
+def test_forest_equals_a_plain_one():
+    r = np.random.default_rng(4)
+    rows = np.round(r.random((64, 3)) * (r.random((64, 3)) < 0.3), 2)
+    low, high = rows.min(axis=0), np.array([1.0, 1.0, 2.0])
+    x = np.array([[0, 0, 0], [0.5, 0, 0], [0, 0, 1.9], [1, 1, 1.0]])
+    forest = quality_rules.Forest.grow(rows, low, high, trees=20, sample=32)
+    rng = np.random.default_rng(7)
+    rng.permutation(len(rows))
+    own = [rng.choice(len(rows), 32, replace=False) for _ in range(20)]
+    total = np.sum([plain_paths(rows[i].tolist(), low.tolist(), high.tolist(), 32, rng, x.tolist()) for i in own], axis=0)
+    assert forest.score(x) == pytest.approx(2.0 ** (-total / 20 / forest.norm))
+    # what no row of the sample shows is isolated by the ranges
+    assert forest.score(x)[2] > forest.score(x)[1] > forest.score(x)[0]
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    """One id on all rows, on half of them, and equal rows."""
+    from algoscape.llm.sampling import bounded_rows
+
+    for expr, want in (("7", 100), ("if(id < 1500, 7, id)", 100), ("id", 100)):
+        df = spark.range(3000).select(F.expr(expr).alias("i"), F.col("id").alias("t"))
+        got = bounded_rows(df, ["i", "t"], 100, 5)
+        assert got.count() == want and got.distinct().count() == want
+        assert sorted(map(tuple, bounded_rows(df.repartition(3), ["i", "t"], 100, 5).collect())) == sorted(map(tuple, got.collect()))
+    same = spark.range(3000).select(F.lit(7).alias("i"), F.lit(None).cast("string").alias("t"))
+    assert bounded_rows(same, ["i", "t"], 100, 5).count() == 1
+    docs = spark.createDataFrame([(1, " ".join(f"w{j}x{i % 300}" for j in range(80))) for i in range(600)], "doc_id long, text string")
+    stats = quality_rules.statistics(docs)
+    forest, _ = quality_rules.fit(stats, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), trees=5, sample=20)
+    assert len(forest.roots) == 5
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), rows=50)
+    assert model.bias > 0
 
 
 # ---- mixing
@@ -237,7 +386,12 @@ def test_period_keeps_pfair_bounds(spark):
 def test_mix_places_every_row(spark):
     r = random.Random(6)
     rows = [(i, r.choices(["a", "b", "c", "z", None, "(rest)", ""], [50, 5, 15, 5, 5, 1, 1])[0]) for i in range(900)] + [(None, "a"), (7, "a"), (7, "a")]
-    df = spark.createDataFrame([(i, s, "t", 1) for i, s in rows], "doc_id long, source string, text string, block int")
+    df = spark.createDataFrame([(i, s, "t", 1) for i, s in rows], "doc_id long, source string, text string, label int")
+    for taken in ("block", "__k"):
+        with pytest.raises(ValueError, match="columns"):
+            mixing.mix(df.withColumnRenamed("label", taken))
+    with pytest.raises(ValueError, match="coarser"):
+        mixing.mix(df, weights={f"s{i}": 100_003 + i for i in range(40)})
     got = mixing.mix(df, weights={"a": 50, "b": 30, "c": 15}, rest=5, block_rows=4).collect()
     assert sorted(((x.doc_id, x.source) for x in got), key=str) == sorted(rows, key=str)
     name = {"a": "a", "b": "b", "c": "c"}
@@ -259,3 +413,30 @@ def test_mix_places_every_row(spark):
         if all(had[k] < -(-count[k] // 4) for k in weight):
             assert all(abs(had[k] - (slot + 1) * w / 100) < 1 for k, w in weight.items())
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_long_periods_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for d in (4_000, 64_000):
+        parts, total = mixing.parts_of({"a": d // 2 + 1, "b": d // 4}, d - d // 2 - 1 - d // 4)
+        began = time.time()
+        rows = mixing.period(spark, parts, total).orderBy("__slot").collect()
+        took.append(time.time() - began)
+        assert total == d and [(r["__k"], r["__o"], r["__slot"]) for r in rows] == mixing.plain_schedule(parts, total)
+    assert took[1] < 60
+
+
+def test_hot_ids_and_equal_rows_are_split(spark, monkeypatch):
+    """A null id, an id and equal rows on a third of the rows each: positions and rows stay a numbering."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(mixing, "HOT_ROWS", 60)
+    rows = [(None, "a", f"t{i}") for i in range(300)] + [(5, "a", f"t{i}") for i in range(300)] + [(6, "a", "same")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    columns = df.columns
+    spread = df.where("doc_id is null or doc_id = 5").groupBy("doc_id", mixing.bucket_of(columns, 64)).count()
+    assert spread.agg(F.max("count")).first()[0] < 20
+    got = mixing.mix(df, weights={"a": 1}, rest=1, block_rows=4).collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(((i, t) for i, _, t in rows), key=str)
+    assert sorted((x.block, x.row) for x in got) == [(j + 1, r) for j in range(225) for r in range(4)]
