@@ -41,7 +41,7 @@ LG_K = 10
 #: Estimates within this share of the limit are counted exactly: over six standard errors.
 NEAR = 0.2
 #: Keys (16 bytes each) and bytes of lines broadcast at most.
-MAX_BROADCAST_KEYS = 2_000_000
+MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_BYTES = 64 << 20
 _KEY = ["k1", "k2"]
 

@@ -49,9 +49,9 @@ from .scratch import Scratch, bounded_batches, read_text, write_text
 
 WINDOW, GRAM = 50, 10
 #: Runs of one level before they are compacted.
-FANOUT = 4
+FANOUT = 3
 #: Batches of the query: the last one meets a compacted run.
-BATCHES = 5
+BATCHES = 4
 #: Rows of ids or anchors broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LOW = 24
@@ -318,9 +318,11 @@ class FingerprintIndex:
         words = wanted.join(held, ["hid", "hversion"]).mapInArrow(_fetch, "id long, version long, first int, after int, words binary")
         stretches = words.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "after", "words")).alias("stretches"))
         cut = batch.join(ids, _KEY, "left_semi").join(stretches, _KEY).select("id", "text", "stretches")
+        # written here, so that what the batches return can be put together in one small plan
+        cut = scratch.save(cut.mapInArrow(_apply, _RESULT), "cut")
         none = F.lit(None).cast("array<struct<first: int, after: int, words: binary>>")
         plain = batch.join(ids, _KEY, "left_anti").select("id", "text", none.alias("stretches"))
-        return cut.mapInArrow(_apply, _RESULT).unionByName(plain.mapInArrow(_apply, _RESULT))
+        return cut.unionByName(plain.mapInArrow(_apply, _RESULT))
 
 
 def remove_repeated_passages(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:

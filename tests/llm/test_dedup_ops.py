@@ -136,7 +136,7 @@ def passages(seed, n):
     return docs
 
 
-@pytest.mark.parametrize("batches", [1, 2, 7])
+@pytest.mark.parametrize("batches", [1, 5])
 def test_substring_dedup_matches_brute_force(spark, batches):
     texts = [None, "", *passages(3, 150), "é " * 60, "É " * 60, "é " * 55, " ".join(f"l{i}" for i in range(30000))]
     random.Random(4).shuffle(texts)
@@ -155,7 +155,7 @@ def test_index_is_opened_again_compacts_and_does_not_shuffle_history(spark, tmp_
     for b in range(6):
         index = S.FingerprintIndex(spark, str(tmp_path))  # knows earlier batches by the manifest alone
         mine = docs.where(f"id >= {b * 20} and id < {b * 20 + 20}")
-        if b == 5:
+        if b == 4:
             plan = index.known(index.runs()[-1])._jdf.queryExecution().toString()
             plan = plan[plan.index("== Physical Plan ==") :]
             # runs are merged in the order of their files
@@ -164,7 +164,7 @@ def test_index_is_opened_again_compacts_and_does_not_shuffle_history(spark, tmp_
         got |= {r.id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out.collect()}
         levels.append([len(x) for x in index.levels])
     assert got == brute_repeats(rows)
-    assert levels[2] == [3] and levels[3] == [0, 1] and levels[-1] == [2, 1]
+    assert levels == [[1], [2], [0, 1], [1, 1], [2, 1], [0, 2]]
 
 
 def test_only_equal_words_are_removed(spark):
