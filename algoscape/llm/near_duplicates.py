@@ -265,6 +265,8 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     # u ranks the members of a bucket at random, alike in all buckets; bits holds their one-bit minima
     banded = reps.select("id", F.xxhash64("id", F.lit(5)).alias("u"), F.struct(*_WORDS).alias("bits"), F.explode(keys).alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("u", "id", "bits")).alias("lead")).where("size > 1")
+    # written first: a join of written tables can split a band that very many documents share
+    full = scratch.save(full, "buckets")
     members = scratch.save(banded.join(full, "key").select("key", "id", "u", "bits", "lead"), "members-0")
     texts = scratch.save(_picked(docs, scratch.save(members.select("id").distinct(), "ids")), "texts-all")
     # a repeated id has one text, any of its own
@@ -286,7 +288,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         if not more.isEmpty():
             labels = scratch.save(connected_components(links.unionByName(more), scratch, "cc-1"), "labels-1")
 
-    for name in ("members-0", "ids", "texts-all", "texts", "sets", "pairs-0", "pairs-1", "links-0", "links-1", "open"):
+    for name in ("buckets", "members-0", "ids", "texts-all", "texts", "sets", "pairs-0", "pairs-1", "links-0", "links-1", "open"):
         scratch.drop(name)
     own = reps.select("d1", "d2", F.col("id").alias("rep")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     linked = sketch.select("id", "n", "d1", "d2").join(own.select("d1", "d2", F.coalesce("component", "rep").alias("component")), ["d1", "d2"], "left")

@@ -2,6 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's rows to the shared folder and
 gives them to the next as its docs. All but the last return the columns of documents.
+
+Defined cases, in every stage: an empty table gives an empty result; repeated rows are rows of their own, judged alike;
+very long texts are read whole; further columns are passed on, but names that a stage adds (``slot``, ``__hit`` and the
+like, listed in its operator) raise an error.
+
+* toxicity: null and empty texts score the bias alone, and a score equal to the threshold is toxic.
+* line dedup: a null source is no site; a null text stays null with its n_chars, and other texts get theirs counted again.
+* near-duplicates: null and empty texts, and null ids, are linked with nothing and stay; of a group the smallest id stays,
+  on all its rows.
+* decontamination: null and empty texts hold no window and stay.
+* mixing: null sources, and sources without a weight, form one pool; equal deadlines go to the heavier source, then by name.
 """
 
 from __future__ import annotations

@@ -60,7 +60,7 @@ def test_stages_take_odd_rows(spark):
     far = 10**12  # no labels
     rows = [(None, None, None, None, None), (far + 1, "", "en", "src0", 0), (far + 2, long, "en", None, 5), (far + 2, long, "en", None, 5), (far + 3, "one two", None, "src1", None), (None, "three four", "de", "src1", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = spark.createDataFrame([(*r, "x", 9) for r in rows], schema + ", slot string, id int")
+    odd = spark.createDataFrame([(*r, "x", 9) for r in rows], schema + ", label string, id int")
     for name, stage in P.STAGES:
         got = stage(spark, odd, SF)
         assert got.count() == len(rows), name
