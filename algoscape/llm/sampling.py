@@ -15,14 +15,17 @@ def least_hashes(hashes: DataFrame, n: int, total: int) -> DataFrame:
     return few.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(n)
 
 
+def bounded_hashes(hashes: DataFrame, n: int) -> DataFrame:
+    """At most n rows of a table with distinct values of h, which is written first: those with the least."""
+    hashes = Scratch(hashes.sparkSession, "sample").save(hashes, "hashes")
+    total = hashes.count()
+    return least_hashes(hashes, n, total) if total > n else hashes
+
+
 def bounded_rows(rows: DataFrame, by: list[str], n: int, seed: int) -> DataFrame:
     """At most n of the rows that differ in the columns ``by``, those with the least hashes; rows equal in them count once.
 
     The hashes of all rows are written, so a row is left out only where more than n remain, whatever repeats.
     """
     marked = rows.withColumn("h", F.xxhash64(F.lit(seed), *by))
-    hashes = Scratch(rows.sparkSession, "sample").save(marked.select("h").distinct(), "hashes")
-    total = hashes.count()
-    if total > n:
-        marked = marked.join(F.broadcast(least_hashes(hashes, n, total)), "h", "left_semi")
-    return marked.dropDuplicates(["h"]).drop("h")
+    return marked.join(F.broadcast(bounded_hashes(marked.select("h").distinct(), n)), "h", "left_semi").dropDuplicates(["h"]).drop("h")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_package
 from . import kernel as K
-from .sampling import bounded_rows
+from .sampling import bounded_hashes
 from .scratch import bounded_batches
 
 DIMENSIONS = 1 << 20
@@ -131,8 +131,11 @@ def fit(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     ship_package(documents.sparkSession)
     bounded_batches(documents.sparkSession)
     named = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(toxic).cast("int").alias("__y"))
-    labelled = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(named.withColumnRenamed(doc_id, "id"), "id")
-    one = bounded_rows(labelled, ["id", "text"], rows, 3).repartition(1).sortWithinPartitions(F.xxhash64("id"), F.xxhash64("text"))
+    given = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.lit(3), doc_id, text).alias("h"))
+    # rows are chosen by id and hash alone; of the texts only the chosen ones move
+    hashes = given.select("id", "h").join(named.withColumnRenamed(doc_id, "id"), "id").groupBy("h").agg(F.max("__y").alias("__y"))
+    chosen = given.join(F.broadcast(bounded_hashes(hashes, rows)), "h").dropDuplicates(["h"])
+    one = chosen.repartition(1).sortWithinPartitions("h")
     got = one.select("text", "__y").mapInArrow(_train("text", "__y"), "bucket long, weight double").toPandas()
     last = got.bucket == -1
     bias = float(got.weight[last].sum())
