@@ -7,11 +7,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_package
 from ..functions.tables import Tables
+from .subset import nearest_rows
 
 #: Rows a model is fitted on, and rows that neighbours are taken from: beyond that a hashed sample of this size. Every row
 #: is predicted and counts in a loss.
@@ -35,19 +36,12 @@ def stratified_folds(df: DataFrame, flag: str, folds: int, order: str = "instanc
 # ---- k nearest neighbours
 def knn_predict(train: DataFrame, test: DataFrame, columns: list[str], flags: list[str], k: int = 3, *, metric: str = "euclidean", row: str = "instances", other_fold: str | None = None) -> DataFrame:
     """row, share_<flag> and hat_<flag> for each test row: vote of the k nearest training rows, ties of distance by
-    label; a vote of one half or less is false. With ``other_fold`` only training rows of other folds count."""
-    diff = [F.col(f"a.{c}") - F.col(f"b.{c}") for c in columns]
-    d = {
-        "euclidean": lambda: F.sqrt(reduce(lambda x, y: x + y, (F.pow(x, 2) for x in diff))),
-        "cityblock": lambda: reduce(lambda x, y: x + y, (F.abs(x) for x in diff)),
-        "chebychev": lambda: reduce(F.greatest, (F.abs(x) for x in diff)) if len(diff) > 1 else F.abs(diff[0]),
-    }[metric]()
+    label; a vote of one half or less is false. With ``other_fold`` only training rows of other folds count. Rows without
+    a place meet nothing. Rows meet by grid cells that widen (see subset.nearest_rows), not all with all."""
     extra = [other_fold] if other_fold else []
-    a, b = test.select(row, *columns, *extra).alias("a"), train.select(row, *columns, *flags, *extra).alias("b")
-    on = F.col(f"a.{other_fold}") != F.col(f"b.{other_fold}") if other_fold else F.lit(True)
-    near = a.join(F.broadcast(b) if train.count() <= 100_000 else b, on).select(F.col(f"a.{row}").alias(row), d.alias("__d"), F.col(f"b.{row}").alias("__o"), *(F.col(f"b.{f}").alias(f) for f in flags))
-    rank = F.row_number().over(Window.partitionBy(row).orderBy("__d", "__o"))
-    votes = near.withColumn("__r", rank).where(F.col("__r") <= k).groupBy(row).agg(*(F.avg(F.col(f).cast("double")).alias(f"share_{f}") for f in flags))
+    meets = F.col(f"a.{other_fold}") != F.col(f"b.{other_fold}") if other_fold else F.lit(True)
+    near = nearest_rows(test.select(row, *columns, *extra), train.select(row, *columns, *flags, *extra), columns, k, meets, Tables(test.sparkSession, "knn"), carry=flags, metric=metric, row=row)
+    votes = near.groupBy(row).agg(*(F.avg(F.col(f).cast("double")).alias(f"share_{f}") for f in flags))
     return votes.select(row, *(F.col(f"share_{f}") for f in flags), *((F.col(f"share_{f}") > 0.5).alias(f"hat_{f}") for f in flags))
 
 
@@ -223,14 +217,16 @@ def train(df: DataFrame, flags: list[str], *, knn: bool = True, folds: int = 5,
     got = tables.save(todo.mapInPandas(one, "point long, row long, hat boolean, prob double"), "folds")
     truth = y
     best: dict[int, int] = {}
-    errors = got.toPandas() if len(grid) * len(rows) <= 2_000_000 else None
-    if errors is None:
-        raise ValueError("too many parameter points for the rows")
-    miss = {g: float((e.hat.to_numpy(bool) != truth[e.row.to_numpy(), grid[g][0]]).mean()) for g, e in errors.groupby("point")}
+    # misses of each point are counted where they are; the driver then gets the predictions of the chosen points alone
+    flat = spark.createDataFrame(pd.DataFrame([(i, j, bool(v)) for i, r in enumerate(truth) for j, v in enumerate(r)], columns=["row", "flag", "truth"]), "row long, flag long, truth boolean")
+    flag_of = spark.createDataFrame([(g, j) for g, (j, _) in enumerate(grid)], "point long, flag long")
+    counted = got.join(F.broadcast(flag_of), "point").join(F.broadcast(flat), ["row", "flag"]).groupBy("point").agg(F.avg((F.col("hat") != F.col("truth")).cast("double")).alias("miss"))
+    miss = {r["point"]: r["miss"] for r in counted.collect()}
     for g in sorted(miss):
         j = grid[g][0]
         if j not in best or miss[g] < miss[best[j]]:
             best[j] = g
+    errors = got.where(F.col("point").isin(sorted(best.values()))).toPandas()
     out = rows[["instances"]].copy()
     models = []
     for j, f in enumerate(flags):

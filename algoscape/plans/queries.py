@@ -340,6 +340,25 @@ def _(s, d):
     return prep.apply(df, prep.fit(df, PF, PA))
 
 
+#: Given parameters of preparation: bounds, shift, exponent, mean and deviation of each column, as a stored model holds them.
+_GIVEN = {c: (0.5 * i + 0.1, 40.0 + 3 * i, 0.25 * i - 0.5, (0.5, 0.0, 1.5, -0.5)[i % 4], 0.1 * i - 1.0, 1.0 + 0.5 * i) for i, c in enumerate([*PF, *PA])}
+
+
+def _given_sql(c: str) -> str:
+    low, high, shift, lam, mu, sigma = _GIVEN[c]
+    x = f"greatest({low!r}, least({high!r}, {c}))" if c in PF else c
+    moved = f"greatest({x} + {shift!r}, {2.0**-52!r})"
+    power = f"ln({moved})" if lam == 0 else f"(pow({moved}, {lam!r}) - 1) / {lam!r}"
+    return f"CASE WHEN {c} IS NOT NULL THEN {r(f'(({power}) - ({mu!r})) / {sigma!r}', 2)} END AS {c}"
+
+
+@query("prepare_given", on("part_meta", "SELECT instances, " + ", ".join(_given_sql(c) for c in [*PF, *PA]) + " FROM m"))
+def _(s, d):
+    names = ["lo", "hi", "shift", "lambda", "mu", "sigma"]
+    rows = [{"name": c, "role": "feature" if c in PF else "algo"} | dict(zip(names, v, strict=True)) for c, v in _GIVEN.items()]
+    return rnd(prep.apply(view(s, d, "part_meta"), rows).select("instances", *PF, *PA), places=2)
+
+
 # ---- correlation and selection
 def _corr(pairs: list[tuple[str, str]], name: str) -> str:
     return both(" UNION ALL ", [f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS rho FROM m" for a, b in pairs])
@@ -393,6 +412,18 @@ def _(s, d):
     return s.createDataFrame([(k, float(v)) for k, v in scan], "k int, silhouette double")
 
 
+#: A given clustering of the part features.
+_OWN = [0, 0, 1, 1, 2, 2, 2]
+_FAR = both(" UNION ALL ", [f"SELECT {i} AS i, {j} AS j, {_OWN[i]} AS a, {_OWN[j]} AS b, 1 - corr({PF[i]}, {PF[j]}) AS d FROM m" for i in range(len(PF)) for j in range(len(PF)) if i != j])
+_WIDTHS = "SELECT i, min(CASE WHEN a = b THEN x END) AS p, min(CASE WHEN a <> b THEN x END) AS q FROM (SELECT i, a, b, avg(d) AS x FROM f GROUP BY 1, 2, 3) GROUP BY 1"
+
+
+@query("silhouette_given", on("part_meta", f", f AS ({_FAR}) SELECT {r('avg((q - p) / greatest(p, q))')} AS silhouette FROM ({_WIDTHS})"))
+def _(s, d):
+    m = selection.correlation_matrix(view(s, d, "part_meta"), PF)
+    return rnd(s.createDataFrame([(selection.silhouette(m, np.array(_OWN)),)], "silhouette double"))
+
+
 def _user_labels(s, d):
     return labels.label(view(s, d, "user_meta"), UA, absolute=False, epsilon=EPS, beta_threshold=BETA)
 
@@ -411,7 +442,7 @@ def _(s, d):
 @query("feature_search_genetic")
 def _(s, d):
     search = selection.Search(_prepared_users(s, d), UF, UA, UG)
-    chosen = search.genetic([[0, 1], [2, 3], [4, 5]], population=8, generations=3)
+    chosen = search.genetic([[0, 1], [2, 3], [4, 5]])
     return s.createDataFrame([(UF[i], float(search.known[chosen])) for i in chosen], "feature string, cost double")
 
 
@@ -686,7 +717,7 @@ def _(s, d):
 
 @query("svm_train")
 def _(s, d):
-    return predict.train(_placed(s, d), UG, knn=False, folds=3, points=4)[1]
+    return predict.train(_placed(s, d), UG, knn=False)[1]
 
 
 @query("svm_polynomial")
@@ -769,6 +800,17 @@ def _(s, d):
     return footprint.assess(_placed(s, d), _footprints(s, d), UA, UG, "best_algo", "beta_easy").drop("pieces")
 
 
+#: Given footprints of three algorithms; the far one holds no row and counts nothing.
+_STORED = dict(zip(UA, POLYGONS, strict=False))
+
+
+@query("footprint_assess_given", on("user_meta", f"{_PLACED} " + both(" UNION ALL ", [f"SELECT '{a}' AS algo, {r(str(_AREAS[n]))} AS area, CASE WHEN g > 0 THEN c ELSE 0 END AS elements, g AS good_elements, {r(f'CASE WHEN g > 0 THEN c / {_AREAS[n]} ELSE 0 END')} AS density, {r('CASE WHEN g > 0 THEN g / c ELSE 0 END')} AS purity FROM (SELECT count(*) AS c, count(*) FILTER (good_{a[5:]}) AS g FROM p WHERE {_inside(POLYGONS[n])})" for a, n in _STORED.items()])))
+def _(s, d):
+    rows = [("good", a, [[list(p) for p in POLYGONS[n]]], float(_AREAS[n]), 0, 0, 0.0, 0.0) for a, n in _STORED.items()]
+    out = footprint.assess(_placed(s, d), s.createDataFrame(rows, footprint.SCHEMA), UA, UG, "best_algo", "beta_easy")
+    return rnd(out.select("algo", "area", "elements", "good_elements", "density", "purity"))
+
+
 @query("purity_sweep")
 def _(s, d):
     return footprint.purity_sweep(_placed(s, d), UA, UG, "best_algo", "beta_easy", [0.3, 0.55, 0.8])

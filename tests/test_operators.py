@@ -538,3 +538,25 @@ def test_density_subset_run(spark, plane):
     o = Options(performance=Performance(False, True, 4.0), selection=Selection(min_distance=0.9, distance_type="Ftr"), search=FeatureSearch(enabled=False))
     run = build.train(plane, o, with_footprints=False, with_prediction=False)
     assert 20 < run.rows.count() < 160
+
+
+def test_nearest_rows_match_brute_force(spark):
+    """Clusters, far outliers, ties, rows without a place, and folds, by widening cells."""
+    from algoscape.functions.tables import Tables
+
+    rng = np.random.default_rng(5)
+    z = np.round(np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(50, 0.1, (300, 2)), [[1e4, -1e4], [0, 3e3]], rng.normal(0, 1, (20, 2))[[0] * 10]]), 3)
+    rows = [(f"r{i:04d}", float(a), float(b), bool(i % 3), i % 4) for i, (a, b) in enumerate(z)] + [("x", None, 1.0, True, 0)]
+    df = spark.createDataFrame(rows, "instances string, z_1 double, z_2 double, g boolean, fold int")
+    for metric, norm in (("euclidean", lambda x: np.sqrt((x**2).sum(-1))), ("cityblock", lambda x: np.abs(x).sum(-1)), ("chebychev", lambda x: np.abs(x).max(-1))):
+        got = {}
+        near = subset.nearest_rows(df, df, ["z_1", "z_2"], 3, F.col("a.fold") != F.col("b.fold"), Tables(spark, "t"), carry=["g"], metric=metric)
+        for r in near.collect():
+            got.setdefault(r.instances, []).append((r["rank"], r.other, r.distance, r.g))
+        d = norm(z[:, None] - z[None])
+        for i in range(len(z)):
+            order = sorted((round(d[i, j], 9), f"r{j:04d}") for j in range(len(z)) if j % 4 != i % 4)[:3]
+            assert [round(x[2], 9) for x in sorted(got[f"r{i:04d}"])] == [x[0] for x in order]
+        assert "x" not in got and all(g == bool(int(o[1:]) % 3) for v in got.values() for _, o, _, g in v)
+    assert subset.top_neighbours(df.limit(0), ["z_1", "z_2"], 2).count() == 0
+    assert subset.top_neighbours(df.where("instances < 'r0002'"), ["z_1", "z_2"], 3).count() == 2
