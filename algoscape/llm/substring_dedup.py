@@ -15,8 +15,9 @@ digest. A manifest in the index's folder names them, so another session can open
    its order and neither shuffled nor sorted. A span whose entry has a holder of smaller id is repeated as a whole.
 2. An anchor with several digests is contested: its spans may share single windows. The windows of the first holder of
    each contested entry get 128-bit digests, and the first place of each digest decides.
-3. Repeated stretches with one holder are put together and verified: the holder's words are fetched and compared with
-   the document's own, and only equal words are removed. A collision of hashes can only keep words.
+3. Repeated stretches with one holder are put together and verified: the SHA-256 of the holder's words, made once for
+   all documents that repeat them, is compared with that of the document's own, and only equal words are removed. A
+   collision of the index's hashes can only keep words.
 4. The batch becomes a run; ``FANOUT`` runs of a level are merged, bucket by bucket, into one of the next.
 
 No pair of documents is ever formed, and hot passages are pre-aggregated to one entry. The texts of holders are read
@@ -37,6 +38,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,8 @@ FANOUT = 3
 BATCHES = 4
 #: Rows of ids or anchors broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Beyond that, the documents that repeat one passage are dealt to so many tasks.
+SALTS = 32
 _LOW = 24
 
 
@@ -143,20 +147,19 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after = reach[np.append(head[1:], len(reach)) - 1] - row * gap if len(head) else first
         cols = [b.column(b.schema.get_field_index(c)).take(pa.array(row)) for c in ("id", "version", "hid", "hversion")]
         hfirst = first + b.column(b.schema.get_field_index("shift")).to_numpy()[row]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(first.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(hfirst.astype(np.int32))], names=["id", "version", "hid", "hversion", "first", "after", "hfirst"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(first.astype(np.int32)), pa.array((after - first).astype(np.int32)), pa.array(hfirst.astype(np.int32))], names=["id", "version", "hid", "hversion", "first", "n", "hfirst"])
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The holder's words of each stretch, joined by one space; the text is split once for rows that follow each other."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the asked words of holders, joined by one space; a text is split once for rows that follow each other."""
     for b in batches:
-        cols = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "hid", "hversion", "first", "after", "hfirst")}
+        cols = [b.column(b.schema.get_field_index(c)) for c in ("id", "version", "hfirst", "n")]
         of, words, found = None, [], []
-        for text, hid, version, first, after, at in zip(*cols.values(), strict=True):
-            if of != (hid, version):
-                of, words = (hid, version), text.encode().split()
-            found.append(b" ".join(words[at : at + after - first]))
-        keep = [b.column(b.schema.get_field_index(c)) for c in ("id", "version", "first", "after")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(found, pa.binary())], names=["id", "version", "first", "after", "words"])
+        for text, id, version, first, n in zip(b.column(b.schema.get_field_index("text")).to_pylist(), *(c.to_pylist() for c in cols), strict=True):
+            if of != (id, version):
+                of, words = (id, version), text.encode().split()
+            found.append(sha256(b" ".join(words[first : first + n])).digest())
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.binary())], names=["hid", "hversion", "hfirst", "n", "digest"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +172,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if stretches:
                 mark = np.zeros(len(words) + 1, dtype=np.int64)
                 for x in stretches:
-                    if b" ".join(words[x["first"] : x["after"]]) == x["words"]:
+                    if sha256(b" ".join(words[x["first"] : x["first"] + x["n"]])).digest() == x["digest"]:
                         mark[x["first"]] += 1
-                        mark[x["after"]] -= 1
+                        mark[x["first"] + x["n"]] -= 1
                 words = [words[i] for i in np.flatnonzero(np.cumsum(mark[:-1]) == 0).tolist()]
             gone.append(n[-1] - len(words))
             kept.append(b" ".join(words).decode())
@@ -307,20 +310,31 @@ class FingerprintIndex:
         """The batch without the words of found stretches that equal their holder's."""
         rows = found.select(*_KEY, "first", "after", F.col("holder.id").alias("hid"), F.col("holder.version").alias("hversion"), (F.col("holder.first") - F.col("first")).alias("shift"))
         lists = rows.groupBy(*_KEY, "hid", "hversion", "shift").agg(F.array_sort(F.collect_list(F.struct("first", "after"))).alias("spans"))
-        wanted = scratch.save(lists.mapInArrow(_merged, "id long, version long, hid long, hversion long, first int, after int, hfirst int"), "stretches")
+        wanted = scratch.save(lists.mapInArrow(_merged, "id long, version long, hid long, hversion long, first int, n int, hfirst int"), "stretches")
         for name in ("spans", "known", "contested", "holders", "windows"):
             scratch.drop(name)
-        # ids are sent to all tasks while there are few; the other texts then stay where they are
-        few = wanted.count() <= BROADCAST_ROWS
-        ids, sources = wanted.select(*_KEY).distinct(), wanted.select(F.col("hid").alias("id"), F.col("hversion").alias("version")).distinct()
-        ids, sources = (F.broadcast(ids), F.broadcast(sources)) if few else (ids, sources)
-        held = texts.join(sources, _KEY, "left_semi").dropDuplicates(_KEY).select(F.col("id").alias("hid"), F.col("version").alias("hversion"), "text")
-        words = wanted.join(held, ["hid", "hversion"]).mapInArrow(_fetch, "id long, version long, first int, after int, words binary")
-        stretches = words.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "after", "words")).alias("stretches"))
+        # a passage is asked for once, however many documents repeat it
+        place = ["hid", "hversion", "hfirst", "n"]
+        asked = scratch.save(wanted.select(*place).distinct(), "asked")
+        few, few_asked = wanted.count() <= BROADCAST_ROWS, asked.count() <= BROADCAST_ROWS
+        at = asked.select(F.col("hid").alias("id"), F.col("hversion").alias("version"), "hfirst", "n")
+        # few rows are sent to all tasks; the texts then stay where they are
+        held = texts.join(F.broadcast(at), _KEY) if few_asked else texts.join(at.select(*_KEY).distinct(), _KEY, "left_semi").join(at, _KEY)
+        digests = scratch.save(held.mapInArrow(_digests, "hid long, hversion long, hfirst int, n int, digest binary").distinct(), "digests")
+        if few_asked:
+            checked = wanted.join(F.broadcast(digests), place)
+        else:  # a hot passage's documents are dealt to SALTS tasks
+            salted = wanted.withColumn("salt", F.pmod(F.xxhash64(*_KEY), F.lit(SALTS)).cast("int"))
+            checked = salted.join(digests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*place, "salt"])
+        stretches = checked.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "n", "digest")).alias("stretches"))
+        ids = wanted.select(*_KEY).distinct()
+        ids = F.broadcast(ids) if few else ids
         cut = batch.join(ids, _KEY, "left_semi").join(stretches, _KEY).select("id", "text", "stretches")
         # written here, so that what the batches return can be put together in one small plan
         cut = scratch.save(cut.mapInArrow(_apply, _RESULT), "cut")
-        none = F.lit(None).cast("array<struct<first: int, after: int, words: binary>>")
+        for name in ("asked", "digests"):
+            scratch.drop(name)
+        none = F.lit(None).cast("array<struct<first: int, n: int, digest: binary>>")
         plain = batch.join(ids, _KEY, "left_anti").select("id", "text", none.alias("stretches"))
         return cut.unionByName(plain.mapInArrow(_apply, _RESULT))
 
@@ -336,7 +350,7 @@ def remove_repeated_passages(documents: DataFrame, *, doc_id: str = "doc_id", te
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text"))
     low, high = docs.agg(F.min("id"), F.max("id")).first()
     index = FingerprintIndex(spark)
-    nothing = F.lit(None).cast("array<struct<first: int, after: int, words: binary>>")
+    nothing = F.lit(None).cast("array<struct<first: int, n: int, digest: binary>>")
     parts = [docs.where("id is null").select("id", "text", nothing.alias("stretches")).mapInArrow(_apply, _RESULT)]
     if low is not None:
         width = -(-(high - low + 1) // batches)

@@ -167,6 +167,18 @@ def test_index_is_opened_again_compacts_and_does_not_shuffle_history(spark, tmp_
     assert levels == [[1], [2], [0, 1], [1, 1], [2, 1], [0, 2]]
 
 
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_substring_dedup_of_a_hot_passage(spark, monkeypatch, rows):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", rows)  # joined by shuffles, or sent to all tasks
+    p = [f"q{i}" for i in range(90)]
+    r = random.Random(8)
+    texts = [" ".join([*(f"u{i}.{j}" for j in range(r.randrange(9))), *p[r.choice([0, 0, 0, 7]) :], f"v{i}"]) for i in range(300)]
+    rows = list(enumerate(texts))
+    got = S.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {x.doc_id: (x.n_words, x.n_removed, hashlib.sha256(x.kept_text.encode()).hexdigest()) for x in got} == brute_repeats(rows)
+
+
 def test_only_equal_words_are_removed(spark):
     a, b = letters()
     p = [f"q{i}" for i in range(60)]
@@ -175,7 +187,7 @@ def test_only_equal_words_are_removed(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in S.remove_repeated_passages(df).collect()}
     assert got == brute_repeats(rows) and got[2][1] == 0
     # a stretch that hashes call equal, but whose words differ, stays
-    stretch = [{"first": 0, "after": 2, "words": b"x z"}, {"first": 2, "after": 3, "words": b"z"}]
+    stretch = [{"first": f, "n": n, "digest": hashlib.sha256(w).digest()} for f, n, w in [(0, 2, b"x z"), (2, 1, b"z")]]
     batch = pa.RecordBatch.from_pylist([{"id": 1, "text": "x y z", "stretches": stretch}])
     assert [r for b in S._apply(iter([batch])) for r in b.to_pylist()] == [{"id": 1, "n_words": 3, "n_removed": 1, "kept_text": "x y"}]
 
