@@ -219,16 +219,21 @@ class FingerprintIndex:
             )
         return self.spark.table(name)
 
-    def _write(self, df: DataFrame, run: str, kind: str) -> None:
+    def _write(self, df: DataFrame, run: str, kind: str, grouped: bool) -> None:
         by = _SORTED[kind]
-        df = df.repartition(self.buckets, *by)
+        # a shuffle that grouped rows by the key has dealt them like buckets, if there are as many of both
+        if not grouped or int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            df = df.repartition(self.buckets, *by)
         df.write.format("parquet").bucketBy(self.buckets, by[0], *by[1:]).sortBy(by[0], *by[1:]).option("path", self.scratch.path(f"{run}/{kind}")).saveAsTable(f"fingerprints_{run}_{kind}")
 
-    def write_run(self, entries: DataFrame) -> str:
-        """Write one immutable run of entries; a hot anchor's entries are dealt by their digests."""
+    def write_run(self, entries: DataFrame, grouped: bool = False) -> str:
+        """Write one immutable run of entries; a hot anchor's entries are dealt by their digests.
+
+        ``grouped`` says that the entries come from a groupBy of their key over rows that are no buckets.
+        """
         run = uuid.uuid4().hex
-        self._write(entries, run, "entries")
-        self._write(self.read(run, "entries").groupBy("anchor").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")), run, "anchors")
+        self._write(entries, run, "entries", grouped)
+        self._write(self.read(run, "entries").groupBy("anchor").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")), run, "anchors", True)
         return run
 
     def _drop(self, run: str) -> None:
@@ -286,7 +291,7 @@ class FingerprintIndex:
         """
         scratch = Scratch(self.spark, "ingest")
         spans = scratch.save(batch.where("id is not null").mapInArrow(_spans, _SPANS), "spans")
-        run = self.write_run(spans.groupBy(*_ENTRY).agg(F.min(F.struct("id", "version", "first", "after")).alias("holder"), F.count("*").alias("n")))
+        run = self.write_run(spans.groupBy(*_ENTRY).agg(F.min(F.struct("id", "version", "first", "after")).alias("holder"), F.count("*").alias("n")), grouped=True)
         known = scratch.save(self.known(run).where("n > 1 or holder.id < own.id").select(*_ENTRY, "holder"), "known")
         found = spans.join(known, _ENTRY).where("holder.id < id").select(*_KEY, "first", "after", "holder")
 
@@ -315,12 +320,13 @@ class FingerprintIndex:
             scratch.drop(name)
         # a passage is asked for once, however many documents repeat it
         place = ["hid", "hversion", "hfirst", "n"]
-        asked = scratch.save(wanted.select(*place).distinct(), "asked")
-        few, few_asked = wanted.count() <= BROADCAST_ROWS, asked.count() <= BROADCAST_ROWS
+        asked = wanted.select(*place).distinct()
+        few = wanted.count() <= BROADCAST_ROWS
+        few_asked = few or asked.count() <= BROADCAST_ROWS
         at = asked.select(F.col("hid").alias("id"), F.col("hversion").alias("version"), "hfirst", "n")
         # few rows are sent to all tasks; the texts then stay where they are
         held = texts.join(F.broadcast(at), _KEY) if few_asked else texts.join(at.select(*_KEY).distinct(), _KEY, "left_semi").join(at, _KEY)
-        digests = scratch.save(held.mapInArrow(_digests, "hid long, hversion long, hfirst int, n int, digest binary").distinct(), "digests")
+        digests = held.mapInArrow(_digests, "hid long, hversion long, hfirst int, n int, digest binary").distinct()
         if few_asked:
             checked = wanted.join(F.broadcast(digests), place)
         else:  # a hot passage's documents are dealt to SALTS tasks
@@ -332,8 +338,6 @@ class FingerprintIndex:
         cut = batch.join(ids, _KEY, "left_semi").join(stretches, _KEY).select("id", "text", "stretches")
         # written here, so that what the batches return can be put together in one small plan
         cut = scratch.save(cut.mapInArrow(_apply, _RESULT), "cut")
-        for name in ("asked", "digests"):
-            scratch.drop(name)
         none = F.lit(None).cast("array<struct<first: int, n: int, digest: binary>>")
         plain = batch.join(ids, _KEY, "left_anti").select("id", "text", none.alias("stretches"))
         return cut.unionByName(plain.mapInArrow(_apply, _RESULT))
