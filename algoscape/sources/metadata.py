@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.tables import Tables
 from ..spec import Roles
 
 log = logging.getLogger(__name__)
@@ -44,18 +45,21 @@ def typed(df: DataFrame, roles: Roles | None = None) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, order_by: str = "instances", name: str = "row_id") -> DataFrame:
-    """1-based row numbers in the order of a column, without sorting in one task: numbers inside range partitions plus
-    the rows of the partitions before. Rows that tie in the column are ordered by their hash."""
-    spread = df.withColumn("__h", F.xxhash64(*df.columns)).repartitionByRange(F.col(order_by), F.col("__h")).withColumn("__p", F.spark_partition_id())
-    rank = spread.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order_by, "__h")))
-    counts = {r["__p"]: r["count"] for r in spread.groupBy("__p").count().collect()}
+    """1-based row numbers in the order of a column, without sorting in one task: places inside range partitions plus
+    the rows of the partitions before. Rows that tie in the column are ordered by their hash. The placed rows are written
+    first: range partitions come from a sample that a second reading need not draw again."""
+    spread = df.withColumn("__h", F.xxhash64(*df.columns)).repartitionByRange(F.col(order_by), F.col("__h")).sortWithinPartitions(order_by, "__h")
+    # partition in the upper bits, place in the partition in the lower 33
+    placed = Tables(df.sparkSession, "numbers").save(spread.withColumn("__m", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__m", 33)
+    counts = {r["p"]: r["count"] for r in placed.groupBy(part.alias("p")).count().collect()}
     before, total = {}, 0
     for p in sorted(counts):
         before[p] = total
         total += counts[p]
     offset = F.create_map(*(F.lit(x) for p, n in before.items() for x in (p, n))) if before else None
-    number = F.col("__r") + (F.element_at(offset, F.col("__p")) if offset is not None else F.lit(0))
-    return rank.withColumn(name, number.cast("long")).drop("__h", "__p", "__r")
+    number = F.col("__m").bitwiseAND((1 << 33) - 1) + 1 + (F.element_at(offset, part) if offset is not None else F.lit(0))
+    return placed.withColumn(name, number.cast("long")).drop("__h", "__m")
 
 
 def recode_failures(df: DataFrame, algos: list[str]) -> DataFrame:

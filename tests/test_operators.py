@@ -75,6 +75,18 @@ def test_row_numbers_follow_the_order(spark):
     assert sorted(r.row_id for r in got) == list(range(1, 5001))
 
 
+def test_row_numbers_hold_over_many_range_partitions(spark):
+    """Bounds of range partitions come from a sample that differs between two readings."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        df = spark.range(0, 60_000, 1, 4).select(F.sha1(F.col("id").cast("string")).alias("instances"))
+        got = M.with_row_id(df).toPandas().sort_values("instances")
+    finally:
+        spark.conf.unset(key)
+    assert got.row_id.tolist() == list(range(1, 60_001))
+
+
 # ---- preparation
 def test_quantiles_place_values_at_middles(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, None), (3.0, None), (4.0, None)], "a double, b double")
