@@ -39,8 +39,9 @@ def _scaled(c: str, low: float | None, high: float | None, top: int | None):
     if low is None:
         return F.lit(None).cast("int" if top else "double")
     width = float(high - low)
-    share = (F.col(c) - F.lit(float(low))) / F.lit(width) if width else F.when(F.col(c).isNotNull(), F.lit(0.0))
-    return F.round(share * top).cast("int") if top else share
+    # multiplied before it is divided, so that whole halves stay halves
+    share = F.lit(float(top or 1)) * (F.col(c) - F.lit(float(low))) / F.lit(width) if width else F.when(F.col(c).isNotNull(), F.lit(0.0))
+    return F.round(share).cast("int") if top else share
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:

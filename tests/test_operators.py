@@ -469,6 +469,13 @@ def test_colour_scale_rounds_half_up(spark):
     assert export.colour_table(spark).count() == 256
 
 
+def test_colour_scale_keeps_whole_halves(spark):
+    """255 * (21.47 - 15.67) / (22.63 - 15.67) is 212.5; divided first, it falls short of it."""
+    df = spark.createDataFrame([(15.67,), (21.47,), (22.63,)], "a double")
+    assert sorted(r.a for r in export.colour_scale(df, ["a"]).collect()) == [0, 213, 255]
+    assert sorted(r.a for r in export.colour_scale_global(df, ["a"]).collect()) == [0, 213, 255]
+
+
 def test_options_round_trip_and_migration():
     o = Options(performance=Performance(True, False, 0.1, 0.6), search=FeatureSearch(clusters=4))
     assert Options.from_json(o.to_json()) == o
