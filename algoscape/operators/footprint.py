@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Pieces, Region, tight_boundary
+from ..functions.geometry import Pieces, Region, box_pairs, connected, pack, tight_boundary, unpack
 from ..functions.shipping import ship_package
 from ..functions.tables import Tables
 from ..sources.metadata import with_row_id
@@ -18,6 +19,9 @@ from ..sources.metadata import with_row_id
 #: Pieces narrower than this (plane units) are dropped when a shape is drawn; a fifth of it at the end.
 SLIVER = 5e-5
 
+#: Rows (places and flags) that the driver counts itself; all rows count either way.
+MEMORY_ROWS = 1_000_000
+
 SCHEMA = "kind string, algo string, pieces array<array<array<double>>>, area double, elements long, good_elements long, density double, purity double"
 
 
@@ -69,53 +73,82 @@ def components(points: DataFrame, radius: float | Column, k: int | Column, row:
 
 
 def cluster(points: np.ndarray, radius: float, k: int) -> np.ndarray:
-    """The same classes for points in memory."""
+    """The same classes for points in memory. Points of one cell, its diagonal the radius, are neighbours; cells within
+    reach are linked by their nearest points, and points of cells with more than k are core without being counted."""
     n = len(points)
-    cells: dict[tuple[int, int], list[int]] = {}
-    width = radius if radius > 0 else 1.0
-    at = np.floor(points / width).astype(int)
-    for i in range(n):
-        cells.setdefault((at[i, 0], at[i, 1]), []).append(i)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    core = np.zeros(n, dtype=bool)
-    for i in range(n):
-        near = np.array([j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((at[i, 0] + dx, at[i, 1] + dy), [])])
-        near = near[((points[near] - points[i]) ** 2).sum(axis=1) <= radius * radius * (1 + 1e-12)]
-        core[i] = len(near) >= k + 1
-        for j in near.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    roots = np.array([root(i) for i in range(n)], dtype=int)
-    out = np.full(n, -1)
-    seen: dict[int, int] = {}
-    for i in range(n):
-        if core[i] and roots[i] not in seen:
-            seen[roots[i]] = len(seen) + 1
-    for i in range(n):
-        out[i] = seen.get(roots[i], -1)
-    return out
+    if not n:
+        return np.full(0, -1)
+    limit = radius * radius * (1 + 1e-12)
+    side = radius / math.sqrt(2) * (1 - 1e-9) if radius > 0 else 1e-12
+    at = np.floor((points - points.min(axis=0)) / side).astype(np.int64)
+    tall = int(at[:, 1].max()) + 8
+    code = (at[:, 0] + 2) * tall + at[:, 1] + 2
+    order = np.argsort(code, kind="stable")
+    cells, first, size = np.unique(code[order], return_index=True, return_counts=True)
+    z = points[order]
+    own = np.repeat(np.arange(len(cells)), size)
+    low, high = np.minimum.reduceat(z, first), np.maximum.reduceat(z, first)
+    near = size[own].copy()
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    label = np.arange(len(cells))
+    for dx in range(-2, 3):
+        for dy in range(-2, 3):
+            if dx == 0 and dy == 0:
+                continue
+            there = np.minimum(np.searchsorted(cells, cells + dx * tall + dy), len(cells) - 1)
+            i = np.flatnonzero(cells[there] == cells + dx * tall + dy)
+            j = there[i]
+            gap = np.maximum(np.maximum(low[i] - high[j], low[j] - high[i]), 0.0)
+            i, j = i[(gap**2).sum(axis=1) <= limit], j[(gap**2).sum(axis=1) <= limit]
+            # pairs are measured where counts are open, or a link is
+            todo = (size[i] <= k) | ((i < j) & (label[i] != label[j]))
+            i, j = i[todo], j[todo]
+            joined = np.zeros(len(i), dtype=bool)
+            of = np.repeat(np.arange(len(i)), size[i])
+            a = np.repeat(first[i], size[i]) + np.arange(len(of)) - np.repeat(np.cumsum(size[i]) - size[i], size[i])
+            total = np.cumsum(size[j][of])
+            begin = 0
+            while begin < len(of):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 4_000_000, "right")))
+                m = size[j][of[begin:end]]
+                x = np.repeat(np.arange(begin, end), m)
+                y = np.repeat(first[j][of[begin:end]] - np.cumsum(m) + m, m) + np.arange(len(x))
+                hit = ((z[a[x]] - z[y]) ** 2).sum(axis=1) <= limit
+                near += np.bincount(a[x[hit]], minlength=n)
+                joined[of[x[hit]]] = True
+                begin = end
+            links.append((i[joined], j[joined]))
+            label = connected(len(cells), *(np.concatenate(x) for x in zip(*links, strict=True)))
+    root = np.empty(n, dtype=np.int64)
+    core = np.empty(n, dtype=bool)
+    root[order], core[order] = label[own], near >= k + 1
+    found, start = np.unique(root[core], return_index=True)
+    number = np.full(len(cells), -1)
+    number[found[np.argsort(start)]] = np.arange(1, len(found) + 1)
+    return number[root]
 
 
 class Scan:
-    """All rows of a table, counted and gathered by scans; goodness is named by its place in ``flags``."""
+    """All rows of a table, counted and gathered by scans, or on the driver while they are MEMORY_ROWS at most; goodness is
+    named by its place in ``flags``."""
 
     def __init__(self, rows: DataFrame):
-        self.rows, self.spark = rows, rows.sparkSession
+        self.rows, self.spark, self.held = rows, rows.sparkSession, None
+        if rows.count() <= MEMORY_ROWS:
+            got = rows.toArrow()
+            z = np.column_stack([got[c].to_numpy() for c in ("z_1", "z_2")]).astype(float)
+            flags = got["flags"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
+            self.held = z, flags.reshape(len(z), -1)
 
     def counts(self, pieces: list[np.ndarray], group: np.ndarray, masks: list[int]) -> np.ndarray:
         """See _counts."""
-        sent, size = self.spark.sparkContext.broadcast((pieces, group)), int(group.max()) + 1
+        if self.held:
+            z, flags = self.held
+            return _tally(Pieces(pieces), group, int(group.max()) + 1, z, [flags[:, m] for m in masks])
+        sent, size = self.spark.sparkContext.broadcast((*pack(pieces), group)), int(group.max()) + 1
 
         def one(batches):
-            index, group = Pieces(sent.value[0]), sent.value[1]
+            index, group = Pieces(unpack(*sent.value[:2])), sent.value[2]
             total = np.zeros((size, 1 + len(masks)), dtype=np.int64)
             for b in batches:
                 flags = np.array(b["flags"].tolist(), dtype=bool).reshape(len(b), -1)
@@ -133,19 +166,24 @@ class Scan:
 
     def inside(self, parts: list[Region], mask: int) -> list[np.ndarray]:
         """See _inside."""
-        sent = self.spark.sparkContext.broadcast([p.pieces for p in parts])
+        if self.held:
+            return _inside(self.held[0], parts, self.held[1][:, mask])
+        pieces, group = [x for p in parts for x in p.pieces], np.repeat(np.arange(len(parts)), [len(p.pieces) for p in parts])
+        sent = self.spark.sparkContext.broadcast((*pack(pieces), group))
 
         def one(batches):
-            index = [Region(p) for p in sent.value]
+            index, group = Pieces(unpack(*sent.value[:2])), sent.value[2]
             for b in batches:
                 z = b[["z_1", "z_2"]].to_numpy(float)
-                held = [(i, *p) for i, r in enumerate(index) for p in z[r.contains(z)].tolist()]
-                if held:
-                    yield pd.DataFrame(held, columns=["i", "z_1", "z_2"])
+                for i, j in index.holding(z):
+                    if len(i):
+                        own = np.unique(np.column_stack([group[j], i]), axis=0)
+                        yield pd.DataFrame({"i": own[:, 0], "z_1": z[own[:, 1], 0], "z_2": z[own[:, 1], 1]})
 
         got = self.rows.where(F.col("flags")[mask]).mapInPandas(one, "i long, z_1 double, z_2 double").distinct().toPandas()
         sent.destroy()
-        return [got.loc[got.i == i, ["z_1", "z_2"]].to_numpy(float) for i in range(len(parts))]
+        by = dict(list(got.groupby("i")))
+        return [by[i][["z_1", "z_2"]].to_numpy(float) if i in by else np.zeros((0, 2)) for i in range(len(parts))]
 
 
 def _tally(index: Pieces, group: np.ndarray, size: int, z: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
@@ -170,7 +208,43 @@ def _inside(z: np.ndarray | Scan, parts: list[Region], good) -> list[np.ndarray]
     """Distinct good points inside each part."""
     if not parts:
         return []
-    return z.inside(parts, good) if isinstance(z, Scan) else [np.unique(z[p.contains(z) & good], axis=0) for p in parts]
+    if isinstance(z, Scan):
+        return z.inside(parts, good)
+    own = z[good]
+    index, group = Pieces([x for p in parts for x in p.pieces]), np.repeat(np.arange(len(parts)), [len(p.pieces) for p in parts])
+    held = np.concatenate([np.zeros((0, 2), dtype=np.int64), *(np.column_stack([group[j], i]) for i, j in index.holding(own))])
+    held = np.unique(held, axis=0)
+    bounds = np.searchsorted(held[:, 0], np.arange(len(parts) + 1))
+    return [np.unique(own[held[a:b, 1]], axis=0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _common(z: np.ndarray | Scan, first: Region, second: Region, good_1, good_2) -> tuple[int, int, int]:
+    """Rows that both regions hold, and those of each goodness."""
+    if not isinstance(z, Scan):
+        held = first.contains(z) & second.contains(z)
+        return int(held.sum()), int((held & good_1).sum()), int((held & good_2).sum())
+    if z.held:
+        return _common(z.held[0], first, second, z.held[1][:, good_1], z.held[1][:, good_2])
+    sent = z.spark.sparkContext.broadcast((_packed(first), _packed(second)))
+
+    def one(batches):
+        indexes = [Pieces(_unpacked(*p).pieces) for p in sent.value]
+        total = np.zeros(3, dtype=np.int64)
+        for b in batches:
+            q = b[["z_1", "z_2"]].to_numpy(float)
+            held = np.ones(len(q), dtype=bool)
+            for index in indexes:
+                own = np.zeros(len(q), dtype=bool)
+                for i, _ in index.holding(q):
+                    own[i] = True
+                held &= own
+            total += (held.sum(), (held & b["g1"].to_numpy(bool)).sum(), (held & b["g2"].to_numpy(bool)).sum())
+        yield pd.DataFrame([total.tolist()], columns=["n", "g1", "g2"])
+
+    rows = z.rows.select("z_1", "z_2", F.col("flags")[good_1].alias("g1"), F.col("flags")[good_2].alias("g2"))
+    got = rows.mapInPandas(one, "n long, g1 long, g2 long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "g1", "g2"))).first()
+    sent.destroy()
+    return tuple(got)
 
 
 def prune(region: Region, z: np.ndarray | Scan, good, purity: float) -> Region:
@@ -200,10 +274,19 @@ def outline(points: np.ndarray) -> Region:
 
 
 def _union(regions: list[Region]) -> Region:
-    out = Region()
-    for r in regions:
-        out = out.union(r)
-    return out
+    """Each region gives up what those before it hold; regions whose boxes are apart are not compared."""
+    some = [r for r in regions if r]
+    corners = [np.concatenate(r.pieces) for r in some]
+    low, high = np.array([c.min(axis=0) for c in corners]).reshape(-1, 2), np.array([c.max(axis=0) for c in corners]).reshape(-1, 2)
+    before: dict[int, list[int]] = {}
+    for i, j in zip(*(x.tolist() for x in box_pairs(low, high, low, high)), strict=True):
+        if j < i:
+            before.setdefault(i, []).append(j)
+    out: list[Region] = []
+    for i, r in enumerate(some):
+        meet = [p for j in before.get(i, []) for p in out[j].pieces]
+        out.append(r.subtract(Region(meet)) if meet else r)
+    return Region([p for o in out for p in o.pieces])
 
 
 def tighten(region: Region, z: np.ndarray | Scan, good, purity: float) -> Region:
@@ -216,22 +299,51 @@ def contradict(first: Region, second: Region, z: np.ndarray | Scan, good_1, good
     """Two best footprints that overlap: the less pure one gives the overlap up and is drawn again, until they no longer
     overlap, are equally pure there, or the tries are used up."""
     for attempt in range(1, tries + 1):
-        overlap = first.intersect(second)
-        if not overlap or overlap.area() <= 1e-12:
+        if not first.overlaps(second):
             break
-        n, g1, g2 = _counts(z, overlap.pieces, np.zeros(len(overlap.pieces), dtype=int), [good_1, good_2])[0]
+        n, g1, g2 = _common(z, first, second, good_1, good_2)
         p1, p2 = (g1 / n, g2 / n) if n else (math.nan, math.nan)
         if p1 > p2:
-            second = second.subtract(overlap)
+            second = second.subtract(first)
             second = tighten(second, z, good_2, purity) if attempt < tries else second
         elif p2 > p1:
-            first = first.subtract(overlap)
+            first = first.subtract(second)
             first = tighten(first, z, good_1, purity) if attempt < tries else first
         else:
             break
     return first, second
 
 
+def _packed(region: Region) -> tuple[bytes, bytes]:
+    """Corners of all pieces in turn, and their numbers, as bytes."""
+    xy = np.concatenate(region.pieces) if region else np.zeros((0, 2))
+    return xy.tobytes(), np.array([len(p) for p in region.pieces], dtype=np.int64).tobytes()
+
+
+def _unpacked(xy: bytes, n: bytes) -> Region:
+    return Region(np.split(np.frombuffer(xy).reshape(-1, 2), np.cumsum(np.frombuffer(n, dtype=np.int64))[:-1]) if n else [])
+
+
+def _nested(regions: list[Region]) -> pa.Array:
+    """Pieces of regions as lists of corners."""
+    pieces = [p for r in regions for p in r.pieces]
+    xy = np.concatenate(pieces) if pieces else np.zeros((0, 2))
+    at = lambda n: pa.array(np.cumsum([0, *n]), pa.int32())
+    corners = pa.ListArray.from_arrays(pa.array(np.arange(len(xy) + 1) * 2, pa.int32()), pa.array(xy.ravel()))
+    return pa.ListArray.from_arrays(at(len(r.pieces) for r in regions), pa.ListArray.from_arrays(at(len(p) for p in pieces), corners))
+
+
+def _regions(column: pa.Array) -> list[Region]:
+    """Regions from lists of corners."""
+    out = []
+    for own in (column.slice(i, 1) for i in range(len(column))):
+        pieces = own.flatten()
+        n = pieces.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        xy = pieces.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
+        out.append(Region(np.split(xy, np.cumsum(n)[:-1]) if len(n) else []))
+    return out
+
+
 @dataclass
 class Outlines:
     """All rows, the goodness of each footprint by its key, and the outlines of its clusters before any pruning."""
@@ -242,8 +354,7 @@ class Outlines:
 
 
 def outlines(df: DataFrame, algos: list[str], good: list[str], best: str, beta: str) -> Outlines:
-    """Clusters of the distinct good points of every footprint, all of them, found together as components of neighbours;
-    a cluster is outlined in a task."""
+    """Clusters of the distinct good points of every footprint, all of them, found and outlined by a task a footprint."""
     spark = df.sparkSession
     ship_package(spark)
     tables = Tables(spark, "footprints")
@@ -253,25 +364,23 @@ def outlines(df: DataFrame, algos: list[str], good: list[str], best: str, beta:
     every = F.array(*(F.coalesce(f.cast("boolean"), F.lit(False)) for f in flags.values()))
     rows = tables.save(df.dropna(subset=["z_1", "z_2"]).select("z_1", "z_2", every.alias("flags")), "rows")
     own = rows.select("z_1", "z_2", F.posexplode("flags").alias("id", "own")).where("own").select("id", "z_1", "z_2").distinct()
-    points = tables.save(own.withColumn("point", F.monotonically_increasing_id()), "points")
-    of = []
-    for r in points.groupBy("id").agg(F.count("*").alias("n"), *((F.max(c) - F.min(c)).alias(f"d{c}") for c in ("z_1", "z_2"))).collect():
-        k = least_neighbours(r["n"])
-        of.append((r["id"], neighbour_radius(r["n"], (r["dz_1"], r["dz_2"]), k), k))
-    # points on a line have no neighbours
-    near = spark.createDataFrame([x for x in of if x[1] > 0], "id int, radius double, k int")
-    placed = points.join(F.broadcast(near), "id")
-    classes = components(placed, F.col("radius"), F.col("k"), "point", "id").where("class > 0")
-
-    def draw(cluster: pd.DataFrame) -> pd.DataFrame:
-        pieces = outline(cluster[["z_1", "z_2"]].to_numpy(float)).to_lists()
-        return pd.DataFrame({"id": [cluster["id"].iloc[0]], "class": [cluster["class"].iloc[0]], "pieces": [pieces]})
-
-    drawn = placed.select("point", "id", "z_1", "z_2").join(classes, "point").groupBy("id", "class").applyInPandas(draw, "id int, class int, pieces array<array<array<double>>>")
+
+    def draw(batch: pd.DataFrame) -> pd.DataFrame:
+        z = np.unique(batch[["z_1", "z_2"]].to_numpy(float), axis=0)
+        k = least_neighbours(len(z))
+        radius = neighbour_radius(len(z), tuple(np.ptp(z, axis=0)), k)
+        # points on a line have no neighbours
+        classes = cluster(z, radius, k) if radius > 0 else np.full(len(z), -1)
+        order = np.argsort(classes, kind="stable")
+        bounds = np.searchsorted(classes[order], np.arange(1, classes.max() + 2))
+        drawn = [_packed(outline(z[order[a:b]])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pd.DataFrame([(batch["id"].iloc[0], i, *d) for i, d in enumerate(drawn, 1)], columns=["id", "class", "xy", "n"])
+
+    drawn = own.repartition(16 * len(flags), "id").groupBy("id").applyInPandas(draw, "id int, class int, xy binary, n binary")
     keys = list(flags)
     clusters: dict[tuple[str, str], list[Region]] = {k: [] for k in keys}
     for r in sorted(drawn.collect(), key=lambda r: (r["id"], r["class"])):
-        clusters[keys[r["id"]]].append(Region.from_lists(r["pieces"]))
+        clusters[keys[r["id"]]].append(_unpacked(r["xy"], r["n"]))
     return Outlines(Scan(rows), flags, clusters)
 
 
@@ -287,14 +396,14 @@ def footprints(df: DataFrame, algos: list[str], good: list[str], best: str, beta
     keys = list(o.flags)
     whole = [(i, r) for i, k in enumerate(keys) for r in o.clusters[k]]
     pruned = _prune_all([r for _, r in whole], o.scan, [i for i, _ in whole], purity)
-    sent = spark.sparkContext.broadcast([[p.pieces for (i, _), p in zip(whole, pruned, strict=True) if i == at] for at in range(len(keys))])
+    sent = spark.sparkContext.broadcast([[_packed(p) for (i, _), p in zip(whole, pruned, strict=True) if i == at] for at in range(len(keys))])
 
     def one(batches):
         for b in batches:
-            yield pd.DataFrame([(int(i), _union([Region(p) for p in sent.value[i]]).to_lists()) for i in b["id"]], columns=["id", "pieces"])
+            yield pd.DataFrame([(int(i), *_packed(_union([_unpacked(*p) for p in sent.value[i]]))) for i in b["id"]], columns=["id", "xy", "n"])
 
     todo = spark.range(len(keys)).repartition(max(1, min(len(keys), spark.sparkContext.defaultParallelism)))
-    regions = {keys[r["id"]]: Region.from_lists(r["pieces"]) for r in todo.mapInPandas(one, "id long, pieces array<array<array<double>>>").collect()}
+    regions = {keys[r["id"]]: _unpacked(r["xy"], r["n"]) for r in todo.mapInPandas(one, "id long, xy binary, n binary").collect()}
     regions = {k: regions[k] for k in keys}
     for i, a in enumerate(algos):
         for b in algos[i + 1 :]:
@@ -309,33 +418,38 @@ def count_inside(df: DataFrame, regions: dict[tuple[str, str], Region], flags: d
     spark = df.sparkSession
     ship_package(spark)
     keys = list(regions)
-    sent = spark.sparkContext.broadcast([regions[k].pieces for k in keys])
+    sent = spark.sparkContext.broadcast([_packed(regions[k]) for k in keys])
     points = df.select("z_1", "z_2", F.array(*(F.coalesce(flags[k].cast("boolean"), F.lit(False)) for k in keys)).alias("flags")).where("z_1 is not null and z_2 is not null")
 
     def one(batches):
         total = np.zeros((len(sent.value), 2), dtype=np.int64)
-        indexes = [Pieces(p) for p in sent.value]
+        parts = [_unpacked(*p).pieces for p in sent.value]
+        indexes = [Pieces(p) for p in parts]
         for b in batches:
             z = b[["z_1", "z_2"]].to_numpy(float)
             good = np.array(b["flags"].tolist(), dtype=bool).reshape(len(b), -1)
             for i, x in enumerate(indexes):
-                total[i] += _tally(x, np.zeros(len(sent.value[i]), dtype=int), 1, z, [good[:, i]])[0]
+                total[i] += _tally(x, np.zeros(len(parts[i]), dtype=int), 1, z, [good[:, i]])[0]
         yield pd.DataFrame({"i": np.arange(len(total)), "n": total[:, 0], "g": total[:, 1]})
 
     got = {r["i"]: (r["n"], r["g"]) for r in points.mapInPandas(one, "i long, n long, g long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()}
     out = []
     for i, k in enumerate(keys):
         a, (n, g) = regions[k].area(), got.get(i, (0, 0))
-        out.append((*k, regions[k].to_lists(), float(a), n, g, n / a if a > 0 else 0.0, g / n if n else 0.0))
-    return spark.createDataFrame(out, SCHEMA)
+        out.append((*k, float(a), n, g, n / a if a > 0 else 0.0, g / n if n else 0.0))
+    kind, algo, *numbers = (list(c) for c in zip(*out, strict=True)) if out else [[] for _ in range(7)]
+    types = [pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    columns = [pa.array(kind, pa.string()), pa.array(algo, pa.string()), _nested([regions[k] for k in keys]), *map(pa.array, numbers, types)]
+    return spark.createDataFrame(pa.table(columns, names=[c.split()[0] for c in SCHEMA.split(", ")]), SCHEMA)
 
 
 def assess(df: DataFrame, stored: DataFrame, algos: list[str], good: list[str], best: str, beta: str) -> DataFrame:
     """Stored footprints measured on new rows; empty ones, and those without positive rows, give zeros."""
     regions, flags = {}, {}
-    for r in stored.collect():
-        k = (r["kind"], r["algo"])
-        regions[k] = Region.from_lists(r["pieces"])
+    had = stored.select("kind", "algo", "pieces").toArrow()
+    for kind, algo, region in zip(had["kind"].to_pylist(), had["algo"].to_pylist(), _regions(had["pieces"].combine_chunks()), strict=True):
+        k = (kind, algo)
+        regions[k] = region
         if k[0] in ("space", "hard"):
             flags[k] = F.lit(True) if k[0] == "space" else ~F.col(beta)
         elif k[1] in algos:

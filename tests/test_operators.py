@@ -594,3 +594,43 @@ def test_neighbours_of_copies_ties_and_shards(spark, monkeypatch):
     assert got == want
     near = sorted((t.instances, t.nearest) for t in subset.nearest_distances(df, ["a", "b", "c"]).collect())
     assert near == sorted((n, d) for n, _, d, rank in want if rank == 1)
+
+
+def test_regions_of_many_pieces_take_seconds():
+    """Two shapes of 4,000 triangles each, cut, joined and parted; piece by piece this took most of a minute."""
+    import time
+
+    r = np.random.default_rng(1)
+    a, b = (tight_boundary(r.normal(x, 1, (2000, 2))) for x in (0, 0.5))
+    began = time.process_time()
+    both, rest = a.intersect(b), a.subtract(b)
+    assert both.area() + rest.area() == pytest.approx(a.area()) and a.overlaps(b) and not rest.overlaps(b, 1e-9)
+    assert len(a.parts()) == 1 and len(a.union(b).parts()) == 1
+    assert time.process_time() - began < 15
+
+
+def test_cluster_in_memory_equals_all_pairs():
+    r = np.random.default_rng(4)
+    z = np.concatenate([r.normal(0, 1, (300, 2)), r.normal(0, 0.05, (100, 2)), r.uniform(-9, 9, (60, 2))])
+    for radius, k in ((0.3, 4), (0.05, 20), (1.5, 60)):
+        near = ((z[:, None] - z[None]) ** 2).sum(axis=2) <= radius * radius
+        reach = near.copy()
+        while (more := (reach.astype(np.float32) @ reach.astype(np.float32) > 0)).sum() > reach.sum():
+            reach = more
+        want, seen = np.full(len(z), -1), {}
+        for i in np.flatnonzero(near.sum(axis=1) >= k + 1):
+            seen.setdefault(int(np.argmax(reach[i])), len(seen) + 1)
+        for i in range(len(z)):
+            want[i] = seen.get(int(np.argmax(reach[i])), -1)
+        assert footprint.cluster(z, radius, k).tolist() == want.tolist()
+
+
+def test_footprints_on_the_driver_equal_scans(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(str(i), float(x), float(y), bool(x + r.normal() > 0), int(1 + (x > 0))) for i, (x, y) in enumerate(r.normal(0, 1, (400, 2)))]
+    df = spark.createDataFrame(rows, "instances string, z_1 double, z_2 double, good_x boolean, best int").withColumns({"good_y": ~F.col("good_x"), "easy": F.lit(False)})
+    got = []
+    for most in (1_000, 10):
+        monkeypatch.setattr(footprint, "MEMORY_ROWS", most)
+        got.append(sorted((x.kind, x.algo, x.elements, x.good_elements, round(x.area, 9)) for x in footprint.footprints(df, ["algo_x", "algo_y"], ["good_x", "good_y"], "best", "easy").collect()))
+    assert got[0] == got[1]
