@@ -45,18 +45,32 @@ def knn_predict(train: DataFrame, test: DataFrame, columns: list[str], flags: li
     return votes.select(row, *(F.col(f"share_{f}") for f in flags), *((F.col(f"share_{f}") > 0.5).alias(f"hat_{f}") for f in flags))
 
 
-def _knn_vote(z: np.ndarray, y: np.ndarray, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> np.ndarray:
-    """Shares of true flags among the k nearest rows of z for every row of q, in blocks of queries."""
-    out = np.zeros((len(q), y.shape[1]))
+def _nearest(z: np.ndarray, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> np.ndarray:
+    """Row numbers of the k nearest rows of z for every row of q, ties by number, in blocks of queries; skipped rows last."""
+    k = min(k, len(z))
+    out = np.zeros((len(q), k), dtype=np.int64)
     for at in range(0, len(q), 512):
-        d = ((q[at : at + 512, None, :] - z[None, :, :]) ** 2).sum(axis=2)
+        own = q[at : at + 512]
+        d = np.zeros((len(own), len(z)))
+        for c in range(z.shape[1]):
+            d += (own[:, c, None] - z[None, :, c]) ** 2
         if skip is not None:
             d[skip[at : at + 512]] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out[at : at + 512] = y[near].mean(axis=1)
+        most = np.partition(d, k - 1, axis=1)[:, k - 1] if k else np.zeros(len(own))
+        if np.isnan(most).any():
+            out[at : at + 512] = np.argsort(d, axis=1, kind="stable")[:, :k]
+            continue
+        i, j = np.nonzero(d <= most[:, None])
+        order = np.lexsort([d[i, j], i])
+        out[at : at + 512] = j[order][np.searchsorted(i, np.arange(len(own)))[:, None] + np.arange(k)] if k else 0
     return out
 
 
+def _knn_vote(z: np.ndarray, y: np.ndarray, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> np.ndarray:
+    """Shares of true flags among the k nearest rows of z for every row of q."""
+    return y[_nearest(z, q, k, skip)].mean(axis=1)
+
+
 def knn_losses(df: DataFrame, projections: dict[tuple[int, ...], tuple[list[str], np.ndarray]], flags: list[str], fold: Column, k: int = 3) -> dict[tuple[int, ...], float]:
     """Worst cross-validated k-NN loss over the flags in each projection, over all rows.
 
@@ -254,25 +268,32 @@ def score(df: DataFrame, model: dict[str, Any]) -> DataFrame:
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(f"hat_{n}", T.BooleanType()) for n in names), *(T.StructField(f"prob_{n}", T.DoubleType()) for n in names)])
     models = model["models"]
+    given = [(np.array(m["x"], dtype=float), np.array(m["y"], dtype=float), m["k"]) for m in models] if knn else []
+    # models fitted together have the same rows, whose neighbours are looked up once
+    alike = all(np.array_equal(x, given[0][0]) for x, _, _ in given)
+    sent = spark.sparkContext.broadcast((given[0][0] if given and alike else None, [(None if alike else x, y, k) for x, y, k in given], None if knn else models))
 
     def one(batches):
+        shared, given, models = sent.value
         for b in batches:
             z = b[["z_1", "z_2"]].to_numpy(float)
             ok = ~np.isnan(z).any(axis=1)
             x = z[ok] if knn else (z[ok] - mu) / sigma
             out = b.copy()
             hats, probs = {}, {}
-            for m in models:
+            near = _nearest(shared, x, max(k for _, _, k in given)) if shared is not None else None
+            for i, name in enumerate(names):
                 if knn:
-                    share = _knn_vote(np.array(m["x"]), np.array(m["y"], dtype=float)[:, None], x, m["k"])[:, 0] if len(x) else np.zeros(0)
-                    h, p = share > 0.5, share
+                    held, y, k = given[i]
+                    p = (y[near[:, :k]] if near is not None else y[_nearest(held, x, k)]).mean(axis=1) if len(x) else np.zeros(0)
+                    h = p > 0.5
                 else:
-                    h, p = svm_scores(m, x)
+                    h, p = svm_scores(models[i], x)
                 full = np.full(len(b), None, dtype=object)
                 full[ok] = [bool(v) for v in h]
                 prob = np.full(len(b), np.nan)
                 prob[ok] = p
-                hats[f"hat_{m['flag']}"], probs[f"prob_{m['flag']}"] = full, prob
+                hats[f"hat_{name}"], probs[f"prob_{name}"] = full, prob
             yield out.assign(**hats, **probs)
 
     return df.mapInPandas(one, schema)

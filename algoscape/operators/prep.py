@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
+from ..functions.shipping import ship_package
 from .labels import MACHINE_EPSILON
 
 SCHEMA = "name string, role string, med double, iqr double, lo double, hi double, shift double, lambda double, mu double, sigma double"
@@ -35,19 +38,51 @@ def box_cox(x: Column, lam: float) -> Column:
     return F.log(x) if lam == 0 else (F.pow(x, F.lit(float(lam))) - 1) / F.lit(float(lam))
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of count, mean and squares about the mean of two sets of values together."""
+    n = a[:, 0] + b[:, 0]
+    step, share = b[:, 1] - a[:, 1], b[:, 0] / np.maximum(n, 1)
+    return np.column_stack([n, np.where(a[:, 0] == 0, b[:, 1], np.where(b[:, 0] == 0, a[:, 1], a[:, 1] + step * share)), a[:, 2] + b[:, 2] + np.where(share * a[:, 0] > 0, step * step * a[:, 0] * share, 0.0)])
+
+
 def log_likelihoods(df: DataFrame, columns: dict[str, Column], lambdas: dict[str, list[float]]) -> dict[str, list[float | None]]:
-    """Profile log-likelihood of the power transform for every column and each of its lambdas, in one aggregate."""
-    one = []
-    for c, x in columns.items():
-        one += [F.count(x).alias(f"n_{c}"), F.sum(F.log(x)).alias(f"s_{c}"), (F.min(x) < F.max(x)).alias(f"w_{c}")]
-        one += [F.var_pop(box_cox(x, v)).alias(f"v{i}_{c}") for i, v in enumerate(lambdas[c])]
-    got = df.agg(*one).first()
-    out = {}
-    for c in columns:
-        out[c] = []
-        for i, v in enumerate(lambdas[c]):
-            n, s, var = got[f"n_{c}"], got[f"s_{c}"], got[f"v{i}_{c}"]
-            out[c].append(None if not n or not got[f"w_{c}"] or not var or var != var else -n / 2 * math.log(var) + (v - 1) * s)
+    """Profile log-likelihood of the power transform for every column and each of its lambdas, in one pass: a task hands
+    on counts, means and squares alone. (As one aggregate, the expressions are too many for compiled code.)"""
+    spark = df.sparkSession
+    ship_package(spark)
+    names = list(columns)
+    given = [(k, float(v)) for k, c in enumerate(names) for v in lambdas[c]]
+
+    def part(batches):
+        # by column: values, sum of logarithms, least, most; by column and lambda: see _joined
+        own, spread = np.tile([0.0, 0.0, np.inf, -np.inf], (len(names), 1)), np.zeros((len(given), 3))
+        with np.errstate(all="ignore"):
+            for b in batches:
+                values = [b.column(k).drop_null().to_numpy(zero_copy_only=False) for k in range(len(names))]
+                logs = [np.log(x[x > 0]) for x in values]
+                for k, x in enumerate(values):
+                    if len(x):
+                        own[k] = own[k, 0] + len(x), own[k, 1] + logs[k].sum(), min(own[k, 2], x.min()), max(own[k, 3], x.max())
+                new = np.zeros_like(spread)
+                for i, (k, v) in enumerate(given):
+                    y = logs[k] if v == 0 else (np.power(values[k], v) - 1) / v
+                    if len(y):
+                        mean = y.mean()
+                        new[i] = len(y), mean, ((y - mean) ** 2).sum()
+                spread = _joined(spread, new)
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary()), pa.array([spread.tobytes()], pa.binary())], names=["own", "spread"])
+
+    own, spread = np.tile([0.0, 0.0, np.inf, -np.inf], (len(names), 1)), np.zeros((len(given), 3))
+    with np.errstate(all="ignore"):
+        for r in df.select(*(x.cast("double").alias(c) for c, x in columns.items())).mapInArrow(part, "own binary, spread binary").collect():
+            more = np.frombuffer(bytes(r["own"])).reshape(-1, 4)
+            own = np.column_stack([own[:, :2] + more[:, :2], np.minimum(own[:, 2], more[:, 2]), np.maximum(own[:, 3], more[:, 3])])
+            spread = _joined(spread, np.frombuffer(bytes(r["spread"])).reshape(-1, 3))
+    out: dict[str, list[float | None]] = {c: [] for c in columns}
+    for (k, v), (m, _, squares) in zip(given, spread.tolist(), strict=True):
+        n, s, least, most = own[k].tolist()
+        var = squares / m if m else 0.0
+        out[names[k]].append(None if not n or not least < most or not 0 < var < math.inf else -n / 2 * math.log(var) + (v - 1) * s)
     return out
 
 

@@ -17,6 +17,10 @@ from ..functions.tables import Tables
 #: Rows of a block; all pairs of two blocks are in memory at a time.
 BLOCK = 1_000
 _NO_PAIRS = (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+#: Places of a block of plane_correlations, rows and columns of its pairs measured at a time, and doubles of blocks broadcast at a time.
+PLACES = 8_000
+TILE = (128, 256)
+SHARD = 8_000_000
 
 
 @dataclass
@@ -230,6 +234,128 @@ def distance_correlation(df: DataFrame, features: list[str], row: str = "instanc
     return spark.createDataFrame([(count, xz / math.sqrt(xx * zz) if xx * zz > 0 else None)], "n_pairs long, corr double")
 
 
+def _squares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factors whose product holds the squared distances of all rows."""
+    n, one = (x**2).sum(axis=1)[:, None], np.ones((len(x), 1))
+    return np.hstack([-2 * x, n, one]), np.ascontiguousarray(np.hstack([x, one, n]).T)
+
+
+def _plane_sums(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, planes: list[np.ndarray], label: np.ndarray | None) -> np.ndarray:
+    """A row for the features and each plane: sums over all pairs of a row of x and a row of y, weighted by wx and wy, of
+    1, of the distance, its square, and its product with the distance of the features. With labels x is y, and a pair
+    of two labels counts once."""
+    spaces = [(x, y), *((x @ a.T, y @ a.T) for a in planes)]
+    factors = [(_squares(p)[0], _squares(q)[1]) for p, q in spaces]
+    out = np.zeros((len(spaces), 4))
+    if label is None:
+        out[:, 0] = wx.sum() * wy.sum()
+        # squares need no pairs
+        out[:, 2] = [wy.sum() * (wx @ (p**2).sum(axis=1)) + wx.sum() * (wy @ (q**2).sum(axis=1)) - 2 * (wx @ p) @ (wy @ q) for p, q in spaces]
+    plain = bool((wx == 1).all() and (wy == 1).all())
+    for a in range(0, len(x), TILE[0]):
+        for b in range(0, len(y), TILE[1]):
+            u, v = wx[a : a + TILE[0]], wy[b : b + TILE[1]]
+            dx = both = None
+            if label is not None:
+                both = np.where(label[a : a + TILE[0], None] != label[None, b : b + TILE[1]], np.outer(u, v) / 2, 0.0)
+                out[:, 0] += both.sum()
+            for k, (p, q) in enumerate(factors):
+                d = p[a : a + TILE[0]] @ q[:, b : b + TILE[1]]
+                np.abs(d, out=d)  # rounding can pass below zero
+                if both is not None:
+                    out[k, 2] += d.ravel() @ both.ravel()
+                np.sqrt(d, out=d)
+                out[k, 1] += u @ (d @ v) if both is None else d.ravel() @ both.ravel()
+                if k == 0:
+                    dx = d
+                    if both is not None:
+                        dx *= both
+                    elif not plain:
+                        dx *= u[:, None]
+                        dx *= v
+                else:
+                    out[k, 3] += dx.ravel() @ d.ravel()
+    return out
+
+
+def plane_correlations(df: DataFrame, features: list[str], planes: list[np.ndarray], row: str = "instances") -> list[float | None]:
+    """distance_correlation's corr for several planes (2 x features) from one pass over all pairs.
+
+    Rows of one place count once, by their number, unless labels repeat: rows of one label make no pair, so then rows
+    count once by label and place. The work is quadratic in the places; blocks of them are broadcast in shards, and a task
+    hands on sums alone. Where distances hardly spread, they are measured column by column instead.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    tables = Tables(spark, "planes")
+    some = tables.save(df.select(row, *(F.col(c).cast("double").alias(c) for c in features)).dropna(), "rows")
+    repeated = some.count() != some.select(row).distinct().count()
+    by = [row] if repeated else features
+    places = tables.save(some.groupBy(*([row] if repeated else []), *features).agg(F.count("*").cast("double").alias("w")), "places")
+    got = places.agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in features)).first()
+    if not got["n"]:
+        return [None] * len(planes)
+    # products of numbers far from zero would lose digits
+    middle = np.array([got[c] for c in features])
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    n = max(math.ceil(got["n"] / PLACES), min(math.ceil(got["n"] / 500), tasks))
+    shards = max(1, math.ceil(got["n"] * (len(features) + 2) / SHARD))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        label = pd.factorize(rows[row])[0] if repeated else np.arange(len(rows))
+        return pd.DataFrame({"k": [rows["k"].iloc[0]], "x": [(rows[features].to_numpy(float) - middle).tobytes()], "w": [rows["w"].to_numpy(float).tobytes()], "label": [label.astype(np.int64).tobytes()]})
+
+    blocks = tables.save(places.withColumn("k", F.pmod(F.xxhash64(*by), F.lit(n))).groupBy("k").applyInPandas(pack, "k long, x binary, w binary, label binary"), "blocks")
+
+    def held(s: int) -> list[tuple]:
+        return [(r["k"], *(bytes(r[c]) for c in ("x", "w", "label"))) for r in sorted(blocks.where(F.pmod("k", F.lit(shards)) == s).collect())]
+
+    def measure(first: list[tuple], second: list[tuple] | None) -> np.ndarray:
+        sent = spark.sparkContext.broadcast((first, second))
+        pairs = len(first) * (len(first) + 1) // 2 if second is None else len(first) * len(second)
+
+        def sums(batches):
+            one, two = sent.value
+            at = [(i, j) for i in range(len(one)) for j in range(i, len(one))] if two is None else [(i, j) for i in range(len(one)) for j in range(len(two))]
+            total = np.zeros((len(planes) + 1, 4))
+            for b in batches:
+                for i, j in (at[t] for t in b["id"]):
+                    (_, x, wx, label), (_, y, wy, _) = one[i], (one if two is None else two)[j]
+                    p, q = (np.frombuffer(v, dtype=float).reshape(-1, len(features)) for v in (x, y))
+                    u, v = np.frombuffer(wx, dtype=float), np.frombuffer(wy, dtype=float)
+                    total += _plane_sums(p, q, u, v, planes, np.frombuffer(label, dtype=np.int64) if two is None and i == j else None)
+            yield pd.DataFrame(total, columns=["n", "d", "dd", "dx"]).assign(k=range(len(total)))
+
+        todo = spark.range(0, pairs, 1, max(1, min(pairs, 8 * tasks)))
+        total = np.zeros((len(planes) + 1, 4))
+        for r in todo.mapInPandas(sums, "n double, d double, dd double, dx double, k long").collect():
+            total[r["k"]] += [r["n"], r["d"], r["dd"], r["dx"]]
+        sent.destroy()
+        return total
+
+    total = np.zeros((len(planes) + 1, 4))
+    for s in range(shards):
+        first = held(s)
+        total += measure(first, None)
+        for t in range(s + 1, shards):
+            total += measure(first, held(t))
+    if not repeated:
+        # rows of one place are pairs without distance
+        total[:, 0] += places.agg(F.sum(F.col("w") * (F.col("w") - 1) / 2)).first()[0]
+    out: list[float | None] = []
+    pairs, dx, xx = total[0, :3]
+    for a, (_, dz, zz, xz) in zip(planes, total[1:], strict=True):
+        if not pairs or not xx * zz > 0:
+            out.append(None)
+            continue
+        vx, vz = 1 - dx * dx / (pairs * xx), 1 - dz * dz / (pairs * zz)
+        if min(vx, vz) < 1e-10:
+            out.append(distance_correlation(project(df, features, a), features, row).first()["corr"])
+        else:
+            out.append(float((xz - dx * dz / pairs) / math.sqrt(xx * zz * vx * vz)))
+    return out
+
+
 def fit_quality(df: DataFrame, features: list[str], targets: list[str], b) -> DataFrame:
     """target, n, error (sum of squares) and r2 (squared correlation) of each target's reconstruction from z."""
     aggs = []
@@ -256,10 +382,8 @@ def fit(df: DataFrame, features: list[str], algos: list[str], *, analytic_soluti
         a, b = x[: 2 * p].reshape(2, p), x[2 * p :].reshape(m, 2)
         return Solution(a, b, g.loss(a, b)[0]), project(df, features, a)
     found = trials(g, tries, seed, None if start is None else [np.asarray(start, dtype=float)])
-    scored = []
-    for s in found:
-        corr = distance_correlation(project(df, features, s.a), features).first()["corr"] if len(found) > 1 else 0.0
-        scored.append((corr if corr is not None and corr == corr else -2.0, -s.loss))
+    kept = plane_correlations(df, features, [s.a for s in found]) if len(found) > 1 else [0.0]
+    scored = [(corr if corr is not None and corr == corr else -2.0, -s.loss) for corr, s in zip(kept, found, strict=True)]
     s = found[max(range(len(found)), key=lambda i: scored[i])]
     return s, project(df, features, s.a)
 

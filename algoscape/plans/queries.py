@@ -901,10 +901,10 @@ def _(s, d):
 
 @query("stream_scores")
 def _(s, d):
-    users = view(s, d, "user_meta")
-    run = build.train(users, Options(performance=Performance(False, False, EPS, BETA), search=FeatureSearch(enabled=False), prediction=Prediction(folds=3)), with_footprints=False)
     t = Tables(s, "stream")
-    t.save(users, "in")
+    # events are grouped once
+    users = t.save(view(s, d, "user_meta"), "in")
+    run = build.train(users, Options(performance=Performance(False, False, EPS, BETA), search=FeatureSearch(enabled=False), prediction=Prediction(folds=3)), with_footprints=False)
     scored = score_stream(s, f"{t.base}/in", users.schema, run.model)
     write_scores(scored.select("instances", "z_1", "z_2", "selection1"), f"{t.base}/out", f"{t.base}/checkpoint").awaitTermination()
     return s.read.parquet(f"{t.base}/out")

@@ -120,6 +120,31 @@ def test_power_transform_finds_the_logarithm(spark):
 
 
 # ---- correlation and selection
+def test_likelihoods_equal_plain_ones(spark):
+    r = random.Random(31)
+    rows = [(math.exp(r.gauss(0, 1)), None if i % 3 else 5.0 + r.random(), 7.0, None) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(7)
+    lambdas = {"a": [-1.0, 0.0, 0.5], "b": [2.0], "c": [0.5, 1.0], "d": [1.0]}
+    got = prep.log_likelihoods(df, {c: F.col(c) for c in "abcd"}, lambdas)
+    for k, c in enumerate("ab"):
+        x = np.array([v[k] for v in rows if v[k] is not None])
+        want = [-len(x) / 2 * math.log((np.log(x) if v == 0 else (x**v - 1) / v).var()) + (v - 1) * np.log(x).sum() for v in lambdas[c]]
+        assert got[c] == pytest.approx(want, rel=1e-12)
+    assert got["c"] == [None, None] and got["d"] == [None]
+
+
+def test_nearest_rows_in_memory_keep_ties_by_number():
+    r = np.random.default_rng(12)
+    z, q = np.round(r.normal(size=(400, 2)), 1), np.round(r.normal(size=(700, 2)), 1)
+    skip = r.random((700, 400)) < 0.995
+    for skipped in (None, skip):
+        d = ((q[:, None, :] - z[None, :, :]) ** 2).sum(axis=2)
+        if skipped is not None:
+            d[skipped] = np.inf
+        assert (predict._nearest(z, q, 9, skipped) == np.argsort(d, axis=1, kind="stable")[:, :9]).all()
+    assert predict._nearest(z[:4], q, 9).shape == (700, 4)
+
+
 def test_p_values():
     assert correlation_p_value(0.5, 10) == pytest.approx(0.1411, abs=1e-4)
     assert correlation_p_value(0.0, 10) == pytest.approx(1.0)
@@ -261,6 +286,41 @@ def test_distance_correlation_takes_all_pairs(spark):
     assert got["corr"] == pytest.approx(np.corrcoef(dx[once], dz[once])[0, 1], abs=1e-9)
 
 
+@pytest.mark.parametrize("labels", ["own", "repeated"])
+def test_planes_take_all_pairs_and_places_once(spark, monkeypatch, labels):
+    monkeypatch.setattr(project, "PLACES", 150)
+    monkeypatch.setattr(project, "SHARD", 1_000)
+    r = np.random.default_rng(6)
+    # 400 places, half of them far from zero, on three rows each
+    x = np.tile(np.vstack([r.normal(size=(200, 3)), 1e4 + r.normal(size=(200, 3))]), (3, 1))
+    names = [f"i{i % 1100}" if labels == "repeated" else f"i{i}" for i in range(len(x))]
+    df = spark.createDataFrame([(n, *map(float, v)) for n, v in zip(names, x, strict=True)], "instances string, a double, b double, c double")
+    planes = [r.normal(size=(2, 3)) for _ in range(3)] + [np.zeros((2, 3))]
+    once = np.triu(np.array(names)[:, None] != np.array(names)[None, :], 1)
+    dx = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))[once]
+    want = [np.corrcoef(dx, np.sqrt((((x @ a.T)[:, None, :] - (x @ a.T)[None, :, :]) ** 2).sum(axis=2))[once])[0, 1] for a in planes[:3]]
+    got = project.plane_correlations(df, ["a", "b", "c"], planes)
+    assert got[:3] == pytest.approx(want, abs=1e-9) and got[3] is None
+    assert project.plane_correlations(df.limit(0), ["a", "b", "c"], planes) == [None] * 4
+    # equal distances have no spread
+    three = spark.createDataFrame([("x", 1.0, 0.0, 0.0), ("y", 0.0, 1.0, 0.0), ("z", 0.0, 0.0, 1.0)], df.schema)
+    assert project.plane_correlations(three, ["a", "b", "c"], planes[:1]) == [None]
+
+
+def test_projection_of_copies_measures_a_place_once(spark, monkeypatch):
+    """Rows that repeat add no pairs to measure, and all trials share one pass."""
+    monkeypatch.setattr(project, "distance_correlation", lambda *a: pytest.fail("a pass for each trial"))
+    r = np.random.default_rng(8)
+    x = r.normal(size=(100, 3))
+    few, many = (spark.createDataFrame([(f"{k}-{i}", *map(float, v), float(v[0] + 2 * v[1])) for k in range(n) for i, v in enumerate(x)], "instances string, feature_a double, feature_b double, feature_c double, algo_x double") for n in (1, 30))
+    names = ["feature_a", "feature_b", "feature_c"]
+    solutions = [project.fit(df, names, ["algo_x"], tries=3)[0] for df in (few, many)]
+    assert solutions[0].a == pytest.approx(solutions[1].a, abs=1e-5)
+    one = np.ones(100)
+    alone, copied = (project._plane_sums(x, x, w, w, [solutions[0].a], np.arange(100)) for w in (one, 30 * one))
+    assert copied == pytest.approx(900 * alone)
+
+
 # ---- boundary
 def test_corners_prune_and_fall_back(spark):
     v = bounds.vertices(spark, ["f", "g"], [(-1.0, 1.0), (-2.0, 2.0)])
