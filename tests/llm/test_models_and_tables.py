@@ -349,6 +349,38 @@ def test_forest_equals_a_plain_one():
     assert forest.score(x)[2] > forest.score(x)[1] > forest.score(x)[0]
 
 
+def test_forest_and_threshold_come_from_all_rows(spark):
+    """30,000 rows: more than 100 trees of 256 rows, and more than 20,000 labelled ones."""
+    r = np.random.default_rng(9)
+    n = 30_000
+    x = np.round(r.random((n, len(quality_rules.STATISTICS))) * (r.random((n, len(quality_rules.STATISTICS))) < 0.02), 2)
+    good = (x.sum(axis=1) < 0.4) | (r.random(n) < 0.01)
+    stats = spark.createDataFrame([(i, i, 100, 500, 0, 0, 0, v) for i, v in enumerate(x.tolist())], "id long, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, x array<double>").repartition(7)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    forest, limit = quality_rules.fit(stats, labels, trees=10, depth=5)
+    plan = quality_rules.Forest.plan(x.min(axis=0), x.max(axis=0), 10, 5)
+    for root, p in zip(forest.roots, plan.roots, strict=True):
+        todo = [(root, p, np.arange(n), 0)]
+        while todo:
+            k, p, at, level = todo.pop()
+            if len(at) <= 1 or plan.feature[p] < 0:
+                assert forest.feature[k] < 0 and forest.depth[k] == pytest.approx(level + forest._average_path(len(at)))
+                continue
+            f, c = plan.feature[p], plan.cut[p]
+            todo += [(forest.left[k], plan.left[p], at[x[at, f] <= c], level + 1), (forest.right[k], plan.right[p], at[x[at, f] > c], level + 1)]
+    assert forest.norm == forest._average_path(n)
+    score = forest.score(x)
+    best, want = -1.0, 2.0
+    values = sorted(set(score.tolist()), reverse=True)
+    for s, below in zip(values, [*values[1:], None], strict=True):
+        false, true = (score[good] >= s).mean(), (score[~good] >= s).mean()
+        if false <= quality_rules.MAX_FALSE_DROPS and true - false > best + 1e-12:
+            best, want = true - false, (s + below) / 2
+    assert limit == pytest.approx(want, abs=1e-15)
+    got = quality_rules.judge(stats, forest, limit)
+    assert got.where("not kept").count() == (score > limit).sum() > 0
+
+
 def test_samples_are_bounded_and_never_empty(spark):
     """One id on all rows, on half of them, and equal rows."""
     from algoscape.llm.sampling import bounded_rows
