@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch. A column's buffer is up to twice that, once as vector and once as message, outside the heap;
+#: a buffer of more than 4 MB that is freed makes the C library keep as much again in the arena of every thread.
+BATCH_BYTES = 2 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -25,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches to Python workers hold at most 8 MB (or one row), however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches to Python workers hold at most ``BATCH_BYTES`` (or one row), however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def refuse(df: DataFrame, *names: str) -> None:

@@ -17,6 +17,7 @@ threshold is toxic; an empty table gives an empty result; only the named columns
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,17 +109,19 @@ class Model:
 
 def _train(text: str, label: str):
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[np.ndarray, int]] = []
+        # one growing block, which goes back to the system at once: the worker lives on and reads other stages' rows
+        held, bounds, labels = array("i"), [0], array("i")
         for s in K.slices(batches, text):
             at, doc = features(s.column(0))
             key = np.unique(doc * DIMENSIONS + at)
-            bounds = np.searchsorted(key, np.arange(s.num_rows + 1) * DIMENSIONS)
-            at = (key % DIMENSIONS).astype(np.int32)
-            rows += [(at[bounds[d] : bounds[d + 1]], int(y)) for d, y in enumerate(s.column(1).to_pylist())]
+            bounds += (len(held) + np.searchsorted(key, np.arange(1, s.num_rows + 1) * DIMENSIONS)).tolist()
+            held.frombytes((key % DIMENSIONS).astype(np.int32).tobytes())
+            labels.extend(s.column(1).to_pylist())
+        buckets = np.frombuffer(held, dtype=np.int32)
         model = Ftrl()
         for epoch in range(EPOCHS):
-            for i in np.random.default_rng(epoch).permutation(len(rows)):
-                model.learn(*rows[i])
+            for i in np.random.default_rng(epoch).permutation(len(labels)):
+                model.learn(buckets[bounds[i] : bounds[i + 1]], labels[i])
         w = model.weights(slice(None))
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(w[used], model.bias))], names=["bucket", "weight"])
