@@ -80,3 +80,71 @@ class Leaves:
             pick = order[start[:, None] + np.arange(k)]
             d[some], ids[some] = dist[pick], who[pick]
         return d, ids
+
+
+def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of every distinct place, and the place of every row."""
+    order = np.lexsort(x.T[::-1])
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (x[order[1:]] != x[order[:-1]]).any(axis=1)
+    own = np.empty(len(x), dtype=np.int64)
+    own[order] = np.cumsum(new) - 1
+    return order[new], own
+
+
+class Voters:
+    """Rows with flags and folds, which vote on places: the k nearest rows of other folds, ties by row number.
+
+    ``folds`` has a column for each flag, or one for all. A place keeps the first ``most`` (the largest k) rows of each
+    fold: those after them are never among the nearest.
+    """
+
+    def __init__(self, x: np.ndarray, flags: np.ndarray, folds: np.ndarray, most: int):
+        own, kept = places(x)[1], np.ones(len(x), dtype=bool)
+        if len(x) and np.bincount(own).max() > most:
+            kept[:] = False
+            for f in folds.T:
+                order = np.lexsort([f, own])
+                first = np.flatnonzero(np.r_[True, (np.diff(own[order]) != 0) | (np.diff(f[order]) != 0)])
+                rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+                kept[order[rank < most]] = True
+        self.flags, self.folds, self.most = flags[kept], folds[kept], most
+        self.index = Leaves(x[kept], np.arange(int(kept.sum())))
+
+    def shares(self, q: np.ndarray, folds: np.ndarray, ks: list[list[int]]) -> list[np.ndarray]:
+        """For each flag the shares of true ones among the k nearest rows that are not in a query's fold, a column for each
+        of the flag's ks (a fold under 0 holds no row); where fewer rows vote their share counts, and without any it is 0."""
+        out, rows = [np.zeros((len(q), len(k))) for k in ks], len(self.flags)
+        if not rows:
+            return out
+        first, own = places(q)
+        todo, n = np.argsort(own, kind="stable"), min(rows, 2 * self.most + 4 if (folds >= 0).any() else self.most)
+        # rows that lack voters among the n nearest look again, further
+        while len(todo):
+            missing = []
+            some, start = np.unique(own[todo], return_index=True)
+            start, block = np.append(start, len(todo)), max(1, 2_000_000 // n)
+            for a in range(0, len(some), block):
+                b = min(a + block, len(some))
+                shape = (b - a, n)
+                near = self.index.nearest(q[first[some[a:b]]], n, np.full(shape, np.inf), np.full(shape, -1))[1]
+                for at in range(start[a], start[b], max(1, 400_000 // n)):
+                    i = todo[at : min(at + max(1, 400_000 // n), start[b])]
+                    missing.append(i[~self._vote(near[np.searchsorted(some, own[i]) - a], folds[i], ks, i, out)])
+            if n == rows:
+                break
+            todo, n = np.concatenate(missing), min(4 * n, rows)
+        return out
+
+    def _vote(self, near, folds, ks, at, out) -> np.ndarray:
+        """Fill the shares of some rows from their nearest; whether each had as many voters as it needs."""
+        done = np.ones(len(at), dtype=bool)
+        for g in range(folds.shape[1]):
+            other = self.folds[near, g] != folds[:, g, None]
+            seen = np.cumsum(other, axis=1)
+            done &= seen[:, -1] >= self.most
+            for j in range(len(ks)) if folds.shape[1] == 1 else [g]:
+                yes = self.flags[near, j] & other
+                for c, k in enumerate(ks[j]):
+                    out[j][at, c] = (yes & (seen <= k)).sum(axis=1) / np.clip(seen[:, -1], 1, k)
+        return done

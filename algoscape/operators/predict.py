@@ -9,14 +9,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.neighbours import Voters
 from ..functions.shipping import ship_package
 from ..functions.tables import Tables
 from .subset import nearest_rows
 
-#: Rows a model is fitted on, and rows that neighbours are taken from: beyond that a hashed sample of this size. Every row
-#: is predicted and counts in a loss.
-MODEL_ROWS = 3_000
+#: Rows a kernel machine is fitted on: beyond that a hashed sample of this size. Every row is predicted.
+KERNEL_ROWS = 3_000
+#: Rows that the neighbours of ``knn_losses`` are taken from; None for all. Every row counts in a loss.
+MODEL_ROWS: int | None = None
 
 
 def fold_of(folds: int, seed: int = 1, row: str = "instances") -> Column:
@@ -74,40 +77,45 @@ def _knn_vote(z: np.ndarray, y: np.ndarray, q: np.ndarray, k: int, skip: np.ndar
 def knn_losses(df: DataFrame, projections: dict[tuple[int, ...], tuple[list[str], np.ndarray]], flags: list[str], fold: Column, k: int = 3) -> dict[tuple[int, ...], float]:
     """Worst cross-validated k-NN loss over the flags in each projection, over all rows.
 
-    The neighbours (at most MODEL_ROWS rows, by hash) are broadcast once; a task counts the misses of its rows in
-    every projection.
+    All rows are broadcast once, as features, flags and folds; a task counts the misses of its rows in every projection.
     """
     spark = df.sparkSession
     ship_package(spark)
     names = sorted({c for cols, _ in projections.values() for c in cols})
-    every = df.select("instances", *names, *flags).dropna()
-    rows = bounded(every, MODEL_ROWS).withColumn("__fold", fold).toPandas().sort_values("instances")
+    every = Tables(spark, "losses").save(df.select("instances", *names, *flags).dropna().withColumn("__fold", fold), "rows")
+    rows = bounded(every, MODEL_ROWS).orderBy("instances").drop("instances").toPandas()
     work = list(projections.items())
-    sent = spark.sparkContext.broadcast((rows[names].to_numpy(float), rows[flags].to_numpy(float), rows["__fold"].to_numpy(int), [v for _, v in work]))
+    sent = spark.sparkContext.broadcast((rows[names].to_numpy(float), rows[flags].to_numpy(bool), rows["__fold"].to_numpy(int)[:, None], [v for _, v in work]))
+    n = every.count()
+
+    def plane(x, use, a):
+        # by columns, so that equal rows have equal places
+        return sum(x[:, names.index(c), None] * v[None, :] for c, v in zip(use, np.asarray(a).T, strict=True))
 
     def count(batches):
         x, y, folds, given = sent.value
-        wrong, n = np.zeros((len(given), len(flags)), dtype=np.int64), 0
-        for b in batches:
-            q, truth = b[names].to_numpy(float), b[flags].to_numpy(bool)
-            same = b["__fold"].to_numpy(int)[:, None] == folds[None, :]
-            n += len(b)
-            for i, (use, a) in enumerate(given):
-                at, t = [names.index(c) for c in use], np.asarray(a).T
-                wrong[i] += ((_knn_vote(x[:, at] @ t, y, q[:, at] @ t, k, same) > 0.5) != truth).sum(axis=0)
-        yield pd.DataFrame([(i, j, int(w), n) for i, r in enumerate(wrong) for j, w in enumerate(r)], columns=["id", "flag", "wrong", "n"])
-
-    tasks = max(spark.sparkContext.defaultParallelism, every.count() // 50_000)
-    parts = every.withColumn("__fold", fold).repartition(tasks).mapInPandas(count, "id long, flag long, wrong long, n long")
+        had = list(batches)
+        if not had:
+            return
+        b = pd.concat(had, ignore_index=True)
+        q, truth, own = b[names].to_numpy(float), b[flags].to_numpy(bool), b["__fold"].to_numpy(int)[:, None]
+        out = []
+        for i, (use, a) in enumerate(given):
+            shares = Voters(plane(x, use, a), y, folds, k).shares(plane(q, use, a), own, [[k]] * len(flags))
+            out += [(i, j, int(((s[:, 0] > 0.5) != truth[:, j]).sum()), len(b)) for j, s in enumerate(shares)]
+        yield pd.DataFrame(out, columns=["id", "flag", "wrong", "n"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, n // 50_000)
+    parts = every.drop("instances").repartition(tasks).mapInPandas(count, "id long, flag long, wrong long, n long")
     losses = parts.groupBy("id", "flag").agg((F.sum("wrong") / F.greatest(F.sum("n"), F.lit(1))).alias("loss"))
     got = {r["id"]: r["loss"] for r in losses.groupBy("id").agg(F.max("loss").alias("loss")).collect()}
+    sent.destroy()
     return {c: got[i] for i, (c, _) in enumerate(work)}
 
 
-def bounded(df: DataFrame, most: int, row: str = "instances") -> DataFrame:
-    """At most ``most`` rows, those with the least hashes of their label."""
-    n = df.count()
-    if n <= most:
+def bounded(df: DataFrame, most: int | None, row: str = "instances") -> DataFrame:
+    """At most ``most`` rows, those with the least hashes of their label; all rows where it is None."""
+    if most is None or df.count() <= most:
         return df
     return df.withColumn("__h", F.xxhash64(row)).orderBy("__h").limit(most).drop("__h")
 
@@ -182,38 +190,99 @@ def latin_points(n: int, low: float = -10.0, high: float = 4.0, seed: int = 1) -
 
 
 def train(df: DataFrame, flags: list[str], *, knn: bool = True, folds: int = 5, polynomial: bool = False, weights: list[str] | None = None, parameters: list[list[float]] | None = None, points: int = 30, seed: int = 1) -> tuple[dict[str, Any], DataFrame]:
-    """Models over z_1, z_2 and predictions for every row (instances, hat_<flag>, prob_<flag>): out of fold for the rows
-    that the models are fitted on, by the models themselves for all others; NULL without a place in the plane.
+    """Models over z_1, z_2 and predictions for every row (instances, hat_<flag>, prob_<flag>), NULL without a place in the
+    plane. The point with the least out-of-fold error wins, the first on ties. See _train_knn and _train_kernels."""
+    if knn:
+        return _train_knn(df, flags, folds, [[int(p[0])] for p in parameters] if parameters else [[1, 3, 5, 7, 9]] * len(flags))
+    return _train_kernels(df, flags, folds, polynomial, weights, parameters, points, seed)
+
+
+def _dealt(y: np.ndarray, folds: int) -> np.ndarray:
+    """Fold of every row for each flag: rows of each class are dealt in turn."""
+    held = np.zeros(y.shape, dtype=np.int16)
+    for j in range(y.shape[1]):
+        for v in (False, True):
+            at = np.flatnonzero(y[:, j] == v)
+            held[at, j] = np.arange(len(at)) % folds
+    return held
+
+
+def _numbered(rows: DataFrame, flags: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and flags of all rows in the order of their numbers, as arrays of 16 bytes and a byte a flag."""
+    got = rows.select("number", "z_1", "z_2", *flags).toArrow()
+    order = np.argsort(got["number"].to_numpy())
+    z, y = (np.column_stack([got[c].to_numpy() for c in cols]) if cols else np.zeros((got.num_rows, 0)) for cols in (["z_1", "z_2"], flags))
+    return z[order].astype(float), y[order].astype(bool)
 
-    One group per flag, parameter point and fold runs as a task over the broadcast rows (at most MODEL_ROWS by
-    hash); the point with the least out-of-fold error wins (first on ties) and is fitted again on all of these rows.
+
+def _train_knn(df: DataFrame, flags: list[str], folds: int, ks: list[list[int]]) -> tuple[dict[str, Any], DataFrame]:
+    """k-NN models, whose rows are all rows with a place; predictions are out of fold for every row.
+
+    Places, flags and folds of all rows are broadcast; tasks look up the neighbours of their rows once for all flags and ks.
+    """
+    from ..sources.metadata import with_row_id
+
+    spark = df.sparkSession
+    ship_package(spark)
+    tables = Tables(spark, "models")
+
+    df = tables.save(df.select("instances", "z_1", "z_2", *(F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags)), "given")
+    rows = tables.save(with_row_id(df.dropna(subset=["z_1", "z_2"]), "instances", "number"), "rows")
+    z, y = _numbered(rows, flags)
+    held = _dealt(y, folds)
+    sent = spark.sparkContext.broadcast((Voters(z, y, held, max(max(k) for k in ks)), held))
+    names = [[f"s_{j}_{c}" for c in range(len(k))] for j, k in enumerate(ks)]
+    flat = [n for own in names for n in own]
+
+    def vote(batches):
+        index, held = sent.value
+        had = list(batches)
+        if had:
+            b = pd.concat(had, ignore_index=True)
+            got = index.shares(b[["z_1", "z_2"]].to_numpy(float), held[b["number"].to_numpy() - 1], ks)
+            yield pd.concat([b[["instances", *flags]], pd.DataFrame(np.hstack(got), columns=flat)], axis=1)
+
+    tasks = max(spark.sparkContext.defaultParallelism, len(z) // 50_000)
+    kept = rows.select("instances", *flags)
+    voted = tables.save(rows.repartition(tasks).mapInPandas(vote, T.StructType([*kept.schema.fields, *(T.StructField(n, T.DoubleType()) for n in flat)])), "folds")
+    sent.destroy()
+    missed = voted.agg(*(F.avg(((F.col(n) > 0.5) != F.col(f)).cast("double")).alias(n) for f, own in zip(flags, names, strict=True) for n in own)).first()
+    best = [min(range(len(own)), key=lambda c, own=own: (missed[own[c]] or 0.0, c)) for own in names]
+    models = [{"flag": f, "k": ks[j][best[j]], "metric": "euclidean"} for j, f in enumerate(flags)]
+    chosen = [F.col(own[b]) for own, b in zip(names, best, strict=True)]
+    hats = [x for f, s in zip(flags, chosen, strict=True) for x in ((s > 0.5).alias(f"hat_{f}"), s.alias(f"prob_{f}"))]
+    nothing = [x for f in flags for x in (F.lit(None).cast("boolean").alias(f"hat_{f}"), F.lit(None).cast("double").alias(f"prob_{f}"))]
+    unplaced = df.where(F.col("z_1").isNull() | F.isnan("z_1") | F.col("z_2").isNull() | F.isnan("z_2"))
+    out = voted.select("instances", *hats).unionByName(unplaced.select("instances", *nothing))
+    return {"knn": True, "models": models, "rows": rows.drop("instances")}, tables.save(out, "predictions")
+
+
+def _train_kernels(df: DataFrame, flags: list[str], folds: int, polynomial: bool, weights: list[str] | None, parameters: list[list[float]] | None, points: int, seed: int) -> tuple[dict[str, Any], DataFrame]:
+    """Kernel machines; predictions are out of fold for the rows that the models are fitted on, by the models themselves for
+    all others.
+
+    One group per flag, parameter point and fold runs as a task over the broadcast rows (at most KERNEL_ROWS by
+    hash); the chosen point is fitted again on all of these rows.
     """
     spark = df.sparkSession
     ship_package(spark)
     cols = ["instances", "z_1", "z_2", *flags, *(weights or [])]
-    rows = bounded(df.select(*cols).dropna(subset=["z_1", "z_2"]), MODEL_ROWS).toPandas().sort_values("instances").reset_index(drop=True)
+    rows = bounded(df.select(*cols).dropna(subset=["z_1", "z_2"]), KERNEL_ROWS).toPandas().sort_values("instances").reset_index(drop=True)
     z = rows[["z_1", "z_2"]].to_numpy(float)
     mu, sigma = z.mean(axis=0), z.std(axis=0, ddof=1) if len(z) > 1 else np.ones(2)
     sigma = np.where(sigma > 0, sigma, 1.0)
-    x = z if knn else (z - mu) / sigma
+    x = (z - mu) / sigma
     y = rows[flags].to_numpy(bool)
     w = None if not weights else rows[weights].to_numpy(float)
-    given = parameters or ([[float(k)] for k in (1, 3, 5, 7, 9)] if knn else latin_points(points, seed=seed))
+    given = parameters or latin_points(points, seed=seed)
     grid = [(j, tuple(p)) for j in range(len(flags)) for p in ([given[j]] if parameters else given)]
-    held = np.zeros((len(rows), len(flags)), dtype=int)
-    for j in range(len(flags)):
-        for v in (False, True):
-            at = np.flatnonzero(y[:, j] == v)
-            held[at, j] = np.arange(len(at)) % folds
+    held = _dealt(y, folds)
     sent = spark.sparkContext.broadcast((x, y, w, held, grid))
     todo = spark.range(len(grid) * folds).repartition(max(1, min(len(grid) * folds, spark.sparkContext.defaultParallelism)))
 
     def predict(xt, yt, wt, xq, p):
         if not len(xt):
             return np.zeros(len(xq), dtype=bool), np.zeros(len(xq))
-        if knn:
-            share = _knn_vote(xt, yt[:, None].astype(float), xq, int(p[0]))[:, 0]
-            return share > 0.5, share
         return svm_scores(fit_svm(xt, yt, p[0], p[1], polynomial, wt), xq)
 
     def one(batches):
@@ -247,12 +316,9 @@ def train(df: DataFrame, flags: list[str], *, knn: bool = True, folds: int = 5,
         e = errors[errors.point == best[j]].sort_values("row")
         out[f"hat_{f}"], out[f"prob_{f}"] = e.hat.to_numpy(bool), e.prob.to_numpy(float)
         p = grid[best[j]][1]
-        if knn:
-            models.append({"flag": f, "k": int(p[0]), "metric": "euclidean", "x": x.tolist(), "y": y[:, j].tolist()})
-        else:
-            m = fit_svm(x, y[:, j], p[0], p[1], polynomial, None if w is None else w[:, j])
-            models.append({"flag": f} | {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in m.items()})
-    model = {"knn": knn, "mu": mu.tolist(), "sigma": sigma.tolist(), "models": models}
+        m = fit_svm(x, y[:, j], p[0], p[1], polynomial, None if w is None else w[:, j])
+        models.append({"flag": f} | {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in m.items()})
+    model = {"knn": False, "mu": mu.tolist(), "sigma": sigma.tolist(), "models": models}
     oof = spark.createDataFrame(out)
     rest = score(df.select("instances", "z_1", "z_2").join(F.broadcast(oof.select("instances")), "instances", "left_anti"), model)
     return model, tables.save(oof.unionByName(rest.select(*oof.columns)), "predictions")
@@ -262,39 +328,35 @@ def score(df: DataFrame, model: dict[str, Any]) -> DataFrame:
     """df with hat_<flag> and prob_<flag> from stored models; a narrow pass over the rows, also on a stream."""
     spark = df.sparkSession
     ship_package(spark)
-    names = [m["flag"] for m in model["models"]]
-    knn, mu, sigma = model["knn"], np.array(model["mu"]), np.array(model["sigma"])
-    from pyspark.sql import types as T
-
+    models, knn = model["models"], model["knn"]
+    names = [m["flag"] for m in models]
     schema = T.StructType([*df.schema.fields, *(T.StructField(f"hat_{n}", T.BooleanType()) for n in names), *(T.StructField(f"prob_{n}", T.DoubleType()) for n in names)])
-    models = model["models"]
-    given = [(np.array(m["x"], dtype=float), np.array(m["y"], dtype=float), m["k"]) for m in models] if knn else []
-    # models fitted together have the same rows, whose neighbours are looked up once
-    alike = all(np.array_equal(x, given[0][0]) for x, _, _ in given)
-    sent = spark.sparkContext.broadcast((given[0][0] if given and alike else None, [(None if alike else x, y, k) for x, y, k in given], None if knn else models))
+    if knn:
+        z, y = _numbered(model["rows"], names)
+        ks = [[m["k"]] for m in models]
+        # one column of folds that no query is in
+        sent = spark.sparkContext.broadcast(Voters(z, y, np.zeros((len(z), 1), dtype=np.int16), max(k for k, in ks)))
+    else:
+        sent, mu, sigma = spark.sparkContext.broadcast(models), np.array(model["mu"]), np.array(model["sigma"])
 
     def one(batches):
-        shared, given, models = sent.value
+        held = sent.value
         for b in batches:
             z = b[["z_1", "z_2"]].to_numpy(float)
             ok = ~np.isnan(z).any(axis=1)
-            x = z[ok] if knn else (z[ok] - mu) / sigma
-            out = b.copy()
+            if knn:
+                shares = held.shares(z[ok], np.full((int(ok.sum()), 1), -1), ks)
+                got = [(s[:, 0] > 0.5, s[:, 0]) for s in shares]
+            else:
+                got = [svm_scores(m, (z[ok] - mu) / sigma) for m in held]
             hats, probs = {}, {}
-            near = _nearest(shared, x, max(k for _, _, k in given)) if shared is not None else None
-            for i, name in enumerate(names):
-                if knn:
-                    held, y, k = given[i]
-                    p = (y[near[:, :k]] if near is not None else y[_nearest(held, x, k)]).mean(axis=1) if len(x) else np.zeros(0)
-                    h = p > 0.5
-                else:
-                    h, p = svm_scores(models[i], x)
+            for name, (h, p) in zip(names, got, strict=True):
                 full = np.full(len(b), None, dtype=object)
                 full[ok] = [bool(v) for v in h]
                 prob = np.full(len(b), np.nan)
                 prob[ok] = p
                 hats[f"hat_{name}"], probs[f"prob_{name}"] = full, prob
-            yield out.assign(**hats, **probs)
+            yield b.assign(**hats, **probs)
 
     return df.mapInPandas(one, schema)
 

@@ -30,6 +30,10 @@ class Model:
     def save(self, spark: SparkSession, path: str) -> None:
         """JSON goes through Spark too, so the path may be any that Spark can write."""
         plain = {k: getattr(self, k) for k in ("algos", "features", "selected", "preparation", "projection", "reconstruction", "prediction", "precision", "default")}
+        rows = (self.prediction or {}).get("rows")
+        if rows is not None:
+            plain["prediction"] = {k: v for k, v in self.prediction.items() if k != "rows"}
+            rows.write.mode("overwrite").parquet(f"{path}/voters")
         text = json.dumps({"options": self.options.to_json()} | plain)
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model.json")
         if self.footprints is not None:
@@ -48,4 +52,9 @@ class Model:
             prints = spark.read.schema(footprint.SCHEMA).parquet(f"{path}/footprints")
         except AnalysisException:
             prints = None
+        if raw["prediction"] and raw["prediction"]["knn"]:
+            try:
+                raw["prediction"]["rows"] = spark.read.parquet(f"{path}/voters")
+            except AnalysisException as e:
+                raise MissingInput(f"{path}/voters") from e
         return Model(options=options, footprints=prints, **raw)

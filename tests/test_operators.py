@@ -387,6 +387,64 @@ def test_models_and_losses_cover_all_rows(spark, monkeypatch):
     assert found == pytest.approx(wrong / 400)
 
 
+def _brute_shares(z, y, held, k):
+    """Shares among the k nearest rows of other folds, ties by row."""
+    d = np.sqrt((z[:, None, 0] - z[None, :, 0]) ** 2 + (z[:, None, 1] - z[None, :, 1]) ** 2)
+    d[held[:, None] == held[None]] = np.inf
+    return y[np.argsort(d, axis=1, kind="stable")[:, :k]].mean(axis=1)
+
+
+def test_votes_of_copies_ties_and_folds_in_a_row():
+    """Copies, equal distances, far rows, and a region whose rows are all of one fold, against brute force."""
+    from algoscape.functions.neighbours import Voters
+
+    r = np.random.default_rng(6)
+    z = np.concatenate([r.integers(0, 4, (300, 2)).astype(float), np.zeros((150, 2)), r.normal(20, 1, (200, 2)), [[1e4, 0]]])
+    y, held = r.random((len(z), 2)) < 0.4, r.integers(0, 3, (len(z), 2))
+    held[450:650, 0] = 1
+    got = Voters(z, y, held, 5).shares(z, held, [[1, 5], [3]])
+    for j, k, share in ((0, 1, got[0][:, 0]), (0, 5, got[0][:, 1]), (1, 3, got[1][:, 0])):
+        assert share.tolist() == pytest.approx(_brute_shares(z, y[:, j], held[:, j], k).tolist())
+    # two rows vote where five are asked; none vote in a table without others
+    assert Voters(z[:3], y[:3], np.array([[0], [1], [1]]), 5).shares(z[:1], np.array([[0]]), [[5], [5]])[0][0, 0] == y[1:3, 0].mean()
+    assert Voters(z[:0], y[:0], held[:0], 5).shares(z[:1], held[:1], [[5], [5]])[0][0, 0] == 0
+    assert Voters(z[:2], y[:2], np.zeros((2, 1)), 5).shares(z[:2], np.zeros((2, 1)), [[5], [5]])[0].tolist() == [[0], [0]]
+
+
+@pytest.fixture(scope="module")
+def many_placed(spark):
+    """3,400 rows, more than models were fitted on before: noisy flags, copies and ties."""
+    r = np.random.default_rng(12)
+    z = np.round(np.concatenate([r.normal(0, 1, (3300, 2)), np.zeros((100, 2))]), 2)
+    y = (z[:, 0] + r.normal(0, 1, len(z)) > 0)
+    rows = [(f"{i:05d}", float(a), float(b), bool(g)) for i, ((a, b), g) in enumerate(zip(z, y, strict=True))]
+    return z, y, spark.createDataFrame(rows, "instances string, z_1 double, z_2 double, good_x boolean")
+
+
+def test_knn_models_take_all_rows(spark, many_placed, tmp_path):
+    z, y, df = many_placed
+    model, got = predict.train(df, ["good_x"], folds=3)
+    held = predict._dealt(y[:, None], 3)[:, 0]
+    shares = {k: _brute_shares(z, y, held, k) for k in (1, 3, 5, 7, 9)}
+    k = min(shares, key=lambda k: (((shares[k] > 0.5) != y).mean(), k))
+    assert model["models"][0]["k"] == k and model["rows"].count() == len(z)
+    assert [(x.hat_good_x, x.prob_good_x) for x in got.orderBy("instances").collect()] == [(s > 0.5, pytest.approx(s)) for s in shares[k].tolist()]
+    # a stored model votes with all rows too
+    Model(Options(), ["algo_x"], [], [], [], [], [], prediction=model).save(spark, str(tmp_path / "m"))
+    again = Model.load(spark, str(tmp_path / "m")).prediction
+    scored = predict.score(df.unionByName(spark.createDataFrame([("none", None, 0.0, False)], df.schema)), again).orderBy("instances").collect()
+    want = _brute_shares(z, y, np.arange(len(z)) * 0 + np.nan, k)
+    assert [x.prob_good_x for x in scored[:-1]] == pytest.approx(want.tolist()) and scored[-1].hat_good_x is None
+
+
+def test_knn_losses_take_neighbours_from_all_rows(spark, many_placed):
+    z, y, df = many_placed
+    fold = predict.fold_of(5, 1)
+    held = np.array([x.f for x in df.select("instances", fold.alias("f")).orderBy("instances").collect()])
+    got = predict.knn_losses(df, {(0, 1): (["z_1", "z_2"], np.eye(2))}, ["good_x"], fold)[0, 1]
+    assert got == pytest.approx(((_brute_shares(z, y, held, 3) > 0.5) != y).mean(), abs=1e-12)
+
+
 def test_knn_relational_form_equals_memory_form(spark):
     r = random.Random(8)
     rows = [(f"{i:03d}", r.random(), r.random(), r.random() < 0.5) for i in range(80)]
