@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -254,14 +255,27 @@ def prune(region: Region, z: np.ndarray | Scan, good, purity: float) -> Region:
 
 def _prune_all(regions: list[Region], z: np.ndarray | Scan, good: list, purity: float) -> list[Region]:
     """Several regions, each with its goodness, pruned by one count."""
+    return _pure(len(regions), *_shares(regions, z, good), purity)
+
+
+def _shares(regions: list[Region], z: np.ndarray | Scan, good: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triangles of several regions, each with its goodness: the region's place, the corners, and the rows and good rows
+    inside, by one count."""
     name = [id(g) if isinstance(g, np.ndarray) else g for g in good]
     masks = list(dict(zip(name, good, strict=True)).values())
-    kind = [list(dict.fromkeys(name)).index(x) for x in name]
+    kind = np.array([list(dict.fromkeys(name)).index(x) for x in name], dtype=np.int64)
     triangles = [(i, t) for i, r in enumerate(regions) for t in r.triangles()]
+    own = np.array([i for i, _ in triangles], dtype=np.int64)
     counted = _counts(z, [t for _, t in triangles], np.arange(len(triangles)), masks)
-    kept: list[list[np.ndarray]] = [[] for _ in regions]
-    for (i, t), n in zip(triangles, counted.tolist(), strict=True):
-        if n[0] == 0 or not purity > n[1 + kind[i]] / n[0]:
+    corners = np.array([t for _, t in triangles]).reshape(-1, 3, 2)
+    return own, corners, np.column_stack([counted[:, 0], counted[np.arange(len(own)), 1 + kind[own]]])
+
+
+def _pure(n: int, own: np.ndarray, corners: np.ndarray, counted: np.ndarray, purity: float) -> list[Region]:
+    """The n regions of these triangles without those whose share of good rows is under ``purity``."""
+    kept: list[list[np.ndarray]] = [[] for _ in range(n)]
+    for i, t, (rows, good) in zip(own.tolist(), corners, counted.tolist(), strict=True):
+        if rows == 0 or not purity > good / rows:
             kept[i].append(t)
     return [Region(k) for k in kept]
 
@@ -352,6 +366,24 @@ class Outlines:
     flags: dict[tuple[str, str], Column]
     clusters: dict[tuple[str, str], list[Region]]
 
+    @cached_property
+    def shares(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The footprint's place of every cluster, and the triangles of all clusters (see _shares), counted once."""
+        whole = [(i, r) for i, own in enumerate(self.clusters.values()) for r in own]
+        of = [i for i, _ in whole]
+        return np.array(of, dtype=np.int64), *_shares([r for _, r in whole], self.scan, of)
+
+    def pruned(self, purity: float) -> list[list[Region]]:
+        """The pruned clusters of each footprint."""
+        return _by_footprint(len(self.clusters), *self.shares, purity)
+
+
+def _by_footprint(n: int, of: np.ndarray, own: np.ndarray, corners: np.ndarray, counted: np.ndarray, purity: float) -> list[list[Region]]:
+    out: list[list[Region]] = [[] for _ in range(n)]
+    for i, r in zip(of.tolist(), _pure(len(of), own, corners, counted, purity), strict=True):
+        out[i].append(r)
+    return out
+
 
 def outlines(df: DataFrame, algos: list[str], good: list[str], best: str, beta: str) -> Outlines:
     """Clusters of the distinct good points of every footprint, all of them, found and outlined by a task a footprint."""
@@ -394,9 +426,7 @@ def footprints(df: DataFrame, algos: list[str], good: list[str], best: str, beta
     spark = df.sparkSession
     o = drawn or outlines(df, algos, good, best, beta)
     keys = list(o.flags)
-    whole = [(i, r) for i, k in enumerate(keys) for r in o.clusters[k]]
-    pruned = _prune_all([r for _, r in whole], o.scan, [i for i, _ in whole], purity)
-    sent = spark.sparkContext.broadcast([[_packed(p) for (i, _), p in zip(whole, pruned, strict=True) if i == at] for at in range(len(keys))])
+    sent = spark.sparkContext.broadcast([[_packed(p) for p in own] for own in o.pruned(purity)])
 
     def one(batches):
         for b in batches:
@@ -405,12 +435,24 @@ def footprints(df: DataFrame, algos: list[str], good: list[str], best: str, beta
     todo = spark.range(len(keys)).repartition(max(1, min(len(keys), spark.sparkContext.defaultParallelism)))
     regions = {keys[r["id"]]: _unpacked(r["xy"], r["n"]) for r in todo.mapInPandas(one, "id long, xy binary, n binary").collect()}
     regions = {k: regions[k] for k in keys}
+    settled = _settle(regions, algos, o.scan, {k: i for i, k in enumerate(keys)}, purity)
+    return count_inside(df, settled, o.flags)
+
+
+def _settle(regions: dict[tuple[str, str], Region], algos: list[str], z: np.ndarray | Scan, good: dict, purity: float) -> dict[tuple[str, str], Region]:
+    """Contradictions between best footprints settled pair by pair, then slivers dropped."""
+    regions = dict(regions)
     for i, a in enumerate(algos):
         for b in algos[i + 1 :]:
             first, second = ("best", a), ("best", b)
-            regions[first], regions[second] = contradict(regions[first], regions[second], o.scan, keys.index(first), keys.index(second), purity)
-    regions = {k: r.without_slivers(SLIVER / 5) for k, r in regions.items()}
-    return count_inside(df, regions, o.flags)
+            regions[first], regions[second] = contradict(regions[first], regions[second], z, good[first], good[second], purity)
+    return {k: r.without_slivers(SLIVER / 5) for k, r in regions.items()}
+
+
+def _measures(region: Region, n: int, g: int) -> tuple[float, int, int, float, float]:
+    """area, elements, good_elements, density and purity of a region with n rows, g of them good."""
+    a = region.area()
+    return float(a), n, g, n / a if a > 0 else 0.0, g / n if n else 0.0
 
 
 def count_inside(df: DataFrame, regions: dict[tuple[str, str], Region], flags: dict) -> DataFrame:
@@ -435,8 +477,7 @@ def count_inside(df: DataFrame, regions: dict[tuple[str, str], Region], flags: d
     got = {r["i"]: (r["n"], r["g"]) for r in points.mapInPandas(one, "i long, n long, g long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()}
     out = []
     for i, k in enumerate(keys):
-        a, (n, g) = regions[k].area(), got.get(i, (0, 0))
-        out.append((*k, float(a), n, g, n / a if a > 0 else 0.0, g / n if n else 0.0))
+        out.append((*k, *_measures(regions[k], *got.get(i, (0, 0)))))
     kind, algo, *numbers = (list(c) for c in zip(*out, strict=True)) if out else [[] for _ in range(7)]
     types = [pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     columns = [pa.array(kind, pa.string()), pa.array(algo, pa.string()), _nested([regions[k] for k in keys]), *map(pa.array, numbers, types)]
@@ -473,15 +514,45 @@ def summary(table: DataFrame) -> DataFrame:
 
 
 def purity_sweep(df: DataFrame, algos: list[str], good: list[str], best: str, beta: str, levels: list[float] | None = None) -> DataFrame:
-    """purity_level with the mean summary metrics over algorithms; outlines are drawn once, footprints per level."""
+    """purity_level with the mean summary metrics over algorithms. Outlines are drawn and their triangles counted once; each
+    level then settles its own footprints, by a task a level while the driver holds the rows (see Scan)."""
     out, drawn = None, outlines(df, algos, good, best, beta)
-    for level in levels or [round(0.05 * i, 2) for i in range(20)]:
-        s = summary(footprints(df, algos, good, best, beta, level, drawn))
+    levels = levels or [round(0.05 * i, 2) for i in range(20)]
+    tables = _level_tables(drawn, algos, levels) if drawn.scan.held else (footprints(df, algos, good, best, beta, x, drawn) for x in levels)
+    for level, table in zip(levels, tables, strict=True):
+        s = summary(table)
         one = s.agg(*(F.avg(c).alias(c) for c in s.columns if c != "algo")).withColumn("purity_level", F.lit(float(level)))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _level_tables(o: Outlines, algos: list[str], levels: list[float]) -> list[DataFrame]:
+    """The footprints of several levels, without their pieces, from rows in memory."""
+    spark = o.scan.spark
+    ship_package(spark)
+    keys = list(o.flags)
+    sent = spark.sparkContext.broadcast((*o.scan.held, o.shares))
+
+    def one(batches):
+        z, flags, shares = sent.value
+        for b in batches:
+            for at in b["id"]:
+                regions = {k: _union(r) for k, r in zip(keys, _by_footprint(len(keys), *shares, levels[at]), strict=True)}
+                regions = _settle(regions, algos, z, {k: flags[:, i] for i, k in enumerate(keys)}, levels[at])
+                got = []
+                for i, k in enumerate(keys):
+                    own = regions[k].pieces
+                    n, g = _tally(Pieces(own), np.zeros(len(own), dtype=int), 1, z, [flags[:, i]])[0].tolist()
+                    got.append((at, *k, *_measures(regions[k], n, g)))
+                yield pd.DataFrame(got, columns=["level", *names])
+
+    names, _, types = zip(*(c.partition(" ") for c in SCHEMA.split(", ") if not c.startswith("pieces")), strict=True)
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
+    rows = spark.range(0, len(levels), 1, len(levels)).mapInPandas(one, f"level long, {schema}").collect()
+    sent.destroy()
+    return [spark.createDataFrame([tuple(r)[1:] for r in rows if r["level"] == i], schema) for i in range(len(levels))]
+
+
 # ---- relational forms, for polygons given as tables
 def polygon_areas(corners: DataFrame) -> DataFrame:
     """polygon, area from rows (polygon, seq, x, y) by the shoelace rule."""

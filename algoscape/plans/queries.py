@@ -813,7 +813,7 @@ def _(s, d):
 
 @query("purity_sweep")
 def _(s, d):
-    return footprint.purity_sweep(_placed(s, d), UA, UG, "best_algo", "beta_easy", [0.3, 0.55, 0.8])
+    return footprint.purity_sweep(_placed(s, d), UA, UG, "best_algo", "beta_easy")
 
 
 # ---- exports and plot data

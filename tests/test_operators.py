@@ -752,3 +752,21 @@ def test_footprints_on_the_driver_equal_scans(spark, monkeypatch):
         monkeypatch.setattr(footprint, "MEMORY_ROWS", most)
         got.append(sorted((x.kind, x.algo, x.elements, x.good_elements, round(x.area, 9)) for x in footprint.footprints(df, ["algo_x", "algo_y"], ["good_x", "good_y"], "best", "easy").collect()))
     assert got[0] == got[1]
+
+
+def test_purity_sweep_has_all_levels(spark, monkeypatch):
+    """The registered query settles 20 levels, each as footprints does on its own, with rows on the driver and by scans."""
+    from algoscape.plans import queries as q
+
+    r = np.random.default_rng(7)
+    rows = [(str(i), float(x), float(y), *(bool(v > 0) for v in (x, y, -x, -y, x + y)), int(1 + (x + r.normal() > 0)), bool(y > 1)) for i, (x, y) in enumerate(r.normal(0, 1, (80, 2)))]
+    df = spark.createDataFrame(rows, ["instances", "z_1", "z_2", *q.UG, "best_algo", "beta_easy"])
+    monkeypatch.setattr(q, "_placed", lambda s, d: df)
+    got = {x.purity_level: x.asDict() for x in q.QUERIES["purity_sweep"](spark, "").collect()}
+    assert sorted(got) == [round(0.05 * i, 2) for i in range(20)]
+    monkeypatch.setattr(footprint, "MEMORY_ROWS", 10)
+    scanned = {x.purity_level: x.asDict() for x in footprint.purity_sweep(df, q.UA, q.UG, "best_algo", "beta_easy", [0.3, 0.9]).collect()}
+    for level in (0.3, 0.9):
+        own = footprint.summary(footprint.footprints(df, q.UA, q.UG, "best_algo", "beta_easy", level)).toPandas().drop(columns="algo").mean().to_dict()
+        assert {k: v for k, v in got[level].items() if k != "purity_level"} == pytest.approx(own)
+        assert scanned[level] == pytest.approx(got[level])
