@@ -445,6 +445,31 @@ def test_knn_losses_take_neighbours_from_all_rows(spark, many_placed):
     assert got == pytest.approx(((_brute_shares(z, y, held, 3) > 0.5) != y).mean(), abs=1e-12)
 
 
+def test_stream_is_scored_by_all_rows(spark, many_placed, tmp_path):
+    z, y, df = many_placed
+    model, _ = predict.train(df, ["good_x"], folds=3, parameters=[[5.0]])
+    df.write.parquet(str(tmp_path / "in"))
+    scored = predict.score(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), model)
+    scored.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("instances").collect()
+    assert [x.prob_good_x for x in got] == pytest.approx(_brute_shares(z, y, np.full(len(z), np.nan), 5).tolist())
+
+
+def test_run_counts_votes_of_all_rows(spark, many_placed):
+    """The prediction step of a training run: chosen k and accuracy as by brute force over all rows."""
+    from algoscape.plans import build
+
+    z, y, df = many_placed
+    rows = df.withColumns({"row_id": F.col("instances").cast("long"), "algo_x": F.when(F.col("good_x"), 1.0).otherwise(2.0), "best_perf": F.lit(1.0)})
+    run = build.Run(Options(prediction=Prediction(folds=3)), rows, rows, [], ["algo_x"], rows, model=Model(Options(), ["algo_x"], [], [], [], [], []))
+    build._predict(run, ["good_x"], Tables(spark, "t"))
+    held = predict._dealt(y[:, None], 3)[:, 0]
+    right = {k: ((_brute_shares(z, y, held, k) > 0.5) == y).mean() for k in (1, 3, 5, 7, 9)}
+    k = max(right, key=lambda k: (right[k], -k))
+    got = {r.algorithm: r for r in run.prediction.collect()}["x"]
+    assert (got.parameter_1, got.accuracy) == (k, pytest.approx(100 * right[k], abs=0.0501))
+
+
 def test_knn_relational_form_equals_memory_form(spark):
     r = random.Random(8)
     rows = [(f"{i:03d}", r.random(), r.random(), r.random() < 0.5) for i in range(80)]
